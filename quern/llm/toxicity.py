@@ -142,12 +142,12 @@ class Toxicity:
         for i, r in enumerate(rows):
             x[i, [number[f] for f in r if f in number]] = 1
         w = np.zeros(x.shape[1])
-        # Both labels weigh as they do in the sample; proximal gradient steps with momentum and L2.
+        # Both labels weigh as they do in the sample; proximal gradient steps with momentum, and L2 as one row weighs.
         v, rate = w.copy(), 4.0 / max(1.0, float(np.mean(x.sum(1), dtype=np.float64) if len(x) else 1))
         for k in range(400 if len(rows) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
             g = x.T @ (p - y) / len(y)
-            new = (v - rate * g) / np.append(np.full(len(chosen), 1 + rate * 1e-4), 1)
+            new = (v - rate * g) / np.append(np.full(len(chosen), 1 + rate / len(y)), 1)
             v = new + k / (k + 3) * (new - w)
             w = new
         self.weights = {f: float(w[i]) for f, i in number.items() if w[i]}
