@@ -22,6 +22,8 @@ from .common import staged, table
 SPAN = 10
 GRAM = 5
 BLOCK_ROWS = 250_000
+#: Documents are searched in segments of so many words, which overlap by a window.
+SEGMENT = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,42 +33,59 @@ def words(text: Column) -> Column:
 
 
 def winnowed(df: DataFrame, span: int, gram: int) -> DataFrame:
-    """df with `picks`: array of (pos, hash), the kept grams of its column `words`, pos from 1."""
-    width, n = span - gram + 1, F.size("words")
-    df = df.withColumn("grams", F.when(n >= span, F.transform(F.sequence(F.lit(1), F.greatest(n - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, gram)))).otherwise(F.array().cast("array<bigint>")))
-    if width == 1:
-        return df.withColumn("picks", F.transform("grams", lambda h, i: F.struct((i + 1).alias("pos"), h.alias("hash")))).drop("grams")
-    last = F.size("grams") - width + 1
-    df = df.withColumn("least", F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda j: F.array_min(F.slice("grams", j, width)))).otherwise(F.array().cast("array<bigint>")))
-    pairs = F.transform("grams", lambda h, i: F.struct((i + 1).alias("pos"), h.alias("hash")))
-    first = lambda p: F.greatest(p.pos - width + 1, F.lit(1))
-    kept = F.filter(pairs, lambda p: p.hash == F.array_max(F.slice("least", first(p), F.least(p.pos, F.size("least")) - first(p) + 1)))
-    return df.withColumn("picks", F.when(F.size("least") > 0, kept).otherwise(F.filter(pairs, lambda _: F.lit(False)))).drop("grams", "least")
-
-
-def index_of(items: DataFrame, span: int, gram: int) -> DataFrame:
-    """(content, hash, ctx, lead): the kept grams of items with the words around each; `lead` words stand before it."""
-    rows = winnowed(items, span, gram).select("content", "words", F.explode_outer("picks").alias("p")).where(F.col("p").isNotNull())
-    start = F.greatest(F.col("p.pos") - (span - gram), F.lit(1))
-    return rows.select("content", F.col("p.hash").alias("hash"), F.slice("words", start, F.lit(2 * span - gram)).alias("ctx"), (F.col("p.pos") - start).alias("lead")).distinct()
+    """df with `picks`: array of (at, hash), the kept grams of its column `words`, at from 0.
+
+    Array entries are taken one by one: slice() copies the whole array each time. Entries beyond an
+    array's ends are null, which least() and greatest() pass over.
+    """
+    width = span - gram + 1
+    n = F.size("words")
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("grams", F.transform("hashes", lambda h, i: F.when(i <= n - gram, F.xxhash64(h, *(F.get("hashes", i + j) for j in range(1, gram))))))
+    kept = lambda g, i: g.isNotNull()
+    if width > 1:
+        df = df.withColumn("least", F.transform("grams", lambda g, i: F.when(i <= n - span, F.least(g, *(F.get("grams", i + j) for j in range(1, width))))))
+        kept = lambda g, i: g == F.greatest(*(F.get("least", i - j) for j in range(width)))
+    picks = F.transform("grams", lambda g, i: F.when(kept(g, i), F.struct(i.alias("at"), g.alias("hash"))))
+    return df.withColumn("picks", F.filter(picks, lambda p: p.isNotNull())).drop("hashes", "grams", "least")
+
+
+def grams_around(df: DataFrame, keep: list[str], span: int, gram: int) -> DataFrame:
+    """The columns `keep` and at, hash, ctx of each kept gram of `words`: ctx holds the words around
+    it that a window with it can reach, `span - gram` places on each side, null beyond the ends.
+
+    explode_outer(), as a filter that Spark infers for explode() would evaluate the picks once more,
+    inlined down to the text; and no array of a whole document goes along with each gram.
+    """
+    around = F.transform("picks", lambda p: F.struct(p.at.alias("at"), p.hash.alias("hash"), F.array(*(F.get("words", p.at + j) for j in range(gram - span, span))).alias("ctx")))
+    return winnowed(df, span, gram).select(*keep, F.explode_outer(around).alias("p")).where(F.col("p").isNotNull()).select(*keep, "p.*")
+
+
+def segments(docs: DataFrame, span: int) -> DataFrame:
+    """docs (key, words) cut into (key, base, words) of at most SEGMENT + span - 1 words, so that each window stands whole in one."""
+    n = F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / SEGMENT).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * SEGMENT).alias("base"), F.slice("words", i * SEGMENT + 1, F.lit(SEGMENT + span - 1)).alias("words")))
+    return docs.select("key", F.explode_outer(parts).alias("s")).select("key", "s.base", "s.words")
 
 
 def hits_of(docs: DataFrame, index: DataFrame, span: int, gram: int) -> DataFrame:
     """(key, content, start, end) of the spans of docs (key, words) that hold windows of the index."""
-    # Not explode(): a filter that Spark infers for it would evaluate the picks once more, inlined down to the text.
-    rows = winnowed(docs, span, gram).select("key", "words", F.explode_outer("picks").alias("p")).select("key", "words", "p.pos", "p.hash")
+    rows = grams_around(segments(docs, span), ["key", "base"], span, gram)
     met = rows.join(F.broadcast(index), "hash")
-    side = F.array(*(F.lit(d) for d in range(1, span - gram + 1))) if span > gram else None
+    reach = span - gram
 
-    def run(step: int, at: int) -> Column:
+    def run(step: int, first: int) -> Column:
         """How many words agree one after the other, to the left (step -1) or the right."""
-        if side is None:
-            return F.lit(0)
-        differ = F.filter(side, lambda d: ~F.coalesce(F.get("words", F.col("pos") - 1 + at + d * step) == F.get("ctx", F.col("lead") + at + d * step), F.lit(False)))
-        return F.coalesce(F.array_min(differ) - 1, F.lit(span - gram))
-
-    same = F.slice("words", F.col("pos"), gram) == F.slice("ctx", F.col("lead") + 1, gram)
-    met = met.where(same).select("key", "content", "pos", run(-1, 0).alias("left"), run(1, gram - 1).alias("right"))
+        out = F
+        for d in range(reach):
+            own, item = (F.get(c, F.lit(first + d * step)) for c in ("ctx", "item_ctx"))
+            out = out.when(~F.coalesce(own == item, F.lit(False)), d)
+        return out.otherwise(reach) if reach else F.lit(0)
+
+    same = F.lit(True)
+    for j in range(reach, reach + gram):
+        same = same & (F.get("ctx", F.lit(j)) == F.get("item_ctx", F.lit(j)))
+    met = met.where(same).select("key", "content", (F.col("base") + F.col("at") + 1).alias("pos"), run(-1, reach - 1).alias("left"), run(1, reach + gram).alias("right"))
     return met.where(F.col("left") + F.col("right") + gram >= span).select("key", "content", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + gram - 1 + F.col("right")).alias("end")).distinct()
 
 
@@ -88,7 +107,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     found = []
     for length, k in [(span, gram), *((n, n) for n in sorted(lengths))]:
         own = texts.where(F.size("words") >= span if length == span else F.size("words") == length)
-        index = staged(index_of(own, length, k), "index")
+        index = grams_around(own, ["content"], length, k).select("content", "hash", F.col("ctx").alias("item_ctx"))
+        index = staged(index.distinct(), "index")
         blocks = max(1, -(-index.count() // block_rows))
         for b in range(blocks):
             block = index.where(F.pmod(F.xxhash64("hash", "content"), F.lit(blocks)) == b) if blocks > 1 else index

@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, remainder, table, texts_of
 
 #: Rows a label in the training sample, and features of the classifier, at most.
-SAMPLE = 3000
+SAMPLE = 2500
 FEATURES = 1500
-#: A training row gives its first so many distinct words in the order of their hash.
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PREFIX = 5
@@ -129,26 +128,25 @@ class Toxicity:
             raw.update({_EDGE.sub("", w) for w in set(t.lower().split())})
         plain = Counter({w: n for w, n in raw.items() if n >= 3 and w and all(c.isalpha() for c in w)})
         self.restorer = Restorer(CharModel(plain), plain)
-        rows = [features(self.restorer.words(t)) for t in texts]
         pos, neg = Counter(), Counter()
-        for r, x in zip(rows, labels, strict=True):
-            (pos if x else neg).update(r)
+        for t, label in zip(texts, labels, strict=True):
+            (pos if label else neg).update(features(self.restorer.words(t)))
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
         gain = {f: abs(math.log((pos[f] + 0.5) / (n1 + 1)) - math.log((neg[f] + 0.5) / (n0 + 1))) * math.sqrt(pos[f] + neg[f]) for f in (pos | neg) if pos[f] + neg[f] >= 3}
         chosen = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
         number = {f: i for i, f in enumerate(chosen)}
-        x = np.zeros((len(rows), len(chosen) + 1), np.float32)
+        x = np.zeros((len(texts), len(chosen) + 1), np.float32)
         x[:, -1] = 1
-        for i, r in enumerate(rows):
-            x[i, [number[f] for f in r if f in number]] = 1
-        w = np.zeros(x.shape[1])
+        for i, t in enumerate(texts):
+            x[i, [number[f] for f in features(self.restorer.words(t)) if f in number]] = 1
+        w = np.zeros(x.shape[1], np.float32)
         # Both labels weigh as they do in the sample; proximal gradient steps with momentum, and L2 as one row weighs.
-        v, rate = w.copy(), 4.0 / max(1.0, float(np.mean(x.sum(1), dtype=np.float64) if len(x) else 1))
-        for k in range(400 if len(rows) else 0):
+        v, rate = w.copy(), np.float32(4.0 / max(1.0, float(x.sum(1).mean()) if len(x) else 1))
+        shrink = np.append(np.full(len(chosen), 1 + rate / max(1, len(y))), 1).astype(np.float32)
+        for k in range(400 if len(x) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-            g = x.T @ (p - y) / len(y)
-            new = (v - rate * g) / np.append(np.full(len(chosen), 1 + rate / len(y)), 1)
-            v = new + k / (k + 3) * (new - w)
+            new = (v - rate * (x.T @ (p - y).astype(np.float32) / len(y))) / shrink
+            v = (new + k / (k + 3) * (new - w)).astype(np.float32)
             w = new
         self.weights = {f: float(w[i]) for f, i in number.items() if w[i]}
         self.bias = float(w[-1])
