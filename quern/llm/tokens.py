@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, staged, table, texts_of
@@ -209,9 +209,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
     base, bases = 0, {}
     for part in sorted(parts):
         bases[part], base = base, base + parts[part]
-    sums = shards.select("part", "shard", "n_ids")
-    before = sums.alias("a").join(sums.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.shard") < F.col("a.shard"))).groupBy("a.part", "a.shard").agg(F.sum("b.n_ids").alias("earlier"))
-    rows = shards.join(before, ["part", "shard"], "left").select("part", F.coalesce("earlier", F.lit(0)).alias("earlier"), "blob")
+    before = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sums = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("earlier"))
+    rows = shards.select("part", "shard", "blob").join(sums, ["part", "shard"]).select("part", "earlier", "blob")
 
     def run(batches):
         for batch in batches:
