@@ -141,7 +141,9 @@ def op9_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
     hits, _ = find_hits(docs, benchmark)
-    return docs.withColumn("_q_key", key_of(F.col("text"))).join(hits.select(F.col("key").alias("_q_key")).distinct(), "_q_key", "left_anti").select(docs.columns)
+    # A list that grows with the corpus: joined by shuffle at every size.
+    keys = hits.select(F.col("key").alias("_q_key")).distinct().hint("merge")
+    return docs.withColumn("_q_key", key_of(F.col("text"))).join(keys, "_q_key", "left_anti").select(docs.columns)
 
 
 SQL = r"""
