@@ -32,7 +32,7 @@ MODULUS, HELD_OUT = 5, 1
 #: Of the training documents, those whose crc32 // MODULUS is 0 modulo this are held out for EM.
 FOLDS = 8
 #: Bytes of text in a batch.
-BATCH_TEXT = 16 << 20
+BATCH_TEXT = 6 << 20
 BUCKETS = 24
 EM_STEPS = 60
 END, START = 0, 1
@@ -124,6 +124,12 @@ def batched(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def rows_of(rb: pa.RecordBatch):
+    """Rows as dicts, one in memory at a time."""
+    for i in range(rb.num_rows):
+        yield rb.slice(i, 1).to_pylist()[0]
+
+
 def batch_of(row: dict) -> Batch:
     return Batch(widened(row["tokens"]).astype(np.int64), np.frombuffer(row["hashes"], np.uint64), widened(row["lengths"]).astype(np.int64))
 
@@ -133,7 +139,7 @@ def sent(batches: DataFrame, ranges: int) -> DataFrame:
 
     def run(rbs):
         for rb in rbs:
-            for row in rb.to_pylist():
+            for row in rows_of(rb):
                 b = batch_of(row)
                 train = ~np.array(row["held_out"], bool)
                 fold = np.array(row["fold"], bool)
@@ -245,7 +251,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def events(rbs):
         for rb in rbs:
-            for row in rb.to_pylist():
+            for row in rows_of(rb):
                 b = batch_of(row)
                 c = Counts(b, row["answers"], ("rest",))
                 on = np.repeat(~np.array(row["held_out"], bool) & np.array(row["fold"], bool), b.lengths)
@@ -261,11 +267,11 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def run(rbs):
         for rb in rbs:
-            for row in rb.to_pylist():
+            for row in rows_of(rb):
                 b = batch_of(row)
                 c = Counts(b, row["answers"], ("rest", "held"))
-                w = weights[bucket_of(c.context)]
-                p = w[:, 0] * c.pair / np.maximum(c.context, 1) + w[:, 1] * c.word / max(1, tokens) + w[:, 2] / (kinds + 1)
+                bucket = bucket_of(c.context)
+                p = weights[bucket, 0] * c.pair / np.maximum(c.context, 1) + weights[bucket, 1] * c.word / max(1, tokens) + weights[bucket, 2] / (kinds + 1)
                 starts = b.ends - b.lengths
                 add = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays([
