@@ -56,8 +56,8 @@ class BradleyTerry:
     """Scores of vectors, learned from preference pairs."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = STEPS, seed: int = 7):
-        x = np.asarray(x, np.float64).reshape(len(y), -1)
-        self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1] or len(statistics("")))
+        x = np.asarray(x, np.float64) if len(y) else np.zeros((0, len(statistics(""))))
+        self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
         self.scale = (x.std(0) if len(x) else np.ones_like(self.mean)) + 1e-9
         at = np.arange(1, steps + 1) / (steps + 1)
         self.cuts = np.quantile(x, at, axis=0).T if len(x) else np.zeros((len(self.mean), steps))
