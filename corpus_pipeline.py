@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, packing, secrets, simhash, toxicity
 from quern.llm.common import staged, table
-from quern.llm.tokens import WordEncoder, tokenizer_path
+from quern.llm.tokens import encoder_of, tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their sequences and offsets."""
     path = tokenizer_path("byte_bpe_50k.json")
-    return packing.packed(docs, lambda: WordEncoder(path, spaced=True))
+    return packing.packed(docs, lambda: encoder_of(path, spaced=True))
 
 
 STAGES = [("toxicity", toxicity_stage), ("simhash_near_dedup", near_dedup_stage), ("benchmark_decontamination", decontamination_stage), ("secret_scans", secrets_stage), ("best_fit_packing", packing_stage)]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged, table, texts_of
-from .tokens import WordEncoder, crc_of, tokenizer_path
+from .tokens import WordEncoder, crc_of, encoder_of, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -211,4 +211,4 @@ def packed(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: int = EN
 
 def op4_swap_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("byte_bpe_50k.json")
-    return packed(table(spark, sf_dir, "documents"), lambda: WordEncoder(path, spaced=True))
+    return packed(table(spark, sf_dir, "documents"), lambda: encoder_of(path, spaced=True))

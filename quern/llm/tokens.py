@@ -13,8 +13,12 @@ lost, and which any store that Spark writes can hold. Only one count a partition
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -28,8 +32,12 @@ MAGIC = b"QEF1"
 END_ID = 1
 #: A shard is closed when it holds so many ids.
 SHARD_IDS = 1 << 20
-#: Words remembered by a task's tokenizer before it starts anew.
-MEMO = 400_000
+#: Parts of texts remembered by a Python worker's tokenizer before it starts anew.
+MEMO = 600_000
+#: A word of Latin letters and the ASCII marks behind it, without apostrophes: any pre-tokenizer here parts the two.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: White space that keeps a text in one piece: two together, or any other than space and line end.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,42 +49,78 @@ def tokenizer_path(name: str) -> str:
 class WordEncoder:
     """encode(text, add_special_tokens=False) by a tokenizers file, with a memo for parts of texts.
 
-    `spaced` says how parts may be cut. False: the tokenizer drops white space, so any space is a
-    cut. True: a space belongs to the word behind it, so texts are cut before single spaces between
-    other characters, and a text with other white space next to a space is encoded in one piece.
-    Either way the ids are those of the whole text. Names of special tokens are ordinary text.
+    `spaced` says how parts may be cut. False: the tokenizer drops white space and folds case, so any
+    space or line end is a cut. True: a space belongs to the word behind it, and a line end is a part
+    of its own; a text with other white space, or with two together, is encoded in one piece. New
+    parts are cut further, before marks behind a word. Either way the ids are those of the whole
+    text. Names of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, spaced: bool):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.odd = spaced, re.compile(r" \s|\s |^ | $")
+        self.spaced = spaced
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model, self.kind = self.tokenizer.model, "H" if self.width == "<u2" else "I"
+        # Byte-level models see each byte as a printable character: itself, or the next free one from 256 on.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.shown = {b: 256 + i for i, b in enumerate(hidden)}
         self.memo: dict[str, bytes] = {}
-
-    def _ids(self, part: str) -> bytes:
-        got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.width).tobytes()
-        if len(part) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[part] = got
+        self.marks: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of Latin letters, which stay together until the model: the tokenizer's model alone."""
+        shown = ((" " if self.spaced else "") + word).encode().decode("latin-1").translate(self.shown)
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _get(self, part: str) -> bytes:
+        """Ids of a part as parts are keyed: behind a space if `spaced`, unless it begins with a line end."""
+        got = self.memo.get(part)
+        if got is None:
+            if m := _MARKED.fullmatch(part):
+                word, marks = (m[1] if self.spaced else m[1].lower()), m[2]
+                got = self._word(word) if word == part else self._get(word)
+                if marks:
+                    if marks not in self.marks and len(self.marks) < MEMO:
+                        self.marks[marks] = self._whole(marks)
+                    got += self.marks.get(marks) or self._whole(marks)
+            else:
+                got = self._plain(part)
+            if len(part) <= 64:
+                self.memo[part] = got
         return got
 
+    def _plain(self, part: str) -> bytes:
+        if self.spaced and part[0] == "\n":
+            return (self._whole("\n") if len(part) > 1 else b"") + self._whole(part[1:] or part)
+        return self._whole(" " + part if self.spaced else part)
+
     def encode(self, text: str) -> np.ndarray:
-        if self.spaced and self.odd.search(text):
-            return np.frombuffer(self._ids(text), self.width)
-        parts = text.split(" ")
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         if self.spaced:
-            parts[1:] = [" " + x for x in parts[1:]]
-        memo = self.memo
-        try:
-            return np.frombuffer(b"".join([memo[x] for x in parts]), self.width)
-        except KeyError:
-            return np.frombuffer(b"".join([memo[x] if x in memo else self._ids(x) for x in parts]), self.width)
+            if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
+                return np.frombuffer(self._whole(text), self.width)
+            head, *parts = text.replace("\n", " \n").split(" ")
+        else:
+            head, parts = "", text.replace("\n", " ").split(" ")
+        got = list(map(self.memo.get, parts))
+        if None in got:
+            got = [self._get(x) if g is None else g for x, g in zip(parts, got, strict=True)]
+        return np.frombuffer((self._whole(head) if head else b"") + b"".join(got), self.width)
+
+
+def encoder_of(path: str, spaced: bool) -> WordEncoder:
+    """The encoder of this Python process, which keeps its memo from task to task."""
+    kept = sys.modules.setdefault("_quern_encoders", types.ModuleType("_quern_encoders")).__dict__
+    if (path, spaced) not in kept:
+        kept[path, spaced] = WordEncoder(path, spaced)
+    return kept[path, spaced]
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -229,4 +273,4 @@ def op3_elias_fano_ids(spark: SparkSession, sf_dir: str, path: str | None = None
     """Null texts are empty and hold the end id alone; null ids come first; repeated rows each return
     a row; an empty table gives no shard and no row; extra columns are left out."""
     path = path or tokenizer_path("word_bpe_49k.json")
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), lambda: WordEncoder(path, spaced=False)))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), lambda: encoder_of(path, spaced=False)))
