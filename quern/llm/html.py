@@ -6,7 +6,7 @@ scan finds the contiguous run with the largest sum, which is the content region.
 boilerplate by its element or class is left out of the region's text.
 
 Labelled pages are those that mark their content with an article element, at most `SAMPLE` of them,
-the smallest by the hash of page_id; the element itself is no feature.
+the smallest by the hash of the page; the element itself is no feature.
 """
 
 from __future__ import annotations
@@ -159,8 +159,10 @@ class Extractor:
 
 
 def fitted(pages: DataFrame, rows: int = SAMPLE) -> Extractor:
-    order = [F.xxhash64("page_id"), F.xxhash64("html")]
-    some = pages.where(F.col("html").contains("<article")).orderBy(*order).select("html").limit(rows).collect()
+    # Hashes alone are ranked, so no task sends pages that another's then displace; equal pages count once.
+    marked = pages.where(F.col("html").contains("<article")).select("html", F.xxhash64("html").alias("h"))
+    least = marked.groupBy("h").agg(F.lit(1).alias("one")).orderBy("h").limit(rows).select("h")
+    some = marked.join(F.broadcast(least), "h").groupBy("h").agg(F.first("html").alias("html")).orderBy("h").select("html").collect()
     return Extractor([r[0] for r in some])
 
 
