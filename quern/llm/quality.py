@@ -47,7 +47,7 @@ def statistics(text: str) -> list[float]:
         math.log1p(len(words)), math.log1p(len(text)), len(text) / n, len(kinds) / n, len(low) / n, len(pairs) / n, same / n,
         marks / c, marks / n, len(_RUN.findall(text)) / n, len(_UPPER.findall(text)) / c, len(_DIGIT.findall(text)) / c,
         text.count("|") / n, text.count(".") / n, text.count(",") / n, len(lines) / n, len(set(lines)) / len(lines),
-        sum(w.isalpha() for w in kinds) / (len(kinds) or 1), len(zlib.compress(text[:65536].encode("utf-8", "surrogatepass"), 1)) / c if text else 0.0,
+        sum(w.isalpha() for w in kinds) / (len(kinds) or 1), len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1)) / c if text else 0.0,
         sum(text.count(x) for x in ("http", "www", "©", "{", "}", "<", ">")) / n,
     ]
 

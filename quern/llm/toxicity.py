@@ -28,7 +28,9 @@ SAMPLE = 2500
 FEATURES = 1500
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-PREFIX = 5
+PREFIXES = (4, 5)
+#: Features whose log-odds are so many standard errors from 0, and the L2 penalty in rows.
+SIGNIFICANT, PENALTY = 2.5, 0.05
 #: Look-alikes: what a sign may stand for besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 SWAP_COST, KEEP_COST, REPEAT_COST, DROP_COST = 0.7, 4.0, 0.7, 0.2
@@ -75,9 +77,13 @@ class Restorer:
         if (got := self.memo.get(token)) is None:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            got = self.memo[token] = self.decode(bare if len(bare) > 64 else token.rstrip(".,;:?\"')")) if len(bare) <= 64 else bare
+            got = self.memo[token] = self.decoded(token.rstrip(".,;:?\"')"))
         return got
 
+    def decoded(self, token: str) -> str:
+        """The whole token, a long one in stretches of 64 characters, as paths carry their text along."""
+        return "".join(self.decode(token[i : i + 64]) for i in range(0, len(token), 64))
+
     def decode(self, token: str) -> str:
         paths = {"^^": (0.0, "")}
         for i, c in enumerate(token):
@@ -110,12 +116,12 @@ class Restorer:
         tokens = set(low.split())
         out = {self.word(t) for t in tokens}
         for m in _SPACED.finditer(low):
-            out.add(self.decode(re.sub(r"[ ._*\-]", "", m[0])[:64]))
+            out.add(self.decoded(re.sub(r"[ ._*\-]", "", m[0])))
         return out
 
 
 def features(words: set[str]) -> set[str]:
-    return words | {"^" + w[:PREFIX] for w in words if len(w) > PREFIX - 1}
+    return words | {"^" + w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
 class Toxicity:
@@ -132,17 +138,17 @@ class Toxicity:
         for t, label in zip(texts, labels, strict=True):
             (pos if label else neg).update(features(self.restorer.words(t)))
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-        gain = {f: abs(math.log((pos[f] + 0.5) / (n1 + 1)) - math.log((neg[f] + 0.5) / (n0 + 1))) * math.sqrt(pos[f] + neg[f]) for f in (pos | neg) if pos[f] + neg[f] >= 3}
-        chosen = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
+        gain = {f: abs(math.log((pos[f] + 0.5) / (n1 + 1)) - math.log((neg[f] + 0.5) / (n0 + 1))) / math.sqrt(1 / (pos[f] + 0.5) + 1 / (neg[f] + 0.5)) for f in (pos | neg) if pos[f] + neg[f] >= 3}
+        chosen = sorted((f for f in gain if gain[f] >= SIGNIFICANT), key=lambda f: (-gain[f], f))[:FEATURES]
         number = {f: i for i, f in enumerate(chosen)}
         x = np.zeros((len(texts), len(chosen) + 1), np.float32)
         x[:, -1] = 1
         for i, t in enumerate(texts):
             x[i, [number[f] for f in features(self.restorer.words(t)) if f in number]] = 1
         w = np.zeros(x.shape[1], np.float32)
-        # Both labels weigh as they do in the sample; proximal gradient steps with momentum, and L2 as one row weighs.
+        # Both labels weigh as they do in the sample; proximal gradient steps with momentum, and L2.
         v, rate = w.copy(), np.float32(4.0 / max(1.0, float(x.sum(1).mean()) if len(x) else 1))
-        shrink = np.append(np.full(len(chosen), 1 + rate / max(1, len(y))), 1).astype(np.float32)
+        shrink = np.append(np.full(len(chosen), 1 + PENALTY * rate / max(1, len(y))), 1).astype(np.float32)
         for k in range(400 if len(x) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
             new = (v - rate * (x.T @ (p - y).astype(np.float32) / len(y))) / shrink

@@ -45,7 +45,7 @@ def test_decoder_restores():
         assert r.word(token) == want
     assert "stupid" in r.words("you are s t u p 1 d now")
     assert r.words("") == set()
-    assert len(r.word("1" * 5000)) == 5000
+    assert r.word("x1" * 5000).count("x") >= 4000 and r.word("1" * 5000) == "1" * 5000
 
 
 def test_toxicity_learns_and_is_total(spark, texts):
