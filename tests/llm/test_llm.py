@@ -45,7 +45,8 @@ def test_decoder_restores():
         assert r.word(token) == want
     assert "stupid" in r.words("you are s t u p 1 d now")
     assert r.words("") == set()
-    assert r.word("x1" * 5000).count("x") >= 4000 and r.word("1" * 5000) == "1" * 5000
+    assert r.word("x1" * 5000).count("x") == 5000  # a long token is decoded whole
+    assert len(r.word("1" * 5000)) < 5000  # and its repetition is taken back
 
 
 def test_toxicity_learns_and_is_total(spark, texts):
