@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vector import let
+
 SPACE = "[ \n\t\r]+"
 
 
@@ -44,10 +46,14 @@ def chunk_step(size: int, overlap: float = 0.2) -> int:
 
 def fixed_chunks(text: Column, size: int, overlap: float = 0.2) -> Column:
     """Array of chunks of `size` words, each beginning `size` less the overlap after the last. A text without words has none."""
-    step, w = chunk_step(size, overlap), words(text)
-    n = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / F.lit(step)).cast("int")) + 1
-    chunk = lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), chunk)).otherwise(F.array().cast("array<string>"))
+    step = chunk_step(size, overlap)
+
+    def chunks(w: Column) -> Column:
+        n = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / F.lit(step)).cast("int")) + 1
+        chunk = lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), chunk)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), chunks)
 
 
 def sentences(text: Column) -> Column:
