@@ -8,10 +8,13 @@ length, of which every gram is kept.
 
 The benchmark index is joined in blocks of `BLOCK_ROWS` rows of at most about 2 * SPAN words, so
 what is broadcast is bounded however large the benchmark is; documents are never shuffled by it.
+A sieve of one bit a hash, made from the block, tells most grams of documents apart from all of the
+block's before they are winnowed, so minima are sought and words gathered for the few that are left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,8 @@ GRAM = 5
 BLOCK_ROWS = 250_000
 #: Documents are searched in segments of so many words, which overlap by a window.
 SEGMENT = 4096
+#: Bits of the sieve that grams pass before they are winnowed, a power of two; four a row of a block at least.
+SIEVE_BITS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,25 +37,47 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def winnowed(df: DataFrame, span: int, gram: int) -> DataFrame:
+def n_words(text: Column) -> Column:
+    """How many words(text) has; letters of either case are none of its separators, so it counts them as they stand."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
+
+
+def sieve(index: DataFrame) -> Callable[[Column], Column]:
+    """A test that each hash of the index passes, and others seldom: one bit of SIEVE_BITS by the hash.
+
+    The bits are a constant of the plan, of one size for every index.
+    """
+    place = F.col("hash").bitwiseAND(SIEVE_BITS - 1)
+    rows = index.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    held = {r[0]: r[1] for r in rows.collect()}  # SIEVE_BITS / 64 rows at most
+    table = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(SIEVE_BITS >> 6))), ",").cast("array<bigint>")
+    return lambda g: F.getbit(F.get(table, F.shiftright(g.bitwiseAND(SIEVE_BITS - 1), 6).cast("int")), g.bitwiseAND(63).cast("int")) == 1
+
+
+def winnowed(df: DataFrame, span: int, gram: int, some: Callable[[Column], Column] | None = None) -> DataFrame:
     """df with `picks`: array of (at, hash), the kept grams of its column `words`, at from 0.
 
-    Array entries are taken one by one: slice() copies the whole array each time. Entries beyond an
-    array's ends are null, which least() and greatest() pass over.
+    With `some`, only grams that it lets through are looked at: each kept one of those is picked.
+    Array entries are taken one by one: slice() copies the whole array each time.
     """
     width = span - gram + 1
     n = F.size("words")
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     df = df.withColumn("grams", F.transform("hashes", lambda h, i: F.when(i <= n - gram, F.xxhash64(h, *(F.get("hashes", i + j) for j in range(1, gram))))))
-    kept = lambda g, i: g.isNotNull()
-    if width > 1:
-        df = df.withColumn("least", F.transform("grams", lambda g, i: F.when(i <= n - span, F.least(g, *(F.get("grams", i + j) for j in range(1, width))))))
-        kept = lambda g, i: g == F.greatest(*(F.get("least", i - j) for j in range(width)))
-    picks = F.transform("grams", lambda g, i: F.when(kept(g, i), F.struct(i.alias("at"), g.alias("hash"))))
-    return df.withColumn("picks", F.filter(picks, lambda p: p.isNotNull())).drop("hashes", "grams", "least")
+
+    def kept(g: Column, i: Column) -> Column:
+        """Whether g is the least of a whole window of grams with place i."""
+        least = lambda s: F.least(*(F.get("grams", s + j) for j in range(width))) if width > 1 else F.get("grams", s)
+        return reduce(Column.__or__, ((i - j >= 0) & (i - j <= n - span) & (g == least(i - j)) for j in range(width)))
+
+    def pick(g: Column, i: Column) -> Column:
+        found = F.when(kept(g, i), F.struct(i.alias("at"), g.alias("hash")))
+        return F.when(g.isNotNull() & some(g) if some else g.isNotNull(), found)
+
+    return df.withColumn("picks", F.filter(F.transform("grams", pick), lambda p: p.isNotNull())).drop("hashes", "grams")
 
 
-def grams_around(df: DataFrame, keep: list[str], span: int, gram: int) -> DataFrame:
+def grams_around(df: DataFrame, keep: list[str], span: int, gram: int, some: Callable[[Column], Column] | None = None) -> DataFrame:
     """The columns `keep` and at, hash, ctx of each kept gram of `words`: ctx holds the words around
     it that a window with it can reach, `span - gram` places on each side, null beyond the ends.
 
@@ -58,7 +85,7 @@ def grams_around(df: DataFrame, keep: list[str], span: int, gram: int) -> DataFr
     inlined down to the text; and no array of a whole document goes along with each gram.
     """
     around = F.transform("picks", lambda p: F.struct(p.at.alias("at"), p.hash.alias("hash"), F.array(*(F.get("words", p.at + j) for j in range(gram - span, span))).alias("ctx")))
-    return winnowed(df, span, gram).select(*keep, F.explode_outer(around).alias("p")).where(F.col("p").isNotNull()).select(*keep, "p.*")
+    return winnowed(df, span, gram, some).select(*keep, F.explode_outer(around).alias("p")).where(F.col("p").isNotNull()).select(*keep, "p.*")
 
 
 def segments(docs: DataFrame, span: int) -> DataFrame:
@@ -70,7 +97,7 @@ def segments(docs: DataFrame, span: int) -> DataFrame:
 
 def hits_of(docs: DataFrame, index: DataFrame, span: int, gram: int) -> DataFrame:
     """(key, content, start, end) of the spans of docs (key, words) that hold windows of the index."""
-    rows = grams_around(segments(docs, span), ["key", "base"], span, gram)
+    rows = grams_around(segments(docs, span), ["key", "base"], span, gram, sieve(index))
     met = rows.join(F.broadcast(index), "hash")
     reach = span - gram
 
@@ -127,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     named = hits.select("key", "content").distinct().join(items, "content").select("key", "item").distinct()
     named = named.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("ids"))
     result = staged(placed.join(named, "key").select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")), "hit_docs")
-    own = docs.select("doc_id", key_of(F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    own = docs.select("doc_id", key_of(F.col("text")).alias("key"), n_words(F.col("text")).alias("n_words"))
     return own.join(result, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
