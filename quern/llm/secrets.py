@@ -247,7 +247,11 @@ class Scanner:
                         found.append((at, end, kind))
         found.sort(key=lambda x: (x[0], self.kinds.index(x[2])))
         if len(data) != len(text):
-            place = {x: len(data[:x].decode("utf-8", "surrogatepass")) for a, b, _ in found for x in (a, b)}
+            place, at, chars = {}, 0, 0
+            for x in sorted({x for a, b, _ in found for x in (a, b)}):  # one pass, however many spans
+                chars += len(data[at:x].decode("utf-8", "surrogatepass"))
+                place[x] = chars
+                at = x
             found = [(place[a], place[b], k) for a, b, k in found]
         return found
 
