@@ -20,8 +20,21 @@ def json_repair(spark, d):
 
 @query("""SELECT item_id, '{"prompt":"' || text || '","max_tokens":256}' AS payload FROM benchmark WHERE text NOT LIKE '%"%' AND NOT contains(text, chr(10)) AND NOT contains(text, chr(92)) AND NOT contains(text, chr(9))""")
 def request_payload(spark, d):
+    """Only the rows that the SQL keeps; request_payload_all serialises the whole table."""
     b = table(spark, d, "benchmark").where("text NOT LIKE '%\"%'").where(~F.col("text").contains("\n") & ~F.col("text").contains("\\") & ~F.col("text").contains("\t"))
-    return b.select("item_id", F.to_json(F.struct(F.col("text").alias("prompt"), F.lit(M.Params().max_tokens).alias("max_tokens"))).alias("payload"))
+    return payloads(b)
+
+
+def payloads(rows):
+    """item_id and request body of every row; a null text is a null prompt."""
+    body = F.struct(F.col("text").alias("prompt"), F.lit(M.Params().max_tokens).alias("max_tokens"))
+    return rows.select("item_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+@query()
+def request_payload_all(spark, d):
+    """Every row of benchmark; a test holds the escaping against json.dumps."""
+    return payloads(table(spark, d, "benchmark"))
 
 
 @query("SELECT item_id, text AS answer FROM benchmark")
