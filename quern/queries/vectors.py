@@ -46,23 +46,32 @@ def filtered_topk(spark, d):
     return retrieval.top_k(corpus, F.round(V.cosine(vector_of(spark, d, 0), F.col("embedding")), 6), "vec_id", 5).select("vec_id", "score")
 
 
-def _best(spark, d, k=3):
+#: The queries of the whole forms; those with SQL ask for the five vectors that it asks for, and cut texts as it does.
+ASKED = "vec_id % 20 = 0"
+
+
+def _best(spark, d, k=3, asked="vec_id < 5"):
     e = table(spark, d, "embeddings")
-    return retrieval.top_k_each(e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e, "qid", "q", "vec_id", "embedding", k)
+    return retrieval.top_k_each(e.where(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e, "qid", "q", "vec_id", "embedding", k)
+
+
+def _first(text, chars):
+    """The first chars characters of a text, or all of it for None."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 @query(f"""WITH r AS ({RANKED}) SELECT r.qid, string_agg(substr(t.text, 1, 60), e'\\n' ORDER BY r.rank) AS context, CAST(count(*) AS BIGINT) AS n
 FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3 GROUP BY r.qid""")
-def retrieval_chain(spark, d):
-    rows = _best(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    text = F.substring("text", 1, 60)
+def retrieval_chain(spark, d, asked="vec_id < 5", chars=60):
+    rows = _best(spark, d, 3, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    text = _first(F.col("text"), chars)
     return retrieval.stuffed(rows, ["qid"], "rank", text).join(rows.groupBy("qid").agg(F.count("*").alias("n")), "qid").select("qid", "context", "n")
 
 
 @query(f"WITH r AS ({RANKED}) SELECT r.qid, r.rank, substr(t.text, 1, 40) AS context FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 5")
-def contexts(spark, d):
-    rows = _best(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    results = rows.select("qid", "rank", F.array(F.struct(F.struct(F.substring("text", 1, 40).alias("text")).alias("content"))).alias("results"))
+def contexts(spark, d, asked="vec_id < 5", chars=40):
+    rows = _best(spark, d, 5, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    results = rows.select("qid", "rank", F.array(F.struct(F.struct(_first(F.col("text"), chars).alias("text")).alias("content"))).alias("results"))
     return results.select("qid", F.col("rank").cast("long").alias("rank"), F.explode(F.transform("results", lambda r: r.content.text)).alias("context"))
 
 
@@ -99,17 +108,37 @@ def hash_embed(spark, d):
 
 @query(f"""WITH r AS ({RANKED}), t AS (SELECT r.qid, r.rank, '<fact>' || substr(regexp_replace(t.text, '[ \\n\\t\\r]+', ' ', 'g'), 1, 50) || '</fact>' AS f FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3)
 SELECT qid, '<facts>' || string_agg(f, '' ORDER BY rank) || '</facts>' AS prompt FROM t GROUP BY qid""")
-def stuff_prompt(spark, d):
-    rows = _best(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    fact = F.concat(F.lit("<fact>"), F.substring(F.regexp_replace("text", T.SPACE, " "), 1, 50), F.lit("</fact>"))
+def stuff_prompt(spark, d, asked="vec_id < 5", chars=50):
+    rows = _best(spark, d, 3, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    fact = F.concat(F.lit("<fact>"), _first(F.regexp_replace("text", T.SPACE, " "), chars), F.lit("</fact>"))
     return retrieval.stuffed(rows, ["qid"], "rank", fact, "").select("qid", F.concat(F.lit("<facts>"), "context", F.lit("</facts>")).alias("prompt"))
 
 
 @query(f"""WITH r AS ({RANKED}), t AS (SELECT r.qid, r.rank, substr(regexp_replace(t.text, '[ \\n\\t\\r]+', ' ', 'g'), 1, 50) AS f FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3),
 p AS (SELECT qid, 'Results: ' || string_agg(f, ' ' ORDER BY rank) AS prompt FROM t GROUP BY qid)
 SELECT qid, prompt, array_to_string(list_filter(regexp_split_to_array(prompt, '[ \\n\\t\\r]+'), lambda x: x <> '')[1:256], ' ') AS answer FROM p""")
-def rag_end_to_end(spark, d):
+def rag_end_to_end(spark, d, asked="vec_id < 5", chars=50):
     """Retrieve, put the texts in a prompt, generate; the contexts stay with the answer."""
-    rows = _best(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    joined = retrieval.stuffed(rows, ["qid"], "rank", F.substring(F.regexp_replace("text", T.SPACE, " "), 1, 50), " ")
+    rows = _best(spark, d, 3, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    joined = retrieval.stuffed(rows, ["qid"], "rank", _first(F.regexp_replace("text", T.SPACE, " "), chars), " ")
     return joined.select("qid", template.with_results("Results: $search_results$", F.col("context")).alias("prompt")).withColumn("answer", RuleModel()(F.col("prompt")))
+
+
+@query()
+def retrieval_chain_whole(spark, d):
+    return retrieval_chain(spark, d, ASKED, None)
+
+
+@query()
+def contexts_whole(spark, d):
+    return contexts(spark, d, ASKED, None)
+
+
+@query()
+def stuff_prompt_whole(spark, d):
+    return stuff_prompt(spark, d, ASKED, None)
+
+
+@query()
+def rag_end_to_end_whole(spark, d):
+    return rag_end_to_end(spark, d, ASKED, None)
