@@ -34,10 +34,16 @@ SIGNIFICANT, PENALTY = 2.5, 0.05
 #: Look-alikes: what a sign may stand for besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 SWAP_COST, KEEP_COST, REPEAT_COST, DROP_COST = 0.7, 4.0, 0.7, 0.2
+#: What a word of a spaced-out run costs besides its letters, and one that is not known; letters of such a word at most.
+BREAK_COST, UNKNOWN_COST, SPACED_WORD = 2.0, 6.0, 32
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£*._\-]|[0-9@$!|+(<€£].*[^\W\d_]|(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\s.,;:!?])")
+_ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£*._\-]|[0-9@$!|+(<€£].*[^\W\d_]|(.)\1\1|([^\W\d_])\2")
+#: Look-alikes that are plain marks before a word and behind it, and a token's signs at its ends.
+_PLAIN_BEFORE, _PLAIN_BEHIND = "(<", "!"
+_MARKS = "".join(c for c in LOOKALIKES if not c.isalnum())
+_NO_LETTER = re.compile(rf"^(?:(?![{re.escape(_MARKS)}])[\W_])+|(?:(?![{re.escape(_MARKS)}])[\W_])+$")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
 
 
 class CharModel:
@@ -57,8 +63,16 @@ class CharModel:
         for k, n in self.two.items():
             self.ctx1[k[0]] += n
         self.total = sum(self.one.values()) or 1
+        self.memo: dict[str, float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
+        if (got := self.memo.get(a + b + c)) is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            got = self.memo[a + b + c] = self.fresh(a, b, c)
+        return got
+
+    def fresh(self, a: str, b: str, c: str) -> float:
         p = 0.75 * self.three[a + b + c] / (self.ctx2[a + b] or 1) + 0.2 * self.two[b + c] / (self.ctx1[b] or 1) + 0.05 * (self.one[c] + 0.5) / (self.total + 64)
         return -math.log(p)
 
@@ -67,48 +81,99 @@ class Restorer:
     """Viterbi decoding of one token; the state of a path is its last two letters."""
 
     def __init__(self, model: CharModel, words: Counter):
-        self.model, self.known, self.memo = model, set(words), {}
+        self.model, self.known, self.memo = model, dict(words), {}
 
     def word(self, token: str) -> str:
-        """The restored form of a lower-case token; known and plain tokens stay as they are."""
-        bare = _EDGE.sub("", token)
-        if bare in self.known or not _ODD.search(bare):
+        """The restored form of a lower-case token; known and plain tokens stay as they are.
+
+        Signs at its ends are kept if they may stand for letters, so the decoder sees them.
+        """
+        bare, core = _EDGE.sub("", token), _NO_LETTER.sub("", token)
+        if core == bare and (bare in self.known or not _ODD.search(bare)):
             return bare
         if (got := self.memo.get(token)) is None:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            got = self.memo[token] = self.decoded(token.rstrip(".,;:?\"')"))
+            got = self.memo[token] = self.edged(bare, core) if core != bare else self.decoded(token.rstrip(".,;:?\"')"))
         return got
 
+    def edged(self, bare: str, core: str) -> str:
+        """The likeliest known word with the signs at the ends dropped or read as letters, else the decoded token."""
+        if not bare:  # signs alone, such as @$$
+            return word if len(set(core)) > 1 and (word := self.decoded(core)) in self.known else ""
+        at = core.index(bare)
+        before, behind = self.readings(core[:at][::-1], _PLAIN_BEFORE), self.readings(core[at + len(bare) :], _PLAIN_BEHIND)
+        found = [(c + d - math.log(self.known[w]), w) for x, c in before for y, d in behind if (w := x[::-1] + bare + y) in self.known]
+        if found:
+            return min(found)[1]
+        return self.decoded(core) if _ODD.search(core.lstrip(_PLAIN_BEFORE).rstrip(_PLAIN_BEHIND)) else bare
+
+    def readings(self, signs: str, plain: str) -> list[tuple[str, float]]:
+        """What signs at an end, from the word outwards, may stand for, with costs: the first few for letters, the others for nothing."""
+        drop = [DROP_COST if c in plain or c not in LOOKALIKES else KEEP_COST / 2 for c in signs]
+        out, own = [("", sum(drop))], [("", 0.0)]
+        for i, c in enumerate(signs[:4]):
+            if c not in LOOKALIKES:
+                break
+            own = [(t + x, cost + SWAP_COST) for t, cost in own for x in LOOKALIKES[c]]
+            out += [(t, cost + sum(drop[i + 1 :])) for t, cost in own]
+        return out
+
     def decoded(self, token: str) -> str:
         """The whole token, a long one in stretches of 64 characters, as paths carry their text along."""
         return "".join(self.decode(token[i : i + 64]) for i in range(0, len(token), 64))
 
     def decode(self, token: str) -> str:
         paths = {"^^": (0.0, "")}
-        for i, c in enumerate(token):
-            new: dict[str, tuple[float, str]] = {}
-
-            def offer(state, cost, text, new=new):
-                if state not in new or cost < new[state][0]:
-                    new[state] = (cost, text)
-
-            for state, (cost, text) in paths.items():
-                if c.isalpha():
-                    offer(state[1] + c, cost + self.model.cost(*state, c), text + c)
-                    if i and token[i - 1] == c and state[1] == c:
+        for i in range(len(token)):
+            paths = self.extended(paths, token, i)
+        return self.ended(paths)[1]
+
+    def ended(self, paths: dict) -> tuple[float, str]:
+        return min((cost + self.model.cost(*state, "$"), text) for state, (cost, text) in paths.items())
+
+    def extended(self, paths: dict, token: str, i: int, start: int = 0) -> dict:
+        """The paths behind place i of the token, for a word that begins at start."""
+        c = token[i]
+        new: dict[str, tuple[float, str]] = {}
+
+        def offer(state, cost, text):
+            if state not in new or cost < new[state][0]:
+                new[state] = (cost, text)
+
+        again = i > start and token[i - 1] == c
+        for state, (cost, text) in paths.items():
+            if c.isalpha():
+                offer(state[1] + c, cost + self.model.cost(*state, c), text + c)
+                if again and state[1] == c:
+                    offer(state, cost + REPEAT_COST, text)
+            else:
+                for x in LOOKALIKES.get(c, ""):
+                    offer(state[1] + x, cost + SWAP_COST + self.model.cost(*state, x), text + x)
+                    if again and state[1] == x:
                         offer(state, cost + REPEAT_COST, text)
+                if c.isdigit():
+                    offer(state[1] + c, cost + KEEP_COST + self.model.cost(*state, c), text + c)
                 else:
-                    for x in LOOKALIKES.get(c, ""):
-                        offer(state[1] + x, cost + SWAP_COST + self.model.cost(*state, x), text + x)
-                        if i and token[i - 1] == c and state[1] == x:
-                            offer(state, cost + REPEAT_COST, text)
-                    if c.isdigit():
-                        offer(state[1] + c, cost + KEEP_COST + self.model.cost(*state, c), text + c)
-                    else:
-                        offer(state, cost + (DROP_COST if 0 < i < len(token) - 1 or c not in LOOKALIKES else KEEP_COST / 2), text)
-            paths = new
-        return min((cost + self.model.cost(*state, "$"), text) for state, (cost, text) in paths.items())[1]
+                    offer(state, cost + (DROP_COST if start < i < len(token) - 1 or c not in LOOKALIKES else KEEP_COST / 2), text)
+        return new
+
+    def spaced(self, run: str) -> list[str]:
+        """The words of a spaced-out run without its spaces, by the cheapest breaks between them."""
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * len(run)
+        for start in range(len(run)):
+            paths, own = {"^^": (0.0, "")}, best[start][0] + BREAK_COST
+            for i in range(start, min(len(run), start + SPACED_WORD)):
+                paths = self.extended(paths, run, i, start)
+                cost, text = self.ended(paths)
+                cost += own + (0 if text in self.known or i == start else UNKNOWN_COST)
+                if cost < best[i + 1][0]:
+                    best[i + 1] = (cost, start, text)
+        out, at = [], len(run)
+        while at:
+            _, at, text = best[at]
+            out.append(text)
+        return out[::-1]
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text, spaced-out words put together."""
@@ -116,7 +181,7 @@ class Restorer:
         tokens = set(low.split())
         out = {self.word(t) for t in tokens}
         for m in _SPACED.finditer(low):
-            out.add(self.decoded(re.sub(r"[ ._*\-]", "", m[0])))
+            out.update(self.spaced(re.sub(r"[ ._*\-]", "", m[0])))
         return out
 
 
