@@ -30,7 +30,8 @@ RULES: dict[str, str] = {
     "assign": f"(?:{_either_case(['password', 'passwd', 'secret', 'token', 'api_?key'])})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]+",
     "access": "AKIA[A-Z0-9]+",
     "hex": "[0-9a-f]+",
-    "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    # On to the END line, or without one over the lines of base64 that follow.
+    "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----|(?:\\r?\\n[A-Za-z0-9+/=]{20,})+(?:\\r?\\n[A-Za-z0-9+/]+={1,2})?)?",
     "forge": "gh[opsu]_[A-Za-z0-9]+",
     "jwt": "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+",
     "chat": "xox[abprs]-[A-Za-z0-9-]+",
