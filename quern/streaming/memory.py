@@ -1,4 +1,4 @@
-"""Conversation memory and monitoring windows, as batch and as streams."""
+"""Conversation memory as batch only, as its ordered window is no stream's; monitoring windows as batch and streams."""
 
 from __future__ import annotations
 
