@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives lost executors.
+_open: list[list[str]] = []
 
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder. It goes when the `scratch` around it ends, or with `keep` or outside when the driver's JVM does."""
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    if _open and not keep:
+        _open[-1].append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scratch tables made inside are deleted at its end, so what it returns must be staged with `keep`."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where, fs = _hadoop(spark, path)
+            fs.delete(where, True)
+
+
+def staged(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
+    """df written to the shared folder, or to a path of the caller's, and read again: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,44 +1,56 @@
-"""Operator 10, language-model scores by deleted interpolation.
+"""Operator 10, language-model scores by deleted interpolation of orders one to three.
 
-P(w|v) = a[b] c(v,w)/c(v) + u[b] c(w)/N + z[b]/(V+1), where b is the bucket of the context's
-frequency c(v) by powers of two, and the weights of each bucket are learned by expectation-
-maximisation on counts of training documents that are held out from the other counts.
+P(w|u,v) = a[b] c(u,v,w)/c(u,v) + d[b] c(v,w)/c(v) + e[b] c(w)/N + z[b]/(V+1), where b is the bucket
+of the longest context that was seen, by its order and by powers of two of its count. The weights of
+each bucket are learned by expectation-maximisation on counts of training documents that are held
+out from the other counts. A document's first word has the START context alone at both orders.
 
 Counting is bulk-synchronous. Documents become batches, a row each with the token numbers and the
-hashes of the words; the table is bucketed by batch, so it is never shuffled. Each batch sends its
-distinct n-grams, as sorted 64-bit keys cut into ranges of the key space and packed in bytes, to
-the reducer of the range; a key comes once from a batch, however frequent it is, so no n-gram is a
-hot key. The reducer adds up and answers with counts in the same order. This ships a few bytes an
-n-gram, where a shuffle of rows and a join back would ship tens. The number of ranges follows the
-number of input partitions, so what a reducer holds doesn't grow with the input.
-
-EM runs on the driver over a histogram of held-out events, whose ratios are rounded to an eighth of
-an octave; its size is bounded by its axes. Scores use exact counts.
+hashes of the words; the table is bucketed by batch, so it is never shuffled. A batch sends its
+distinct n-grams as sorted keys, cut into ranges of the key space and packed in bytes; the reducer of
+a range adds up and answers with counts in the same order. An n-gram comes once from a batch, however
+frequent it is, so none is a hot key; and a few bytes an n-gram are shipped, where a shuffle of rows
+and a join back would ship tens.
+
+Batches and ranges both follow the input, so a row for each pair of them would grow as its square.
+Therefore no sender has more than `FAN` ranges: beyond that, batches meet by cells first, where their
+n-grams are merged, and the merged ones are sent on to finer ranges, over as many levels as it takes;
+counts come back the same way. Rows then grow as the input times the levels, and what a reducer
+holds stays the same.
+
+EM runs on the driver over a histogram of held-out events by bucket and by ratios to half an octave;
+a cell holds the exact means of its events. Its size is bounded by its axes. Scores use exact counts.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, remainder, shared_dir, staged, table
+from .common import pieces, remainder, scratch, scratch_path, staged, table
 from .simhash import LOWER
 
 MODULUS, HELD_OUT = 5, 1
 #: Of the training documents, those whose crc32 // MODULUS is 0 modulo this are held out for EM.
 FOLDS = 8
-#: Bytes of text in a batch.
-BATCH_TEXT = 6 << 20
-BUCKETS = 24
+ORDERS = (1, 2, 3)
+#: Bytes of text in a batch, and ranges that one sender has.
+BATCH_TEXT = 16 << 20
+FAN = 1024
+#: Buckets of contexts of two words, then those of one word where the two were not seen; 0 of the latter: neither was.
+TWO, BUCKETS = 64, 64 + 65
 EM_STEPS = 60
+#: Cells of the histogram an octave.
+RESOLUTION = 2
 END, START = 0, 1
 _END_HASH, _START_HASH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: The least ratio that the histogram tells from 0, in eighths of an octave.
-FLOOR = 8 * 40
+#: Low bits that keys of an order leave out: words keep 64 bits, longer n-grams 56, which ship in fewer bytes.
+SHORT = {1: np.uint64(0), 2: np.uint64(8), 3: np.uint64(8)}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,45 +61,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def narrow(a: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes each as the largest needs."""
+    """Unsigned integers in as few bytes each as the largest needs, lowest bytes of all first: high ones compress well."""
     a = np.ascontiguousarray(a, "<u8")
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes((width,)) + a.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes((width,)) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def widened(b: bytes) -> np.ndarray:
-    rows = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
-    out = np.zeros((len(rows), 8), np.uint8)
-    out[:, : b[0]] = rows
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
     return out.view("<u8").ravel()
 
 
+def packed_keys(keys: np.ndarray, n: int) -> bytes:
+    """Ascending keys as the first and the steps between them."""
+    return keys[:1].tobytes() + narrow(np.diff(keys >> SHORT[n]))
+
+
+def unpacked_keys(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(blob[:8], np.uint64), widened(blob[8:]) << SHORT[n]]), dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Levels of the exchange and ranges a sender has at each; `tasks` wrote the batches."""
+
+    fan: int
+    levels: int
+    tasks: int
+
+    @classmethod
+    def of(cls, tasks: int, most: int = FAN) -> Shape:
+        ranges, levels = max(16, 2 * tasks), 1
+        while (fan := next(f for f in range(2, ranges + 1) if f**levels >= ranges) if levels > 1 else ranges) > max(2, most):
+            levels += 1
+        return cls(fan, levels, tasks)
+
+    def cell(self, batch: int) -> int:
+        """The first level's cell of a batch: tasks that follow each other, fan ** (levels - 1) cells in all."""
+        return (batch >> 32) * self.fan ** (self.levels - 1) // self.tasks
+
+
 class Batch:
-    """Tokens of some documents: `token` numbers words of `hashes`, each document ended by END; `ends` are document ends."""
+    """Tokens of some documents, each ended by END: `token` numbers words of `hashes`.
+
+    `pair` and `three` number the distinct n-grams that end at each place. At a document's first place
+    `first` is true and there is no three; `before` is the pair that ends a place earlier.
+    """
 
     def __init__(self, token: np.ndarray, hashes: np.ndarray, lengths: np.ndarray):
-        self.token, self.lengths = token, lengths
+        self.token, self.lengths, n = token, lengths, len(hashes)
         self.ends = np.cumsum(lengths)
+        starts = self.ends - lengths
         self.context = np.concatenate([[START], token[:-1]]) if len(token) else token
-        self.context[self.ends[:-1]] = START
-        self.hashes = hashes
-        code, self.pair_of = np.unique(self.context * len(hashes) + token, return_inverse=True)
-        first, second = code // len(hashes), code % len(hashes)
-        self.keys = {1: mixed(hashes), 2: mixed(mixed(hashes[first]) * np.uint64(3) + hashes[second])}
+        self.context[starts] = START
+        code, pair = np.unique(self.context * n + token, return_inverse=True)
+        two = mixed(mixed(hashes[code // n]) * np.uint64(3) + hashes[code % n])
+        self.pair = pair.astype(np.int32)
+        self.first = np.zeros(len(token), bool)
+        self.first[starts] = True
+        self.before = np.concatenate([self.pair[:1], self.pair[:-1]])
+        code, three = np.unique(self.before[~self.first].astype(np.int64) * n + token[~self.first], return_inverse=True)
+        self.three = np.zeros(len(token), np.int32)
+        self.three[~self.first] = three
+        keys = {1: mixed(hashes), 2: two, 3: mixed(two[code // n] * np.uint64(5) + hashes[code % n])}
+        self.keys = {o: k >> SHORT[o] << SHORT[o] for o, k in keys.items()}
         self.order = {o: np.argsort(k, kind="stable") for o, k in self.keys.items()}
 
     def counts(self, order: int, docs: np.ndarray) -> np.ndarray:
         """How often each n-gram stands in the documents with docs true; START counts documents."""
         weight = np.repeat(docs, self.lengths)
-        if order == 2:
-            return np.bincount(self.pair_of[weight], minlength=len(self.keys[2]))
-        n = np.bincount(self.token[weight], minlength=len(self.keys[1]))
-        n[START] = docs.sum()
+        if order == 3:
+            weight &= ~self.first
+        n = np.bincount({1: self.token, 2: self.pair, 3: self.three}[order][weight], minlength=len(self.keys[order]))
+        if order == 1:
+            n[START] = docs.sum()
         return n
 
 
-def batched(docs: DataFrame) -> DataFrame:
-    """Batches of docs as rows, in a table bucketed by batch in the shared folder."""
+def batched(docs: DataFrame, shape: Shape) -> tuple[DataFrame, str, int]:
+    """Batches of docs as rows, in a table bucketed by batch in the shared folder; its name and number of buckets."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     crc = remainder(F.col("doc_id"), 1 << 32)
@@ -98,7 +152,7 @@ def batched(docs: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         number = TaskContext.get().partitionId() << 32
-        for rb in pieces(batches, "text", BATCH_TEXT):
+        for rb in joined(batches, BATCH_TEXT):
             words: dict[bytes, int] = {}
             flat, lengths = [], []
             for text in rb.column("text"):
@@ -117,11 +171,23 @@ def batched(docs: DataFrame) -> DataFrame:
 
     rows = only.mapInArrow(run, f"batch long, doc_id array<{kind}>, held_out array<boolean>, fold array<boolean>, lengths binary, tokens binary, hashes binary")
     name = f"quern_lm_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch").saveAsTable(name)
-    return spark.table(name)
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * shape.tasks))
+    rows.write.format("parquet").option("path", scratch_path(spark, "lm")).option("compression", "zstd").bucketBy(buckets, "batch").saveAsTable(name)
+    return spark.table(name), name, buckets
+
+
+def joined(batches, limit: int):
+    """Record batches put together until `text` holds about `limit` bytes in each."""
+    held, size = [], 0
+    for rb in pieces(batches, "text", limit):
+        own = rb.column("text").nbytes
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(rb)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def rows_of(rb: pa.RecordBatch):
@@ -134,98 +200,146 @@ def batch_of(row: dict) -> Batch:
     return Batch(widened(row["tokens"]).astype(np.int64), np.frombuffer(row["hashes"], np.uint64), widened(row["lengths"]).astype(np.int64))
 
 
-def sent(batches: DataFrame, ranges: int) -> DataFrame:
-    """(n, part, batch, keys, rest, held): distinct n-grams of each batch by range of keys, with their training counts."""
+SENT = "n int, cell long, part long, src long, keys binary, rest binary, held binary"
+ANSWERS = "src long, n int, part long, rest binary, held binary, totals array<long>"
+
+
+def cut(n: int, cell: int, src: int, keys: np.ndarray, rest: np.ndarray, held: np.ndarray, ranges: int) -> list[tuple]:
+    """Rows of SENT: a sender's ascending keys with their counts, by the range of the key space they lie in."""
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+    return [(n, cell, int(part[lo]), src, packed_keys(keys[lo:hi], n), narrow(rest[lo:hi]), narrow(held[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _sent_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["n", "cell", "part", "src", "keys", "rest", "held"])
+
+
+def sent(batches: DataFrame, shape: Shape) -> DataFrame:
+    """SENT: distinct n-grams of each batch by range, with their training counts without the fold and in it."""
 
     def run(rbs):
         for rb in rbs:
             for row in rows_of(rb):
                 b = batch_of(row)
-                train = ~np.array(row["held_out"], bool)
-                fold = np.array(row["fold"], bool)
-                out = {c: [] for c in ("n", "part", "batch", "keys", "rest", "held")}
-                for n in (1, 2):
+                train, fold = ~np.array(row["held_out"], bool), np.array(row["fold"], bool)
+                for n in ORDERS:
                     order = b.order[n]
-                    keys = b.keys[n][order]
-                    rest, held = b.counts(n, train & ~fold)[order], b.counts(n, train & fold)[order]
-                    part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
-                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                        own = keys[lo:hi]
-                        step = np.diff(own, prepend=np.uint64(0))
-                        for c, v in zip(out, (n, int(part[lo]), row["batch"], own[:1].tobytes() + narrow(step[1:]), narrow(rest[lo:hi]), narrow(held[lo:hi])), strict=True):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["n"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["batch"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("keys", "rest", "held"))], names=list(out))
+                    yield _sent_batch(cut(n, shape.cell(row["batch"]), row["batch"], b.keys[n][order], b.counts(n, train & ~fold)[order], b.counts(n, train & fold)[order], shape.fan))
+
+    return batches.select("batch", "held_out", "fold", "lengths", "tokens", "hashes").mapInArrow(run, SENT)
 
-    return batches.select("batch", "held_out", "fold", "lengths", "tokens", "hashes").mapInArrow(run, "n int, part int, batch long, keys binary, rest binary, held binary")
+
+def _summed(group: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of the rows of a range: where each one's keys begin among all, the number of each key, the distinct keys, their counts."""
+    keys = [unpacked_keys(b, n) for b in group.column("keys").to_pylist()]
+    cuts = np.cumsum([0, *map(len, keys)])
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = {c: np.bincount(at, weights=np.concatenate([widened(x) for x in group.column(c).to_pylist()]), minlength=len(found)).astype(np.int64) for c in ("rest", "held")}
+    return cuts, at, found, total
+
+
+def _answer_table(group: pa.Table, n: int, cuts: np.ndarray, at: np.ndarray, total: dict, first: list | None = None) -> pa.Table:
+    own = {c: [narrow(v[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c, v in total.items()}
+    totals = [first, *[None] * (group.num_rows - 1)]
+    return pa.table({"src": group.column("src"), "n": pa.array([n] * group.num_rows, pa.int32()), "part": group.column("part"), "rest": pa.array(own["rest"], pa.binary()), "held": pa.array(own["held"], pa.binary()), "totals": pa.array(totals, pa.list_(pa.int64()))})
 
 
 def answered(blobs: DataFrame) -> DataFrame:
-    """(batch, n, part, rest, held, totals): the corpus counts of each blob's keys in its order. totals is
-    [tokens, kinds] of training without and [tokens, kinds] with the fold, on the first row of a range."""
+    """ANSWERS: corpus counts of each row's keys in its order. totals is [tokens, kinds] of training
+    without and [tokens, kinds] with the fold, on the first row of a range of words."""
 
     def run(key, group):
-        n, batches = key[0].as_py(), group.column("batch").to_pylist()
-        keys = []
-        for blob in group.column("keys").to_pylist():
-            steps = widened(blob[8:])
-            steps = np.concatenate([np.frombuffer(blob[:8], np.uint64), steps])
-            keys.append(np.cumsum(steps, dtype=np.uint64))
-        cuts = np.cumsum([0, *map(len, keys)])
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = {}
-        for c in ("rest", "held"):
-            own = np.concatenate([widened(x) for x in group.column(c).to_pylist()])
-            total[c] = np.bincount(at, weights=own, minlength=len(found)).astype(np.int64)
-        totals = [None] * len(batches)
+        n = key[0].as_py()
+        cuts, at, found, total = _summed(group, n)
+        first = None
         if n == 1:
             word = found != mixed(np.array([_START_HASH], np.uint64))[0]
             both = total["rest"] + total["held"]
-            totals[0] = [int(total["rest"][word].sum()), int((total["rest"][word] > 0).sum()), int(both[word].sum()), int((both[word] > 0).sum())]
-        own = {c: [narrow(v[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c, v in total.items()}
-        return pa.table({"batch": batches, "n": pa.array([n] * len(batches), pa.int32()), "part": group.column("part"), "rest": pa.array(own["rest"], pa.binary()), "held": pa.array(own["held"], pa.binary()), "totals": pa.array(totals, pa.list_(pa.int64()))})
+            first = [int(total["rest"][word].sum()), int((total["rest"][word] > 0).sum()), int(both[word].sum()), int((both[word] > 0).sum())]
+        return _answer_table(group, n, cuts, at, total, first)
+
+    return blobs.groupBy("n", "part").applyInArrow(run, ANSWERS)
 
-    return blobs.groupBy("n", "part").applyInArrow(run, "batch long, n int, part int, rest binary, held binary, totals array<long>")
+
+def exchanged(blobs: DataFrame, shape: Shape, level: int = 1) -> tuple[DataFrame, DataFrame]:
+    """ANSWERS to the rows of SENT, and those of the last level, which hold the totals."""
+    if level == shape.levels:
+        out = staged(answered(blobs), "answers")
+        return out, out
+    blobs = staged(blobs, "sent")
+
+    def merge(key, group):
+        n, cell, part = (k.as_py() for k in key)
+        _, _, found, total = _summed(group, n)
+        return pa.table({"n": pa.array([n], pa.int32()), "cell": [cell], "part": [part], "src": [cell << 32 | part], "keys": pa.array([packed_keys(found, n)], pa.binary()), "rest": pa.array([narrow(total["rest"])], pa.binary()), "held": pa.array([narrow(total["held"])], pa.binary())})
+
+    def lift(rbs):
+        for rb in rbs:
+            for r in rows_of(rb):
+                yield _sent_batch(cut(r["n"], r["cell"] // shape.fan, r["src"], unpacked_keys(r["keys"], r["n"]), widened(r["rest"]), widened(r["held"]), shape.fan ** (level + 1)))
+
+    def back(key, group, above):
+        n = key[0].as_py()
+        cuts, at, _, _ = _summed(group, n)
+        got = sorted(above.to_pylist(), key=lambda r: r["above"])
+        return _answer_table(group, n, cuts, at, {c: np.concatenate([widened(r[c]) for r in got]).astype(np.int64) for c in ("rest", "held")})
+
+    units = staged(blobs.groupBy("n", "cell", "part").applyInArrow(merge, SENT), "merged")
+    above, last = exchanged(units.mapInArrow(lift, SENT), shape, level + 1)
+    unit = above.select("n", F.shiftright("src", 32).alias("cell"), F.col("src").bitwiseAND((1 << 32) - 1).alias("part"), F.col("part").alias("above"), "rest", "held")
+    answers = blobs.groupBy("n", "cell", "part").cogroup(unit.groupBy("n", "cell", "part")).applyInArrow(back, ANSWERS)
+    return staged(answers, "answers"), last
 
 
 class Counts:
-    """For each token of a batch: c(v,w), c(v), c(w), from the answers to it."""
+    """For each token of a batch: c(u,v,w), c(u,v), c(v,w), c(v), c(w), from the answers to it."""
 
     def __init__(self, batch: Batch, answers: list[dict], folds: tuple[str, ...]):
         got = {}
-        for n in (1, 2):
+        for n in ORDERS:
             mine = sorted((a for a in answers if a["n"] == n), key=lambda a: a["part"])
-            values = sum(np.concatenate([widened(a[c]) for a in mine]) for c in folds)
-            got[n] = np.empty(len(values), np.int64)
-            got[n][batch.order[n]] = values
-        self.pair, self.context, self.word = got[2][batch.pair_of], got[1][batch.context], got[1][batch.token]
-
-
-def bucket_of(context: np.ndarray) -> np.ndarray:
-    """0 for a context never seen, else 1 + log2 of its count, at most BUCKETS - 1."""
-    return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1) * (context > 0)
-
-
-def _ratio_step(part: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
-    """-8 log2(part / whole) rounded; FLOOR for 0."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = -8 * np.log2(np.where(part > 0, part, 1) / np.maximum(whole, 1))
-    return np.where(part > 0, np.clip(np.rint(x), 0, FLOOR - 1), FLOOR).astype(np.int64)
-
-
-def learned(histogram: np.ndarray, kinds: int) -> np.ndarray:
-    """Weights (BUCKETS, 3) of pair, word and uniform by EM; rows of histogram are bucket, pair step, word step, count."""
-    weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
-    if len(histogram):
-        bucket, pair, word, n = histogram.T
-        value = lambda s: np.where(s < FLOOR, 2.0 ** (-s / 8), 0.0)
-        f = np.stack([value(pair), value(word), np.full(len(n), 1 / (kinds + 1))], 1)
-        for _ in range(EM_STEPS):
-            p = f * weights[bucket]
-            p *= (n / p.sum(1))[:, None]
-            new = np.stack([np.bincount(bucket, p[:, j], BUCKETS) for j in range(3)], 1) + np.array([1e-3, 1e-3, 1e-2])
-            weights = new / new.sum(1, keepdims=True)
-    weights[0] = weights[0] * [0, 1, 1] / weights[0, 1:].sum()  # an unseen context has no pairs
+            got[n] = np.zeros(len(batch.keys[n]), np.int64)
+            if mine:
+                got[n][batch.order[n]] = sum(np.concatenate([widened(a[c]) for a in mine]) for c in folds).astype(np.int64)
+        self.pair, self.context, self.word = got[2][batch.pair], got[1][batch.context], got[1][batch.token]
+        self.two = np.where(batch.first, self.context, got[2][batch.before])
+        self.three = self.pair.copy()
+        self.three[~batch.first] = got[3][batch.three[~batch.first]]
+
+    def parts(self, tokens: int) -> list[np.ndarray]:
+        """The three maximum-likelihood estimates; 0 for a context not seen."""
+        return [self.three / np.maximum(self.two, 1), self.pair / np.maximum(self.context, 1), self.word / max(1, tokens)]
+
+
+def bucket_of(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """1 + log2 of the count of the two-word context, or where it is 0, TWO and so much of the one-word context (TWO for 0)."""
+    of = lambda c: np.frexp(c.astype(np.float64))[1]
+    return np.where(two > 0, np.minimum(of(two), TWO - 1), TWO + of(one) * (one > 0)).astype(np.int64)
+
+
+def ratio_cell(ratio: np.ndarray, resolution: int) -> np.ndarray:
+    """-resolution * log2(ratio) rounded; the last cell for 0."""
+    with np.errstate(divide="ignore"):
+        x = -resolution * np.log2(ratio)
+    return np.where(ratio > 0, np.clip(np.rint(x), 0, 64 * resolution - 1), 64 * resolution).astype(np.int64)
+
+
+def learned(bucket: np.ndarray, parts: np.ndarray, n: np.ndarray, kinds: int) -> np.ndarray:
+    """Weights (BUCKETS, 4) of three words, two, one and none by EM over events of `n` counts with `parts` (events, 3)."""
+    f = np.concatenate([parts, np.full((len(n), 1), 1 / (kinds + 1))], 1)
+    can = np.ones((BUCKETS, 4))
+    can[TWO:, 0] = 0  # an unseen context has no estimate
+    can[TWO, 1] = can[0] = 0
+    can[:, 3] = 1
+    weights = can * [0.3, 0.3, 0.3, 0.1]
+    weights /= weights.sum(1, keepdims=True)
+    for _ in range(EM_STEPS if len(n) else 0):
+        p = f * weights[bucket]
+        p *= (n / p.sum(1))[:, None]
+        new = can * (np.stack([np.bincount(bucket, p[:, j], BUCKETS) for j in range(4)], 1) + [1e-3, 1e-3, 1e-3, 1e-2])
+        weights = new / new.sum(1, keepdims=True)
     return weights
 
 
@@ -233,21 +347,32 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, fan: int = FAN, resolution: int = RESOLUTION) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs.
 
     Null texts are empty: one end token. A null doc_id counts as the empty id when documents are
     dealt into training. Repeated rows each count and each return a row. Without training documents
     all words are unknown and N is 0. An empty table returns none; extra columns are left out.
+    Two n-grams whose hashes (64 bits for words, 56 for longer ones) collide share a count.
     """
-    ranges = max(16, 2 * docs._jdf.rdd().getNumPartitions())
-    kind = dict(docs.dtypes)["doc_id"]
-    batches = batched(docs)
-    answers = staged(answered(sent(batches, ranges)), "answers")
-    sums = answers.where(F.col("totals").isNotNull()).agg(*(F.sum(F.col("totals")[i]) for i in range(4))).first()
+    spark = docs.sparkSession
+    with scratch(spark):
+        shape = Shape.of(max(1, docs._jdf.rdd().getNumPartitions()), fan)
+        batches, name, buckets = batched(docs, shape)
+        try:
+            return staged(_scored(batches, shape, buckets, dict(docs.dtypes)["doc_id"], resolution), "lm_scores", keep=True)
+        finally:
+            spark.sql(f"DROP TABLE {name}")
+
+
+def _scored(batches: DataFrame, shape: Shape, buckets: int, kind: str, resolution: int) -> DataFrame:
+    answers, last = exchanged(sent(batches, shape), shape)
+    sums = last.where(F.col("totals").isNotNull()).agg(*(F.sum(F.col("totals")[i]) for i in range(4))).first()
     rest_tokens, rest_kinds, tokens, kinds = (int(x or 0) for x in sums)
-    mine = answers.groupBy("batch").agg(F.collect_list(F.struct("n", "part", "rest", "held")).alias("answers"))
-    met = batches.join(mine, "batch")  # two answers a range at most for each batch
+    # Dealt as the batches are bucketed: a batch has `fan` answers an order at most, and stays where it is.
+    mine = answers.repartition(buckets, "src").groupBy("src").agg(F.collect_list(F.struct("n", "part", "rest", "held")).alias("answers"))
+    met = batches.join(mine, F.col("batch") == F.col("src")).drop("src")
+    axis = 64 * resolution + 1
 
     def events(rbs):
         for rb in rbs:
@@ -255,23 +380,27 @@ def scores(docs: DataFrame) -> DataFrame:
                 b = batch_of(row)
                 c = Counts(b, row["answers"], ("rest",))
                 on = np.repeat(~np.array(row["held_out"], bool) & np.array(row["fold"], bool), b.lengths)
-                code = (bucket_of(c.context) * (FLOOR + 1) + _ratio_step(c.pair, c.context)) * (FLOOR + 1) + _ratio_step(c.word, rest_tokens)
-                found, n = np.unique(code[on], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+                code, parts = bucket_of(c.two[on], c.context[on]), [p[on] for p in c.parts(rest_tokens)]
+                for p in parts:
+                    code = code * axis + ratio_cell(p, resolution)
+                found, at, n = np.unique(code, return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.bincount(at, p, len(found))) for p in parts)], names=["code", "n", "s3", "s2", "s1"])
 
     wanted = met.where(F.exists(F.zip_with("held_out", "fold", lambda h, f: f & ~h), lambda x: x)).select("batch", "held_out", "fold", "lengths", "tokens", "hashes", "answers")
-    counted = wanted.mapInArrow(events, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    code, n = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64)
-    step = FLOOR + 1
-    weights = learned(np.stack([code // step // step, code // step % step, code % step, n], 1), rest_kinds)
+    cells = wanted.mapInArrow(events, "code long, n long, s3 double, s2 double, s1 double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "s3", "s2", "s1"))).toArrow()
+    n = cells.column("n").to_numpy()
+    parts = np.stack([cells.column(c).to_numpy() / np.maximum(n, 1) for c in ("s3", "s2", "s1")], 1)
+    weights = learned(cells.column("code").to_numpy() // axis**3, parts, n, rest_kinds)
 
     def run(rbs):
         for rb in rbs:
             for row in rows_of(rb):
                 b = batch_of(row)
                 c = Counts(b, row["answers"], ("rest", "held"))
-                bucket = bucket_of(c.context)
-                p = weights[bucket, 0] * c.pair / np.maximum(c.context, 1) + weights[bucket, 1] * c.word / max(1, tokens) + weights[bucket, 2] / (kinds + 1)
+                bucket = bucket_of(c.two, c.context)
+                p = weights[bucket, 3] / (kinds + 1)
+                for j, part in enumerate(c.parts(tokens)):
+                    p += weights[bucket, j] * part
                 starts = b.ends - b.lengths
                 add = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays([

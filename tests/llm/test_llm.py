@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontaminate, html, jpeg, lm, packing, quality, secrets, simhash, tokens, toxicity
+from quern.llm import decontaminate, html, jpeg, packing, quality, secrets, simhash, tokens, toxicity
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, words string"
@@ -406,65 +406,6 @@ def test_contamination(spark, monkeypatch, block_rows, segment):
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
 
 
-# 10 language model
-
-
-def test_scores(spark, texts):
-    own = [(i, t) for i, t in texts if i != 403]
-    rows = lm.scores(frame(spark, own).repartition(3)).collect()
-    cut = lambda t: [*(t or "").encode().translate(LOWER).split(), None]
-    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode())
-    one, two, ctx = Counter(), Counter(), Counter()
-    for i, t in own:
-        if fold(i) % 5 != 1:
-            w = cut(t)
-            one.update(w)
-            two.update(zip([0, *w], w, strict=False))
-            ctx.update([0, *w[:-1]])
-    total, kinds = sum(one.values()), len(one)
-    want = Counter()
-    for i, t in own:
-        w = cut(t)
-        want[i, len(w), sum(one[x] > 0 for x in w), total, round(sum(math.log10((one[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w), 6), fold(i) % 5 == 1] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.held_out) for r in rows) == want
-    assert all(r.score < 0 for r in rows)
-    assert lm.scores(frame(spark, [])).count() == 0
-
-
-def test_held_out_texts_are_likelier_than_by_words_alone(spark):
-    """Where words follow each other in phrases; words drawn alone have nothing that pairs could tell."""
-    rng = random.Random(8)
-    phrases = [" ".join(f"{a}{i}" for a in "abcde") for i in range(40)]
-    rows = lm.scores(frame(spark, [(i, " ".join(rng.choices(phrases, k=8))) for i in range(300)])).collect()
-    held = [r for r in rows if r.held_out]
-    assert held and sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
-
-
-def test_counts_of_a_batch(spark):
-    """The answers to a batch are the corpus counts of its n-grams."""
-    docs = frame(spark, [(i, t) for i, t in enumerate(["a b a", "b a", "", "c", "a b"] * 3)]).repartition(2)
-    batches = lm.batched(docs)
-    answers = lm.answered(lm.sent(batches, 16)).collect()
-    rows = [r.asDict(recursive=True) for r in batches.collect()]
-    texts = {r[0]: r[1] for r in docs.collect()}
-    train = [texts[i] for r in rows for i, h in zip(r["doc_id"], r["held_out"], strict=True) if not h]
-    one = Counter(w for t in train for w in [*t.split(), "$"])
-    for r in rows:
-        b = lm.batch_of(r)
-        c = lm.Counts(b, [a.asDict() for a in answers if a.batch == r["batch"]], ("rest", "held"))
-        flat = [w for i in r["doc_id"] for w in [*texts[i].split(), "$"]]
-        assert c.word.tolist() == [one[w] for w in flat]
-
-
-def test_weights_are_a_distribution():
-    h = np.array([[3, 0, 80, 10], [3, lm.FLOOR, lm.FLOOR, 2], [0, lm.FLOOR, 8, 5]])
-    w = lm.learned(h, 100)
-    assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and (w[1:, 2] > 0).all()
-    assert np.allclose(lm.learned(np.zeros((0, 4), np.int64), 0).sum(1), 1)
-    a = np.array([0, 1, 255, 256, 1 << 40])
-    assert lm.widened(lm.narrow(a)).tolist() == a.tolist()
-
-
 # the pipeline
 
 
