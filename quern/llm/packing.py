@@ -3,15 +3,20 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt evenly into groups of about
 `GROUP` and packed there: best fit in descending order, then a local search over underfull bins
 that moves a piece, exchanges one for one, or gives one for two, always so that the sum of squared
-fills grows, until the emptiest bins are dissolved or no exchange helps. Bins that stay underfull
-are dissolved and their pieces packed again together with those of other groups, in rounds of fewer
-groups, until one group holds the rest. A group is bounded, so the driver never sees pieces.
+fills grows, until a round over all underfull bins changes nothing or no bin can be saved any more.
+
+Pieces of bins that stay underfull are dealt out anew, by another hash, into fewer groups and packed
+again, round after round, as long as a round saves a bin for each of its groups, and at last one
+group. A group is bounded, so the driver never sees pieces. Where best fit alone meets the bound of
+tokens over capacity, the search has nothing to do.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,64 +68,88 @@ class Search:
     Receivers are taken from the fullest underfull bin down. Its room r takes, from a bin no fuller
     than itself, the exchange with the largest gain d <= r: a piece (move), a piece for a smaller
     one of its own, or a piece for two smaller ones. Tokens flow from an emptier to a fuller bin,
-    so the sum of squared fills grows with each exchange and the search ends.
+    so the sum of squared fills grows with each exchange and the search ends. `made` counts exchanges
+    by the number of pieces given back.
     """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
         self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.made = [0, 0, 0]
 
-    def run(self, donors: int = 64, rounds: int = 50) -> None:
-        """Every round offers the pieces of the `donors` emptiest bins to all others; ends when a round changes nothing."""
-        for _ in range(rounds):
+    def run(self) -> None:
+        """Rounds in which every underfull bin receives, and may give to, all others, until one changes nothing."""
+        while True:
             open_ = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
-            if len(open_) < 2 or sum(self.fill[b] for b in open_) > (len(open_) - 1) * self.capacity:
+            if sum(self.fill[b] for b in open_) > (len(open_) - 1) * self.capacity:
                 return  # even a perfect packing needs as many bins
-            if not self.round(open_, donors):
+            if not self.round(open_):
                 return
 
-    def round(self, open_: list[int], donors: int) -> bool:
-        giving = set(open_[:donors])
-        owner = {i: b for b in giving for i in self.bins[b]}
-        pool = sorted((self.lengths[i], i) for i in owner)
+    def round(self, open_: list[int]) -> bool:
+        self.owner = {i: b for b in open_ for i in self.bins[b]}
+        self.heaps: dict[int, list] = {}
+        self.least = np.full(self.capacity + 1, np.iinfo(np.int64).max)
+        for b in open_:
+            self.offer(b)
+        for n in self.heaps:
+            self.clean(n)
         changed = False
         for to in reversed(open_):
-            while (room := self.capacity - self.fill[to]) and self.fill[to] and (step := self.best(to, room, pool, owner)):
-                mine, (size, piece) = step
-                source, gave = owner[piece], 0
+            while (room := self.capacity - self.fill[to]) and self.fill[to] and (step := self.best(to, room)):
+                mine, piece = step
+                source, gave = self.owner[piece], sum(self.lengths[i] for i in mine)
+                touched = {self.lengths[i] for b in (to, source) for i in self.bins[b]}
                 self.bins[source].remove(piece)
                 self.bins[to].append(piece)
-                if to in giving:
-                    owner[piece] = to
-                else:
-                    pool.remove((size, piece))
-                    del owner[piece]
+                self.owner[piece] = to
                 for i in mine:
                     self.bins[to].remove(i)
                     self.bins[source].append(i)
-                    gave += self.lengths[i]
-                    if i not in owner:
-                        bisect.insort(pool, (self.lengths[i], i))
-                    owner[i] = source
-                self.fill[to] += size - gave
-                self.fill[source] -= size - gave
+                    self.owner[i] = source
+                self.fill[to] += self.lengths[piece] - gave
+                self.fill[source] -= self.lengths[piece] - gave
+                if self.fill[to] == self.capacity:
+                    for i in self.bins[to]:
+                        del self.owner[i]
+                else:
+                    self.offer(to)
+                self.offer(source)
+                for n in touched:
+                    self.clean(n)
+                self.made[len(mine)] += 1
                 changed = True
         return changed
 
-    def best(self, to: int, room: int, pool: list, owner: dict) -> tuple[tuple, tuple] | None:
-        """(own pieces to give, pool entry to take) with the largest gain, exact fits first."""
-        own = sorted((self.lengths[i], i) for i in self.bins[to])
-        gives = [((), 0), *(((i,), n) for n, i in own), *(((i, j), n + m) for x, (n, i) in enumerate(own[:24]) for m, j in own[x + 1 : 24])]
+    def offer(self, b: int) -> None:
+        """Enters a bin's pieces by length, with its fill of now; entries of an earlier fill are void."""
+        for i in self.bins[b]:
+            heapq.heappush(self.heaps.setdefault(self.lengths[i], []), (self.fill[b], i))
+
+    def valid(self, entry: tuple[int, int]) -> bool:
+        return entry[1] in self.owner and self.fill[self.owner[entry[1]]] == entry[0]
+
+    def clean(self, n: int) -> None:
+        """Sets least[n]: the least fill of a bin with a piece of length n, less n."""
+        heap = self.heaps[n]
+        while heap and not self.valid(heap[0]):
+            heapq.heappop(heap)
+        self.least[n] = heap[0][0] - n if heap else np.iinfo(np.int64).max
+
+    def best(self, to: int, room: int) -> tuple[tuple, int] | None:
+        """(own pieces to give, piece to take) with the largest gain. Of pieces of one length one stands for all."""
+        own = list({self.lengths[i]: i for i in self.bins[to]}.items())
+        pairs = {n + m: (i, j) for x, (n, i) in enumerate(own) for m, j in own[x + 1 :]}
+        pairs |= {2 * n: (i, j) for n, i in own if (j := next((j for j in self.bins[to] if self.lengths[j] == n and j != i), None)) is not None}
         top, choice = 0, None
-        for mine, size in gives:
-            at = bisect.bisect_right(pool, (size + room, float("inf"))) - 1
-            for entry in reversed(pool[max(0, at - 7) : at + 1]):
-                gain = entry[0] - size
-                if gain <= top:
-                    break
-                source = owner[entry[1]]
-                if source != to and self.fill[to] + gain > self.fill[source]:
-                    top, choice = gain, (mine, entry)
+        for size, mine in [(0, ()), *((n, (i,)) for n, i in own), *pairs.items()]:
+            first = size + top + 1
+            # A bin of that length's gives if it stays behind this one: its fill is below fill[to] + length - size.
+            for n in (np.flatnonzero(self.least[first : size + room + 1] < self.fill[to] - size) + first)[::-1].tolist():
+                heap, limit = self.heaps[n], self.fill[to] + n - size
+                got = heap[0] if self.owner[heap[0][1]] != to else min((e for e in heap if e[0] < limit and self.valid(e) and self.owner[e[1]] != to), default=None)
+                if got and got[0] < limit:
+                    top, choice = n - size, (mine, got[1])
                     break
             if top == room:
                 break
@@ -156,25 +185,27 @@ def pieces_of(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: int =
     return map_batches(only, "doc_id long, piece int, start long, length long, ids_crc32 long", "text", make)
 
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, mark long, bin string, offset long, full boolean"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, mark long, sequence_id long, offset long, full boolean"
+#: Bits of a sequence's number for the round, the group there and the bin there; numbers of sequences of one whole piece are below 0.
+_GROUP_BITS, _BIN_BITS = 32, 24
 
 
-def pack_groups(pieces: DataFrame, groups: int, capacity: int, tag: str) -> DataFrame:
-    """pieces with their bin, the offset there, and whether the bin is full; each group by itself."""
+def pack_groups(pieces: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
+    """pieces with their sequence, the offset there, and whether it is full; each group by itself."""
 
     def run(key, group):
         group = group.sort_by("mark")
         lengths = group.column("length").to_pylist()
         bins = pack(lengths, capacity)
-        name, offset, full = [""] * len(lengths), [0] * len(lengths), [False] * len(lengths)
+        name, offset, full = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
         for b, members in enumerate(bins):
             at, whole = 0, sum(lengths[i] for i in members) == capacity
             for i in members:
-                name[i], offset[i], full[i] = f"{tag}.{key[0].as_py()}.{b}", at, whole
+                name[i], offset[i], full[i] = (level << _GROUP_BITS | key[0].as_py()) << _BIN_BITS | b, at, whole
                 at += lengths[i]
-        return group.drop_columns(["g"]).append_column("bin", pa.array(name)).append_column("offset", pa.array(offset, pa.int64())).append_column("full", pa.array(full))
+        return group.drop_columns(["g"]).append_column("sequence_id", pa.array(name, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("full", pa.array(full, pa.bool_()))
 
-    return pieces.withColumn("g", F.pmod(F.xxhash64("mark", F.lit(tag)), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(run, PLACED)
+    return pieces.withColumn("g", F.pmod(F.xxhash64("mark", F.lit(level)), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(run, PLACED)
 
 
 def packed(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: int = END_ID, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -185,28 +216,21 @@ def packed(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: int = EN
     """
     # Each piece gets a number before it is written, by which even repeated rows are dealt evenly.
     rest = staged(pieces_of(docs, encoder, end_id, capacity).withColumn("mark", F.monotonically_increasing_id()), "pieces")
-    done, level = [], 0
     whole = rest.where(F.col("length") == capacity)
-    done.append(whole.select("*", F.concat_ws(".", F.lit("whole"), "mark").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("full")))
+    done = [whole.select("*", (-1 - F.col("mark")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("full"))]
     rest = rest.where(F.col("length") < capacity)
-    n = rest.count()
+    left, before, level = rest.count(), None, 0
     while True:
-        groups = max(1, -(-n // group))
-        out = staged(pack_groups(rest, groups, capacity, str(level)), f"packed{level}")
-        if groups == 1:
+        groups = max(1, -(-left // group))
+        out = staged(pack_groups(rest, groups, capacity, level), f"packed{level}")
+        open_ = out.where("not full")
+        left, bins = open_.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if groups == 1 or (before is not None and before - bins - out.where("full and offset = 0").count() < groups):
             done.append(out)
             break
         done.append(out.where("full"))
-        rest = out.where("not full").drop("bin", "offset", "full")
-        left = rest.count()
-        if left > n // 2:  # underfull bins no longer get fewer: they stay as they are
-            done.append(out.where("not full"))
-            break
-        n, level = left, level + 1
-    rows = done[0]
-    for x in done[1:]:
-        rows = rows.unionByName(x)
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.xxhash64("bin").alias("sequence_id"), "offset")
+        rest, before, level = open_.drop("sequence_id", "offset", "full"), bins, level + 1
+    return reduce(DataFrame.unionByName, done).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_swap_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ with the place of every 64th one bit as a select sample: about 2 + log2(u / n) b
 place of 64, and any entry is found without decoding the others.
 
 Documents are range-partitioned by id, so shards follow each other in id order; shards are written
-as rows of a Parquet table in the shared folder, which Spark commits once however often a task is
-lost, and which any store that Spark writes can hold. Only one count a partition goes to the driver.
+as rows of a Parquet table at a path of the caller's, which Spark commits once however often a task
+is lost, and which any store that Spark writes can hold. A shard's row says how many ids its part
+holds before it, so readers need besides one number a part, and blobs are never shuffled.
 """
 
 from __future__ import annotations
@@ -52,15 +53,15 @@ class WordEncoder:
     `spaced` says how parts may be cut. False: the tokenizer drops white space and folds case, so any
     space or line end is a cut. True: a space belongs to the word behind it, and a line end is a part
     of its own; a text with other white space, or with two together, is encoded in one piece. New
-    parts are cut further, before marks behind a word. Either way the ids are those of the whole
-    text. Names of special tokens are ordinary text.
+    parts are cut further, before marks behind a word. A text that holds the name of an added token is
+    encoded in one piece. Either way the ids are those of the tokenizer's own call on the whole text.
     """
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.model, self.kind = self.tokenizer.model, "H" if self.width == "<u2" else "I"
@@ -103,6 +104,8 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         if len(self.memo) > MEMO:
             self.memo.clear()
+        if any(x in text for x in self.added):
+            return np.frombuffer(self._whole(text), self.width)
         if self.spaced:
             if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
                 return np.frombuffer(self._whole(text), self.width)
@@ -214,8 +217,9 @@ class Shard:
         return None if i < self.nulls else self.base + self.names.select(i - self.nulls)
 
 
-def write_shards(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """The table of shards (part, shard, n_ids, blob), parts and shards in ascending order of doc_id.
+def write_shards(docs: DataFrame, encoder: Callable[[], WordEncoder], path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Writes the table of shards (part, shard, before, n_ids, blob) to `path`, or to the shared folder
+    without one, and reads it again. Parts and shards are in ascending order of doc_id.
 
     Equal ids are dealt by their texts' hash too, so neither a null id nor a repeated one makes a hot partition.
     """
@@ -225,12 +229,13 @@ def write_shards(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: in
     def run(batches):
         from pyspark import TaskContext
 
-        part, shard, coder = TaskContext.get().partitionId(), 0, encoder()
+        part, shard, before, coder = TaskContext.get().partitionId(), 0, 0, encoder()
         end = np.array([end_id], coder.width)
         names, ids, size = [], [], 0
 
         def closed():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_ids": pa.array([size], pa.int64()), "blob": pa.array([write_shard(names, ids)], pa.binary())})
+            numbers = {"part": (part, pa.int32()), "shard": (shard, pa.int32()), "before": (before, pa.int64()), "n_ids": (size, pa.int64()), "blob": (write_shard(names, ids), pa.binary())}
+            return pa.RecordBatch.from_pydict({c: pa.array([v], t) for c, (v, t) in numbers.items()})
 
         for batch in pieces(batches, "text"):
             for name, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
@@ -240,37 +245,43 @@ def write_shards(docs: DataFrame, encoder: Callable[[], WordEncoder], end_id: in
                 size += len(own)
                 if size >= shard_ids:
                     yield closed()
-                    shard, names, ids, size = shard + 1, [], [], 0
+                    shard, before, names, ids, size = shard + 1, before + size, [], [], 0
         if names:
             yield closed()
 
-    return staged(rows.select("doc_id", "text").mapInArrow(run, "part int, shard int, n_ids long, blob binary"), "shards")
+    return staged(rows.select("doc_id", "text").mapInArrow(run, SHARDS), "shards", path)
+
+
+SHARDS = "part int, shard int, before long, n_ids long, blob binary"
+
+
+def shards_at(spark: SparkSession, path: str) -> DataFrame:
+    """The shards that write_shards() left at path."""
+    return spark.read.schema(SHARDS).parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the blobs alone."""
-    parts = dict(shards.groupBy("part").agg(F.sum("n_ids")).collect())  # a number for each write task
-    base, bases = 0, {}
-    for part in sorted(parts):
-        bases[part], base = base, base + parts[part]
-    before = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sums = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("earlier"))
-    rows = shards.select("part", "shard", "blob").join(sums, ["part", "shard"]).select("part", "earlier", "blob")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
+    bases = sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = shards.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("base"), "blob")
 
     def run(batches):
         for batch in batches:
-            for part, earlier, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "earlier", "blob")), strict=True):
+            for i in range(batch.num_rows):
+                base, blob = (batch.column(c)[i].as_py() for c in ("base", "blob"))
                 shard = Shard(blob)
                 cuts = shard.starts.all().astype(np.int64)
                 names = [None] * shard.nulls + [int(x) + shard.base for x in shard.names.all()]
                 crc = [crc_of(shard.ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(cuts[:-1] + bases[part] + earlier), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(cuts[:-1] + base), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op3_elias_fano_ids(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def op3_elias_fano_ids(spark: SparkSession, sf_dir: str, path: str | None = None, out: str | None = None) -> DataFrame:
     """Null texts are empty and hold the end id alone; null ids come first; repeated rows each return
-    a row; an empty table gives no shard and no row; extra columns are left out."""
+    a row; an empty table gives no shard and no row; extra columns are left out. `out` keeps the shards there."""
     path = path or tokenizer_path("word_bpe_49k.json")
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), lambda: encoder_of(path, spaced=False)))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), lambda: encoder_of(path, spaced=False), out))

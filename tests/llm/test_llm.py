@@ -107,7 +107,7 @@ def test_encoder_is_the_tokenizers(name, spaced, texts):
         assert e.encode(t or "").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
-def test_shards(spark, texts):
+def test_shards(spark, texts, tmp_path):
     path = tokens.tokenizer_path("word_bpe_49k.json")
     e = tokens.WordEncoder(path, False)
     shards = tokens.write_shards(frame(spark, texts).repartition(3), lambda: tokens.WordEncoder(path, False), shard_ids=5000)
@@ -119,6 +119,10 @@ def test_shards(spark, texts):
     want = Counter((i, zlib.crc32(np.array([*e.encode(t or "").tolist(), 1], "<u4").tobytes())) for i, t in texts)
     assert Counter((r[0], r[3]) for r in got) == want
     assert tokens.read_shards(tokens.write_shards(frame(spark, []), lambda: tokens.WordEncoder(path, False))).count() == 0
+    kept = str(tmp_path / "shards")
+    tokens.write_shards(frame(spark, texts), lambda: tokens.WordEncoder(path, False), kept)
+    again = tokens.read_shards(tokens.shards_at(spark, kept))
+    assert Counter((r.doc_id, r.ids_crc32) for r in again.collect()) == want
     shard = tokens.Shard(bytes(shards.first().blob))
     assert shard.doc(len(shard) - 1)[-1] == 1 and shard.doc_id(0) == (got[0][0] if shards.first().part == 0 else shard.doc_id(0))
 
@@ -149,6 +153,49 @@ def test_search_dissolves_a_bin():
     assert sum(1 for b in s.bins if b) == 3 and sum(f * f for f in s.fill) > before
 
 
+@pytest.mark.parametrize("low,high", [(300, 700), (640, 760)])
+def test_search_where_best_fit_misses_the_bound(low, high):
+    rng = random.Random(1)
+    lengths = [rng.randint(low, high) for _ in range(2000)]
+    first = packing.best_fit(lengths, 2048)
+    before, s = len(first), packing.Search(first, lengths, 2048)
+    squares = sum(f * f for f in s.fill)
+    s.run()
+    assert math.ceil(sum(lengths) / 2048) <= sum(1 for b in s.bins if b) < before - 10
+    assert s.made[0] and s.made[1] and sum(f * f for f in s.fill) > squares
+    assert sorted(i for b in s.bins for i in b) == list(range(2000)) and max(s.fill) <= 2048
+    assert s.fill == [sum(lengths[i] for i in b) for b in s.bins]
+    # A round over all bins that are left changes nothing: by brute force, no exchange of any kind gains.
+    left = [b for b in range(len(s.bins)) if 0 < s.fill[b] < 2048][-12:]
+    for to in left:
+        for source in left:
+            for take in s.bins[source] if to != source else ():
+                for give in [(), *((i,) for i in s.bins[to]), *((i, j) for i in s.bins[to] for j in s.bins[to] if i < j)]:
+                    gain = lengths[take] - sum(lengths[i] for i in give)
+                    assert not (0 < gain <= 2048 - s.fill[to] and s.fill[to] + gain > s.fill[source])
+
+
+def test_two_for_one():
+    lengths = [900, 300, 200, 600, 700]
+    s = packing.Search([[0, 1, 2], [3, 4]], lengths, 1500)
+    s.round([1, 0])
+    assert sum(s.made) and sorted(i for b in s.bins for i in b) == list(range(5))
+
+
+@pytest.mark.parametrize("n", [0, 1, 60, 400])
+def test_rounds_of_groups(spark, n):
+    """Pieces of every group meet others as long as bins are saved; sequences have numbers of their own."""
+    rng = random.Random(n)
+    rows = spark.createDataFrame([(i, "x " * rng.randint(20, 45)) for i in range(n)], "doc_id long, text string")
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    got = packing.packed(rows, lambda: tokens.WordEncoder(path, True), capacity=100, group=30).collect()
+    bins = Counter()
+    for r in got:
+        bins[r.sequence_id] += r.length
+    assert len(got) == n and max(bins.values(), default=0) <= 100
+    assert all(sum(1 for r in got if r.sequence_id == b and r.offset == 0) == 1 for b in bins)
+
+
 def test_packed(spark, texts):
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     e = tokens.WordEncoder(path, True)
