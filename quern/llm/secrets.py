@@ -1,10 +1,11 @@
 """Operator 6, secret scans by one combined deterministic automaton.
 
-All rules are compiled together: a Thompson NFA over bytes of `.*(rule1|rule2|...)`, made
-deterministic by subset construction and minimised by partition refinement, as transition arrays
-over byte classes. One pass over a text tells which rules end a match anywhere. Only where a rule
-does, its own reversed automaton marks the places where matches start, and its forward automaton
-gives the longest match from each; matches are leftmost and do not overlap.
+All rules are compiled together, whatever they are: a Thompson NFA over bytes of
+`.*(rule1|rule2|...)`, each rule reversed, made deterministic by subset construction and minimised by
+partition refinement, as transition arrays over byte classes. One pass over a text's bytes from its
+end tells at which places a match of which rules begins. A second automaton of all rules, forward
+and anchored, runs from such places alone and gives the longest match from each; matches of a kind
+are leftmost and do not overlap.
 """
 
 from __future__ import annotations
@@ -13,23 +14,25 @@ from functools import cached_property
 from re import _constants as K
 from re import _parser as parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, texts_of
+from .common import map_batches, pieces, table, texts_of
 
 
 def _either_case(words: list[str]) -> str:
     return "|".join("".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in w) for w in words)
 
 
-#: Rules by kind, in the order of output. The first three are the base; minimum lengths that
-#: could change what a leftmost match covers are checked after matching, by CHECKS.
+#: Rules by kind, in the order of output. The first three are the base. Minimum lengths that could
+#: change what a leftmost match covers are checked after matching, by CHECKS; so are those of which
+#: a part in the rule is enough to make places rare, since counting on would multiply states.
 RULES: dict[str, str] = {
     "assign": f"(?:{_either_case(['password', 'passwd', 'secret', 'token', 'api_?key'])})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]+",
     "access": "AKIA[A-Z0-9]+",
-    "hex": "[0-9a-f]+",
+    "hex": "[0-9a-f]{8,}",
     # On to the END line, or without one over the lines of base64 that follow.
     "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----|(?:\\r?\\n[A-Za-z0-9+/=]{20,})+(?:\\r?\\n[A-Za-z0-9+/]+={1,2})?)?",
     "forge": "gh[opsu]_[A-Za-z0-9]+",
@@ -46,18 +49,6 @@ def _assigned(match: bytes) -> bool:
 
 
 CHECKS = {"assign": _assigned, "access": lambda m: len(m) >= 20, "hex": lambda m: len(m) >= 24, "forge": lambda m: len(m) >= 40, "chat": lambda m: len(m) >= 15}
-#: Heads of the rules for the combined pass: a text holds a head exactly if the rule has a match
-#: there that can pass its check, or nearly so, and states needn't count on beyond it.
-HEADS = {
-    "assign": RULES["assign"][:-1],
-    "access": "AKIA[A-Z0-9]",
-    "hex": "[0-9a-f]{24}",
-    "pem": "-----BEGIN ",
-    "forge": "gh[opsu]_[A-Za-z0-9]",
-    "jwt": "eyJ[A-Za-z0-9_-]+\\.eyJ",
-    "chat": "xox[abprs]-[A-Za-z0-9-]",
-}
-
 
 class Nfa:
     """Thompson construction; byte edges and empty edges by state."""
@@ -134,56 +125,57 @@ def _bytes(op, arg) -> frozenset:
 
 
 class Dfa:
-    """Minimal deterministic automaton of rules; `accept[s]` are the rules that end in state s."""
+    """Minimal deterministic automaton of rules: state s goes to rows[s][classes[byte]]; `accept[s]` are the rules that end in it."""
 
     def __init__(self, rules: dict[str, str], anywhere: bool = False, reverse: bool = False):
         nfa, ends = Nfa(), {}
         start = nfa.state()
         for name, pattern in rules.items():
             ends[nfa.add(parser.parse(pattern), nfa._from(start), reverse)] = name
-        sets = {s for edges in nfa.byte for s, _ in edges}
+        ordered = sorted({s for edges in nfa.byte for s, _ in edges}, key=sorted)
         group: dict[tuple, int] = {}
-        ordered = sorted(sets, key=sorted)
         self.classes = bytes(group.setdefault(tuple(b in s for s in ordered), len(group)) for b in range(256))
         first = [self.classes.index(c) for c in range(len(group))]
 
-        def closed(states) -> frozenset:
-            todo, got = list(states), set(states)
+        def closed(state: int) -> int:
+            """What empty edges reach, as bits."""
+            todo, got = [state], 1 << state
             while todo:
                 for x in nfa.empty[todo.pop()]:
-                    if x not in got:
-                        got.add(x)
+                    if not got >> x & 1:
+                        got |= 1 << x
                         todo.append(x)
-            return frozenset(got)
+            return got
 
-        begin = closed([start])
-        number, todo, step = {begin: 0}, [begin], []
+        reach = [closed(s) for s in range(len(nfa.byte))]
+        edges = {s: [([c for c, b in enumerate(first) if b in on], reach[t]) for on, t in e] for s, e in enumerate(nfa.byte) if e}
+        busy = sum(1 << s for s in edges)
+        number, todo, step = {reach[start]: 0}, [reach[start]], []
         for now in todo:  # subset construction
-            row = []
-            for b in first:
-                to = closed({t for s in now for on, t in nfa.byte[s] if b in on} | ({start} if anywhere else set()))
+            row = [reach[start] if anywhere else 0] * len(first)
+            left = now & busy
+            while left:
+                bit = left & -left
+                left ^= bit
+                for on, to in edges[bit.bit_length() - 1]:
+                    for c in on:
+                        row[c] |= to
+            for to in row:
                 if to not in number:
                     number[to] = len(number)
                     todo.append(to)
-                row.append(number[to])
-            step.append(row)
-        label = [frozenset(ends[s] for s in x if s in ends) for x in todo]
+            step.append([number[to] for to in row])
+        label = [frozenset(name for s, name in ends.items() if x >> s & 1) for x in todo]
         # A state from which nothing more can end is dead, and merges with others of its kind below.
         part = {x: i for i, x in enumerate(dict.fromkeys(label))}
-        block = [part[x] for x in label]
-        while True:  # partition refinement
-            seen: dict[tuple, int] = {}
-            new = [seen.setdefault((block[s], *(block[t] for t in step[s])), len(seen)) for s in range(len(step))]
-            if len(seen) == len(set(block)):
-                break
-            block = new
-        names = {x: i for i, x in enumerate(dict.fromkeys(new))}
-        self.accept: list[frozenset] = [frozenset()] * len(names)
-        self.rows: list[list] = [[] for _ in names]
-        for s, row in enumerate(step):
-            self.accept[names[new[s]]] = label[s]
-            self.rows[names[new[s]]] = [names[new[t]] for t in row]
-        self.start = names[new[0]]
+        block, table, kinds = np.array([part[x] for x in label]), np.array(step), 0
+        while kinds < (kinds := int(block.max()) + 1):  # partition refinement
+            seen: dict[bytes, int] = {}
+            block = np.array([seen.setdefault(row.tobytes(), len(seen)) for row in np.column_stack([block, block[table]]).astype(np.int32)])
+        _, one = np.unique(block, return_index=True)
+        self.accept = [label[s] for s in one]
+        self.rows = block[table[one]].tolist()
+        self.start = int(block[0])
         self.dead = {i for i, row in enumerate(self.rows) if not self.accept[i] and all(t == i for t in row)}
 
     @cached_property
@@ -197,30 +189,21 @@ class Dfa:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "linked"}
 
-    def kinds_in(self, data: bytes) -> set[str]:
-        """The rules that end a match anywhere in data: the one pass over all bytes."""
-        state, found = self.linked[self.start], set()
-        for c in data.translate(self.classes):
-            state = state[c]
-            if state[-1]:
-                found |= state[-1]
-        return found
-
-    def marks(self, data: bytes) -> list[int]:
-        """Offsets after which some match ends."""
+    def marks(self, data: bytes) -> list[tuple[int, frozenset]]:
+        """Offsets after which some match ends, with its rules: the one pass over all bytes."""
         state, at = self.linked[self.start], []
         for i, c in enumerate(data.translate(self.classes), 1):
             state = state[c]
             if state[-1]:
-                at.append(i)
+                at.append((i, state[-1]))
         return at
 
-    def longest(self, data: bytes, start: int) -> int:
-        """The end of the longest match from start, or -1."""
+    def longest(self, data: bytes, start: int, kind: str) -> int:
+        """The end of the longest match of a rule from start, or -1."""
         state, end = self.start, -1
         for i in range(start, len(data)):
             state = self.rows[state][self.classes[data[i]]]
-            if self.accept[state]:
+            if kind in self.accept[state]:
                 end = i + 1
             elif state in self.dead:
                 break
@@ -228,24 +211,26 @@ class Dfa:
 
 
 class Scanner:
-    def __init__(self, rules: dict[str, str] = RULES, heads: dict[str, str] = HEADS, checks: dict = CHECKS):
+    """Spans of any rules in the syntax that Nfa takes; a rule that matches the empty text is refused."""
+
+    def __init__(self, rules: dict[str, str] = RULES, checks: dict = CHECKS):
         self.kinds, self.checks = list(rules), checks
-        self.all = Dfa(heads, anywhere=True)
-        self.backward = {k: Dfa({k: r}, anywhere=True, reverse=True) for k, r in rules.items()}
-        self.forward = {k: Dfa({k: r}) for k, r in rules.items()}
+        self.backward, self.forward = Dfa(rules, anywhere=True, reverse=True), Dfa(rules)
+        if self.forward.accept[self.forward.start]:
+            raise ValueError(f"rules that match the empty text: {sorted(self.forward.accept[self.forward.start])}")
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in code points, by start and then in the order of the rules."""
         data = text.encode("utf-8", "surrogatepass")
-        found = []
-        for kind in self.all.kinds_in(data):
-            starts = [len(data) - i for i in reversed(self.backward[kind].marks(data[::-1]))]
-            end, check = 0, self.checks.get(kind)
-            for at in starts:
-                if at >= end:
-                    end = self.forward[kind].longest(data, at)
-                    if not check or check(data[at:end]):
-                        found.append((at, end, kind))
+        found, end = [], dict.fromkeys(self.kinds, 0)
+        for i, kinds in reversed(self.backward.marks(data[::-1])):
+            at = len(data) - i
+            for kind in kinds:
+                if at >= end[kind]:
+                    end[kind] = self.forward.longest(data, at, kind)
+                    check = self.checks.get(kind)
+                    if not check or check(data[at : end[kind]]):
+                        found.append((at, end[kind], kind))
         found.sort(key=lambda x: (x[0], self.kinds.index(x[2])))
         if len(data) != len(text):
             place, at, chars = {}, 0, 0
@@ -288,11 +273,12 @@ def hidden(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with secrets in `text` replaced by marks; n_chars, if there, follows. Other columns and null texts stay."""
+    """docs with secrets in `text` replaced by marks; n_chars, if there, follows. Other columns stay, whatever
+    their names, and so do null and empty texts; repeated rows each return a row, an empty table none."""
     scanner = Scanner()
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             texts = batch.column("text").to_pylist()
             spans = [scanner.spans(t) if t else [] for t in texts]
             new = [hidden(t, s) if s else t for t, s in zip(texts, spans, strict=True)]

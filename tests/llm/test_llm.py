@@ -308,6 +308,37 @@ def test_scanner():
     assert {k for _, _, k in s.spans("-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1B" * 14 + " eyJhb.eyJz.s_g xoxb-1234567890-x")} >= {"pem", "forge", "jwt", "chat"}
 
 
+SLOW = {  # the rules once more, for a backtracking engine
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]{20,})+(?:\r?\n[A-Za-z0-9+/]+={1,2})?)?",
+    "forge": r"gh[opsu]_[A-Za-z0-9]+", "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "chat": r"xox[abprs]-[A-Za-z0-9-]+",
+}
+
+
+def test_further_kinds_by_brute_force():
+    """Leftmost longest matches: of all ends that a full match from a place reaches, the last."""
+    s, rng = secrets.Scanner(), random.Random(6)
+    bits = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "\n", "\r\n", "QUJD" * 6, "Zg==", "ghp_", "gho_", "a1B2" * 5, "eyJ", "hbGci", ".", "xoxb-", "12-34-ab", " ", "é", "x", "-"]
+    for _ in range(1500):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        want = []
+        for kind, rule in SLOW.items():
+            at = 0
+            while at < len(t):
+                ends = [e for e in range(at + 1, len(t) + 1) if re.compile(rule).fullmatch(t, at, e)]
+                if ends and (kind not in secrets.CHECKS or secrets.CHECKS[kind](t[at : ends[-1]].encode())):
+                    want.append((at, ends[-1], kind))
+                at = ends[-1] if ends else at + 1
+        assert Counter(x for x in s.spans(t) if x[2] in SLOW) == Counter(want), t
+
+
+def test_own_rules():
+    assert secrets.Scanner({"z": "zzz[0-9]+"}).spans("é zzz123 zzz") == [(2, 8, "z")]
+    both = secrets.Scanner({"a": "ab+", "b": "b+c?"}, {}).spans("abbc ab")
+    assert both == [(0, 3, "a"), (1, 4, "b"), (5, 7, "a"), (6, 7, "b")]
+    with pytest.raises(ValueError):
+        secrets.Scanner({"e": "x*"})
+
+
 def test_dfa_is_minimal_and_right():
     d = secrets.Dfa({"a": "(a|b)*abb", "b": "c{2,3}"})
     for t in ("abb", "aabb", "babb", "ab", "cc", "ccc", "cccc", ""):
