@@ -6,7 +6,8 @@ images with the same coding are decoded side by side, one table lookup a step fo
 
 Writing: bytes become the luminance of flat blocks. With a DC quantiser of 8 the DC coefficient of
 a block is its sample less 128, so a thumbnail gives the bytes back exactly, though JPEG as such
-loses detail. Images are at most 8184 blocks high and wide; longer payloads go on in further images.
+loses detail. Every image is `WIDE` blocks wide and at most 8184 high, which the format's 16-bit
+sizes set; longer payloads go on in further images. Media are stored in a table and read from there.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table, texts_of
+from .common import map_batches, staged, table, texts_of
 
 UNIT = 576
-#: Blocks a row, of short and of long payloads, and the most rows of an image.
-NARROW, WIDE, ROWS = 24, 576, 8184
+#: Blocks a row, and the most rows of an image.
+WIDE, ROWS = 24, 8184
 INTERVAL = 96
+#: Bytes of texts, or of media, handled at once.
+BATCH = 3 << 20
 #: Huffman codes as (counts by length 1-16, symbols). DC: sizes of differences, the common ones short;
 #: AC: only end-of-block and a filler, since blocks are flat.
 DC_CODE = ((0, 1, 4, 2, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (4, 3, 5, 2, 6, 7, 1, 0, 8))
@@ -95,25 +98,26 @@ def _image(samples: np.ndarray, wide: int) -> bytes:
 
 def encode(payload: bytes) -> bytes:
     """A stream of JPEGs whose thumbnails hold the payload, a positive multiple of UNIT bytes."""
-    wide = NARROW if len(payload) <= NARROW * ROWS else WIDE
-    step = wide * ROWS
-    data = np.frombuffer(payload, np.uint8)
-    return b"".join(_image(data[i : i + step], wide) for i in range(0, len(data), step))
+    step, data = WIDE * ROWS, np.frombuffer(payload, np.uint8)
+    return b"".join(_image(data[i : i + step], WIDE) for i in range(0, len(data), step))
 
 
 class Header:
-    """Markers of one image: its size, tables, and the entropy-coded bytes of its scan by restart interval."""
+    """Markers of one image: its size, tables, and the entropy-coded bytes, by restart interval, of the
+    scan that holds its first component, the luminance. Other scans are passed over."""
 
     def __init__(self, data: bytes, at: int):
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
         at += 2
-        self.quant, self.codes, self.interval, self.parts = {}, {}, 0, []
+        self.quant, self.tables, self.interval, self.parts, self.coding = {}, {}, 0, [], None
         while True:
             if data[at] != 255:
                 raise ValueError(f"no marker at {at}")
             marker = data[at + 1]
             if marker == 0xD9:
+                if self.coding is None:
+                    raise ValueError("no scan of the luminance")
                 self.end = at + 2
                 return
             n = int.from_bytes(data[at + 2 : at + 4], "big")
@@ -127,7 +131,7 @@ class Header:
             elif marker == 0xC4:
                 while body:
                     total = sum(body[1:17])
-                    self.codes[body[0]] = (tuple(body[1:17]), tuple(body[17 : 17 + total]))
+                    self.tables[body[0]] = (tuple(body[1:17]), tuple(body[17 : 17 + total]))
                     body = body[17 + total :]
             elif marker in (0xC0, 0xC1):
                 self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
@@ -137,19 +141,16 @@ class Header:
             elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
                 raise ValueError("not a baseline image")
             elif marker == 0xDA:
-                self.coding = tuple((body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0]))
-                if len(self.coding) != len(self.parts):
-                    raise ValueError("components in scans of their own are not taken")
-                at = self._scan(data, at)
-
-    def _scan(self, data: bytes, at: int) -> int:
-        stop = at
-        while True:
-            stop = data.index(b"\xff", stop)
-            if data[stop + 1] == 0 or 0xD0 <= data[stop + 1] <= 0xD7:
-                stop += 2
-                continue
-            break
+                coding = tuple((body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0]))
+                stop = at
+                while data[(stop := data.index(b"\xff", stop)) + 1] == 0 or 0xD0 <= data[stop + 1] <= 0xD7:
+                    stop += 2
+                if self.parts[0][0] in (name for name, _ in coding) and self.coding is None:
+                    self.coding, self.step, self.codes = coding, self.interval, dict(self.tables)
+                    self._scan(data, at, stop)
+                at = stop
+
+    def _scan(self, data: bytes, at: int, stop: int) -> None:
         raw = np.frombuffer(data, np.uint8, stop - at, at)
         after = np.flatnonzero(raw[:-1] == 255) + 1 if len(raw) else np.zeros(0, np.int64)
         after = after[raw[after] != 255]
@@ -160,11 +161,10 @@ class Header:
         self.flow = raw[keep]
         cuts = (np.cumsum(keep)[mark] if len(mark) else np.zeros(0, np.int64)).tolist()
         self.starts = np.array([0, *cuts])
-        return stop
 
     def layout(self) -> tuple:
         """What must agree for images to be decoded side by side."""
-        return (self.interval > 0, tuple(self.coding), tuple((c[1], c[2]) for c in self.parts), tuple(sorted(self.codes.items())))
+        return (self.coding, tuple(c[:3] for c in self.parts), tuple(sorted(self.codes.items())))
 
 
 def _lookup(spec) -> np.ndarray:
@@ -188,24 +188,27 @@ def thumbnails(stream: list[Header]) -> list[np.ndarray]:
 
 def _decode(images: list[Header], out: list, where: list[int]) -> None:
     one = images[0]
-    single = len(one.parts) == 1
+    single = len(one.coding) == 1  # such a scan has the component's own blocks, row by row
     tables = {k: _lookup(v) for k, v in one.codes.items()}
     order = {p[0]: p for p in one.parts}
+    luminance = one.parts[0][0]
     blocks = []  # of an MCU: (component, DC table, AC table, place down, place across)
     for c, (name, coding) in enumerate(one.coding):
         _, across, down, _ = order[name]
         for y in range(1 if single else down):
             for x in range(1 if single else across):
-                blocks.append((c, tables[coding >> 4], tables[16 + (coding & 15)], y, x))
-    most_x, most_y = (1, 1) if single else (max(p[1] for p in one.parts), max(p[2] for p in one.parts))
-    lum_x, lum_y = (1, 1) if single else (order[one.coding[0][0]][1], order[one.coding[0][0]][2])
-    grid = [(-(-h.height // (8 * most_y)), -(-h.width // (8 * most_x))) for h in images]
+                blocks.append((c, name == luminance, tables[coding >> 4], tables[16 + (coding & 15)], y, x))
+    most_x, most_y = max(p[1] for p in one.parts), max(p[2] for p in one.parts)
+    own_x, own_y = order[luminance][1], order[luminance][2]
+    lum_x, lum_y = (1, 1) if single else (own_x, own_y)
+    size = [(-(-h.height * own_y // (8 * most_y)), -(-h.width * own_x // (8 * most_x))) for h in images]  # luminance blocks
+    grid = [(-(-down // lum_y), -(-across // lum_x)) for down, across in size]
     # A lane is a restart interval: its first bit, its number of MCUs, and where its samples go.
     flow = np.concatenate([*(np.concatenate([h.flow, np.full(8, 255, np.uint8)]) for h in images)])
     base, bit, count, first, total = 0, [], [], [], 0
     for h, (rows, cols) in zip(images, grid, strict=True):
         n = rows * cols
-        step = h.interval or n
+        step = h.step or n
         k = -(-n // step)
         if len(h.starts) != k:
             raise ValueError("restart markers do not agree with the size")
@@ -214,22 +217,23 @@ def _decode(images: list[Header], out: list, where: list[int]) -> None:
         first.append(total + np.arange(k) * step)
         base, total = base + len(h.flow) + 8, total + n
     bit, count, first = np.concatenate(bit), np.concatenate(count), np.concatenate(first)
-    wide = flow.astype(np.int64)
-    ahead = np.concatenate([(wide[:-4] << 32) | (wide[1:-3] << 24) | (wide[2:-2] << 16) | (wide[3:-1] << 8) | wide[4:], np.zeros(4, np.int64)])
+    ahead = np.zeros(len(flow), np.uint32)  # the 32 bits from each byte on: enough for 7 of that byte and a code or a difference
+    for k in range(4):
+        ahead[:-3] |= flow[k : len(flow) - 3 + k].astype(np.uint32) << np.uint32(24 - 8 * k)
     last = np.zeros((len(one.coding), len(bit)), np.int64)
-    dc = np.zeros((total, lum_y, lum_x), np.int64)
+    dc = np.zeros((total, lum_y, lum_x), np.int16)
     by_size = np.argsort(-count, kind="stable")
     bit, count, first = bit[by_size], count[by_size], first[by_size]
     for mcu in range(int(count[0]) if len(count) else 0):
         live = int(np.searchsorted(-count, -mcu))  # lanes with more MCUs come first
         b = bit[:live]
-        for c, dc_of, ac_of, y, x in blocks:
-            b, size = _symbol(ahead, b, dc_of)
-            value = (ahead[b >> 3] >> (40 - (b & 7) - size)) & ((1 << size) - 1)
-            b = b + size
-            last[c, :live] += np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
-            if c == 0:
-                dc[first[:live] + mcu, y, x] = last[0, :live]
+        for c, bright, dc_of, ac_of, y, x in blocks:
+            b, bits = _symbol(ahead, b, dc_of)
+            value = (ahead[b >> 3].astype(np.int64) >> (32 - (b & 7) - bits)) & ((1 << bits) - 1)
+            b = b + bits
+            last[c, :live] += np.where((bits > 0) & (value < (1 << np.maximum(bits - 1, 0))), value - (1 << bits) + 1, value)
+            if bright:
+                dc[first[:live] + mcu, y, x] = last[c, :live]
             b, symbol = _symbol(ahead, b, ac_of)
             busy = np.flatnonzero(symbol)
             if len(busy):
@@ -243,30 +247,47 @@ def _decode(images: list[Header], out: list, where: list[int]) -> None:
                     busy = busy[symbol[busy] != 0]
         bit[:live] = b
     at = 0
-    for h, (rows, cols), i in zip(images, grid, where, strict=True):
-        quant = h.quant[order[one.coding[0][0]][3]]
-        pixels = dc[at : at + rows * cols].reshape(rows, cols, lum_y, lum_x).transpose(0, 2, 1, 3).reshape(rows * lum_y, cols * lum_x)
+    for h, (rows, cols), (down, across), i in zip(images, grid, size, where, strict=True):
+        quant = h.quant[order[luminance][3]]
+        pixels = dc[at : at + rows * cols].astype(np.int32).reshape(rows, cols, lum_y, lum_x).transpose(0, 2, 1, 3).reshape(rows * lum_y, cols * lum_x)
         at += rows * cols
-        down, across = (-(-h.height * lum_y // (8 * most_y)), -(-h.width * lum_x // (8 * most_x)))
         out[i] = np.clip(np.floor(pixels[:down, :across] * quant / 8 + 128.5), 0, 255).astype(np.uint8)
 
 
 def _symbol(ahead: np.ndarray, bit: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    got = lookup[(ahead[bit >> 3] >> (24 - (bit & 7))) & 0xFFFF]
+    got = lookup[(ahead[np.minimum(bit >> 3, len(ahead) - 1)].astype(np.int64) >> (16 - (bit & 7))) & 0xFFFF]
     if len(got) and not got.all():
         raise ValueError("bits that are no Huffman code")
     return bit + (got >> 8), (got & 255).astype(np.int64)
 
 
 def headers(media: bytes) -> list[Header]:
-    """Every image of a stream."""
+    """Every image of a stream; ValueError for what is no whole stream of baseline images."""
     found, at = [], 0
-    while at < len(media):
-        found.append(Header(media, at))
-        at = found[-1].end
+    try:
+        while at < len(media):
+            found.append(Header(media, at))
+            at = found[-1].end
+    except IndexError as e:
+        raise ValueError("the image ends too soon") from e
     return found
 
 
+def decoded(stored: list[bytes | None]) -> list[tuple[list[Header], list[np.ndarray]] | None]:
+    """Headers and thumbnails of each stream; None for null and for what is no whole stream of baseline images."""
+    parsed: list = []
+    for m in stored:
+        try:
+            parsed.append(headers(m) if m else None)
+        except (ValueError, KeyError):
+            parsed.append(None)
+    try:
+        pixels = iter(thumbnails([h for hs in parsed for h in hs or ()]))
+        return [hs and (hs, [next(pixels) for _ in hs]) for hs in parsed]
+    except (ValueError, KeyError, IndexError):  # a damaged scan: one by one, to tell which
+        return [None] if len(stored) == 1 else [decoded([m])[0] for m in stored]
+
+
 def thumbnail_hash(pixels: np.ndarray) -> str:
     """A 64-bit difference hash in hex: means over 8 x 9 cells, each against its right neighbour."""
     rows = np.array_split(pixels.astype(np.float64), min(8, len(pixels)), axis=0)
@@ -283,8 +304,9 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(data), data + b"\xff" * (-len(data) % UNIT or (0 if data else UNIT))
 
 
-def with_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as a stream of JPEGs. Null is the empty text."""
+def write_media(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Stores (doc_id, n_bytes, media), each text as a stream of JPEGs, as a table at `path` or in the
+    shared folder without one, and reads it again. Null is the empty text."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def make():
@@ -294,32 +316,34 @@ def with_media(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_bytes long, media binary", "text", make, 4 << 20)
+    return staged(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_bytes long, media binary", "text", make, BATCH), "media", path)
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What the stored images hold: payload digests, and dimensions with thumbnail hashes as `feature`."""
+    """What stored images hold: payload digests, and dimensions with thumbnail hashes as `feature`.
+
+    Null for media that is null, empty, or no whole stream of baseline images.
+    """
     kind = dict(media.dtypes)["doc_id"]
 
     def make():
         def step(batch):
             stored = batch.column("media").to_pylist()
-            parsed = [headers(m) for m in stored]
-            pixels = iter(thumbnails([h for hs in parsed for h in hs]))
-            own = [[next(pixels) for _ in hs] for hs in parsed]
-            payload = [b"".join(p.tobytes() for p in ps) for ps in own]
+            read = decoded(stored)
+            payload = [r and b"".join(p.tobytes() for p in r[1]) for r in read]
+            of = lambda f, xs: [None if x is None else f(x) for x in xs]
             sha = lambda x: hashlib.sha256(x).hexdigest()
             return {
-                "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": [len(p) for p in payload], "payload_sha256": [sha(p) for p in payload],
-                "tail_crc32": [zlib.crc32(p[-32:]) for p in payload], "media_bytes": [len(m) for m in stored], "media_sha256": [sha(m) for m in stored],
-                "feature": [";".join(f"{h.width}x{h.height}:{thumbnail_hash(p)}" for h, p in zip(hs, ps, strict=True)) for hs, ps in zip(parsed, own, strict=True)],
+                "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": of(len, payload), "payload_sha256": of(sha, payload),
+                "tail_crc32": of(lambda p: zlib.crc32(p[-32:]), payload), "media_bytes": of(len, stored), "media_sha256": of(sha, stored),
+                "feature": of(lambda r: ";".join(f"{h.width}x{h.height}:{thumbnail_hash(p)}" for h, p in zip(*r, strict=True)), read),
             }
 
         return step
 
-    return map_batches(media, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media", make, 4 << 20)
+    return map_batches(media.select("doc_id", "n_bytes", "media"), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media", make, BATCH)
 
 
-def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows each return a row; an empty table returns none; extra columns are left out."""
-    return media_features(with_media(table(spark, sf_dir, "documents")))
+def op7_jpeg_media(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
+    """Repeated rows each return a row; an empty table returns none; extra columns are left out. `out` keeps the media there."""
+    return media_features(write_media(table(spark, sf_dir, "documents"), out))

@@ -396,8 +396,35 @@ def test_jpeg_of_colour_and_subsampling():
     assert jpeg.thumbnails([h])[0].tolist() == [[128 + 8, 128 + 8], [128, 128]]
 
 
-def test_media_query(spark, texts):
-    rows = jpeg.media_features(jpeg.with_media(frame(spark, texts))).collect()
+def test_jpeg_of_scans_of_their_own():
+    """Colour first, then luminance, each component in its own scan: 24 x 9 pixels are three by two luminance blocks."""
+    dc, ac = ((0, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0, 3)), ((1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0,))
+    seg = lambda m, b: bytes((255, m)) + (len(b) + 2).to_bytes(2, "big") + b
+    table = lambda kind, s: bytes((kind,)) + bytes(s[0]) + bytes(s[1])
+
+    def scan(name, differences):
+        bits = "".join(("00" if d == 0 else "01" + format(d if d > 0 else d + 7, "03b")) + "0" for d in differences)
+        bits += "1" * (-len(bits) % 8)
+        return seg(0xDA, bytes((1, name, 0, 0, 63, 0))) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    head = b"\xff\xd8" + seg(0xDB, bytes((0, 8)) + bytes([1] * 63)) + seg(0xC0, b"\x08\x00\x09\x00\x18\x02\x01\x22\x00\x02\x11\x00") + seg(0xC4, table(0, dc) + table(16, ac))
+    image = head + scan(2, [4, 0]) + scan(1, [5, -4, 0, 7, 0, -6]) + b"\xff\xd9"
+    (h,) = jpeg.headers(image)
+    assert jpeg.thumbnails([h])[0].tolist() == [[133, 129, 129], [136, 136, 130]]
+    whole = jpeg.encode(b"a" * 576)
+    for bad in (None, b"", b"x", image[:-30], image[:40], whole[:-1], whole[: len(whole) // 2], head + b"\xff\xd9", whole.replace(b"\xff\xc0", b"\xff\xc2")):
+        assert jpeg.decoded([bad]) == [None]
+    assert [r is not None for r in jpeg.decoded([whole, whole[:300], image])] == [True, False, True]
+
+
+def test_media_query(spark, texts, tmp_path):
+    kept = str(tmp_path / "media")
+    jpeg.write_media(frame(spark, texts), kept)
+    rows = jpeg.media_features(spark.read.parquet(kept)).collect()
+    for r in rows[:40]:  # the feature once more, from the payload alone
+        t = next(t for i, t in texts if i == r.doc_id and hashlib.sha256(jpeg.payload_of(t or "")[1]).hexdigest() == r.payload_sha256)
+        p = np.frombuffer(jpeg.payload_of(t or "")[1], np.uint8)
+        assert r.feature == f"192x{len(p) // 3}:{jpeg.thumbnail_hash(p.reshape(-1, 24))}"
     want = Counter()
     for i, t in texts:
         n, p = jpeg.payload_of(t or "")
