@@ -1,12 +1,14 @@
 """Operator 8, main text of web pages as a maximum-scoring subsequence of tokens.
 
-A page is a sequence of words and tags. Words score by how often words in such an element are
-content on labelled pages, tags score below zero by how rarely they stand in content; one linear
-scan finds the contiguous run with the largest sum, which is the content region. What is
-boilerplate by its element or class is left out of the region's text.
+A page is a sequence of words and tags. Words score by how often words in such a block, and under
+elements of such names, are content on labelled pages; tags score below zero by how rarely they
+stand in content; one linear scan finds the contiguous run with the largest sum, which is the
+content region. No list of names takes part in that. What stands inside the region but is no article
+text by its element or class (`BOILER_TAGS`, `BOILER_NAMES`: menus, notices, adverts, forms,
+comments) is left out of the region's text, and costs too little to part an article.
 
 Labelled pages are those that mark their content with an article element, at most `SAMPLE` of them,
-the smallest by the hash of the page; the element itself is no feature.
+the smallest by the hash of the page; the element itself is no feature. Reading is linear in a page.
 """
 
 from __future__ import annotations
@@ -24,7 +26,12 @@ from .common import map_batches, table, texts_of
 #: Labelled pages at most.
 SAMPLE = 400
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A quoted value may hold >, but only if its closing quote ends a value; else a quote is a sign like others.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"<]*\"(?=[\s/>]|\Z)|'[^'<]*'(?=[\s/>]|\Z)|[\"'])*+)(?:>|\Z)",
+    re.S,
+)
 _RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -35,37 +42,47 @@ BOILER_TAGS = frozenset("nav footer aside form menu button select dialog head".s
 BOILER_NAMES = frozenset("nav navbar navigation menu topbar footer sidebar aside ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice popup modal comment comments replies disqus share sharing social related recommended breadcrumb breadcrumbs subscribe newsletter login signup search pagination pager widget complementary contentinfo".split())
 
 
-def _is_boiler(tag: str, attrs: str) -> bool:
-    if tag in BOILER_TAGS:
-        return True
-    if tag in ("html", "body", "main", "article") or not attrs:
-        return False
-    for m in _NAMES.finditer(attrs):
-        if BOILER_NAMES & set(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+#: Elements that hold content and all else alike, or that the nearest block tells of already.
+_NEUTRAL = frozenset("html body main article section div span p".split())
+
+
+def _names(tag: str, attrs: str) -> set[str]:
+    """The words of an element's class, id and role."""
+    if not attrs or tag in ("html", "body", "main", "article"):
+        return set()
+    return {w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w}
 
 
 class Page:
-    """Tokens of a page: (kind, text, within, boiler); kind is w for a run of text, the tag, or /tag.
+    """Tokens of a page: (kind, text, block, within, boiler); kind is w for a run of text, the tag, or /tag.
 
-    `within` names the nearest block element, with ! if boilerplate holds it; `article` tells for
-    each token whether it stands in an article element. Broken markup is read as it comes: an end
-    tag closes the nearest open element of its name, an open p ends where a block begins.
+    `block` is the nearest block element; `within` numbers an entry of `contexts`, (the one around it,
+    names that it adds), names being tags and words of class, id or role; `article` tells for each
+    token whether it stands in an article element. Broken markup is read as it comes: an end tag
+    closes the nearest open element of its name, an open p ends where a block begins.
     """
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, str, bool]] = []
+        self.tokens: list[tuple[str, str, str, int, bool]] = []
         self.article: list[bool] = []
-        stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, in an article
+        self.contexts: list[tuple[int, list[str]]] = [(0, [])]
+        stack = [("", "body", 0, False, False, [])]  # tag, nearest block, context, boilerplate, in an article, names added
+        open_tags, open_names = Counter(), set()
         at, n = 0, len(source)
-        seen = False
+        self.labelled = False
 
         def put(kind, text):
-            top = next((t for t, _, _ in reversed(stack) if t in BLOCK), "body")
-            boiler = bool(stack) and stack[-1][1]
-            self.tokens.append((kind, text, top + "!" * boiler, boiler))
-            self.article.append(bool(stack) and stack[-1][2])
+            _, block, within, boiler, article, _ = stack[-1]
+            self.tokens.append((kind, text, block, within, boiler))
+            self.article.append(article)
+
+        def close(tag):
+            while True:
+                top = stack.pop()
+                open_tags[top[0]] -= 1
+                open_names.difference_update(top[5])
+                if top[0] == tag:
+                    return
 
         while at < n:
             m = _TOKEN.search(source, at)
@@ -78,63 +95,92 @@ class Page:
             tag = (m[2] or "").lower()
             if not tag:
                 continue
-            if not m[1]:
-                if tag in _RAW:
-                    close = _RAW_END[tag].search(source, at)
-                    at = close.end() if close else n
-                    continue
-                if tag in BLOCK and any(t == "p" for t, _, _ in stack[-4:]):
-                    while stack.pop()[0] != "p":
-                        pass
-                up = stack[-1] if stack else ("", False, False)
-                article = up[2] or tag == "article"
-                # A header is the page's unless it stands in an article.
-                boiler = up[1] or _is_boiler(tag, m[3] or "") or (tag == "header" and not up[2])
-                if tag not in VOID and not (m[3] or "").endswith("/"):
-                    stack.append((tag, boiler, article))
-                put(tag, "")
-                seen |= tag == "article"
-            else:
+            if m[1]:
                 put("/" + tag, "")
-                if any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-        self.labelled = seen
+                if open_tags[tag]:
+                    close(tag)
+                continue
+            if tag in _RAW:
+                found = _RAW_END[tag].search(source, at)
+                at = found.end() if found else n
+                continue
+            if tag in BLOCK and any(x[0] == "p" for x in stack[-4:]):
+                close("p")
+            _, block, within, boiler, article, _ = stack[-1]
+            own = _names(tag, m[3])
+            # A header is the page's unless it stands in an article.
+            boiler = boiler or tag in BOILER_TAGS or not BOILER_NAMES.isdisjoint(own) or (tag == "header" and not article)
+            self.labelled |= tag == "article"
+            if tag not in VOID and not m[3].endswith("/"):
+                new = sorted((own | ({tag} - _NEUTRAL)) - open_names)
+                if new:
+                    open_names.update(new)
+                    self.contexts.append((within, new))
+                    within = len(self.contexts) - 1
+                stack.append((tag, tag if tag in BLOCK else block, within, boiler, article or tag == "article", new))
+                open_tags[tag] += 1
+            put(tag, "")
+
+
+def _odds(inside: Counter, outside: Counter, floor: float) -> dict[str, float]:
+    a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
+    return {k: math.log((inside[k] / a + floor) / (outside[k] / b + floor)) for k in inside | outside}
 
 
 class Extractor:
-    """Weights of words by element and of tags, and the scan that uses them."""
+    """Weights of words by block and names and of tags, and the scan that uses them.
+
+    `lists` False leaves the lists of boilerplate out, so that the scan alone decides."""
 
-    def __init__(self, labelled: list[str]):
-        inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
+    def __init__(self, labelled: list[str], lists: bool = True):
+        self.lists = lists
+        words, names, tags = ((Counter(), Counter()) for _ in range(3))
         for source in labelled:
             page = Page(source)
-            for (kind, text, within, boiler), on in zip(page.tokens, page.article, strict=True):
+            under = [[0, 0] for _ in page.contexts]
+            for (kind, text, block, within, _), on in zip(page.tokens, page.article, strict=True):
                 if kind == "w":
-                    (inside if on else outside)[within] += len(text.split())
+                    n = len(text.split())
+                    words[not on][block] += n
+                    under[within][not on] += n
                 elif kind.strip("/") != "article":
-                    (tag_in if on else tag_out)[kind + "!" * boiler] += 1
-        a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
-        self.word = {k: max(-2.0, min(2.0, math.log((inside[k] / a + 1e-4) / (outside[k] / b + 1e-4)))) for k in inside | outside}
-        a, b = sum(tag_in.values()) + 1, sum(tag_out.values()) + 1
-        self.tag = {k: min(-0.02, max(-1.0, math.log((tag_in[k] / a + 1e-2) / (tag_out[k] / b + 1e-2)))) for k in tag_in | tag_out}
-
-    def weight(self, kind: str, text: str, within: str, boiler: bool) -> float:
-        """Unseen elements count a little. Boilerplate is left out of a region's text anyway, so it
-        costs a fiftieth: enough not to end a region with it, too little to part an article."""
-        share = 0.02 if boiler else 1.0
-        if kind != "w":
-            return share * self.tag.get(kind + "!" * boiler, -0.2)
-        n = len(text.split())
-        return share * n * (min(self.word.get(within, -1.0), -0.5) if boiler else self.word.get(within, 0.5)) if n else 0.0
+                    tags[not on][kind] += 1
+            for i in range(len(under) - 1, 0, -1):  # inner contexts follow outer ones
+                up, new = page.contexts[i]
+                for side in (0, 1):
+                    under[up][side] += under[i][side]
+                    for x in new:
+                        names[side][x] += under[i][side]
+        total = [Counter({"": 1}) + Counter({"": sum(c.values())}) for c in words]
+        self.word = _odds(*words, 1e-4)
+        self.name = {k: math.log((names[0][k] / total[0][""] + 1e-3) / (names[1][k] / total[1][""] + 1e-3)) for k in names[0] | names[1]}
+        self.tag = {k: min(-0.02, max(-1.0, x)) for k, x in _odds(*tags, 1e-2).items()}
+
+    def weights(self, page: Page) -> list[float]:
+        """Blocks and tags not seen on labelled pages count a little, unseen names nothing. What is left
+        out of a region's text anyway costs a fiftieth at most: too little to part an article."""
+        sums = [0.0]
+        for up, new in page.contexts[1:]:
+            sums.append(sums[up] + sum(self.name.get(x, 0.0) for x in new))
+        out = []
+        for kind, text, block, within, boiler in page.tokens:
+            boiler = boiler and self.lists
+            if kind != "w":
+                w = self.tag.get(kind, -0.2)
+            elif n := len(text.split()):
+                w = n * max(-2.0, min(-0.5 if boiler else 2.0, self.word.get(block, 0.5) + sums[within]))
+            else:
+                w = 0.0
+            out.append(0.02 * w if boiler else w)
+        return out
 
     def region(self, page: Page) -> tuple[int, int]:
         """Token range with the largest sum, the first of the longest such; empty if no sum is above 0."""
         best, span, total, start = 0.0, (0, 0), 0.0, 0
-        for i, token in enumerate(page.tokens):
+        for i, w in enumerate(self.weights(page)):
             if total <= 0:
                 total, start = 0.0, i
-            total += self.weight(*token)
+            total += w
             if total > best:
                 best, span = total, (start, i + 1)
         return span
@@ -145,9 +191,9 @@ class Extractor:
             return ""
         start, end = self.region(page)
         blocks, now = [], []
-        for kind, text, _, boiler in page.tokens[start:end]:
+        for kind, text, _, _, boiler in page.tokens[start:end]:
             if kind == "w":
-                if not boiler:
+                if not (boiler and self.lists):
                     now.append(html.unescape(text))
             elif kind in ("br", "/br"):
                 now.append(" ")

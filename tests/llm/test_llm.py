@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -456,12 +458,54 @@ def test_extraction(extractor):
 
 def test_region_is_the_best_sum(extractor):
     page = html.Page(PAGE.format("<article><p>a b c</p></article><p>d</p>"))
-    w = [extractor.weight(*t) for t in page.tokens]
+    w = extractor.weights(page)
     best = max(sum(w[i:j]) for i in range(len(w)) for j in range(i, len(w) + 1))
     a, b = extractor.region(page)
     assert sum(w[a:b]) == pytest.approx(best)
 
 
+def test_open_quotes_and_long_pages(extractor):
+    text = extractor.text
+    assert text(PAGE.format('<article><p>see <a href="foo>link</a> and <a href="b">that</a> there</p></article>')) == "see link and that there"
+    assert text(PAGE.format("<article><p>x <img alt='a > b' src=c> it's <i title=\"p>q\">so</i></p></article>")) == "x it's so"
+    for n in (2000, 40_000):  # reading is linear: each of these would take minutes otherwise
+        start = time.process_time()
+        assert text("<p>" + "<span>x " * n).count("x") == n
+        text('<a href="x\'' * n)
+        text("</b><div class='c1'>" * n)
+        text("<p " + "\"' " * n)
+        assert time.process_time() - start < 20
+
+
+def plain_blocks(page):
+    """The page without article elements and without names that tell its menus, adverts and footers."""
+    page = re.sub(r"</?article[^>]*>", "", page)
+    page = re.sub(r"<(/?)(?:nav|footer|aside)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r" class=(\"[^\"]*\"|'[^']*')", "", page)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_scan_alone_on_held_out_pages():
+    """400 labelled pages to learn from, others to hold out: the scan finds the article where neither the
+    element nor any name gives it away, and the lists alone do not."""
+    import duckdb
+
+    rows = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.1/pages.parquet' ORDER BY page_id LIMIT 900").fetchall()]
+    with_lists, without = html.Extractor(rows[:400]), html.Extractor(rows[:400], lists=False)
+
+    def article(page):
+        inner = re.search(r"<article>(.*)</article>", page, re.S)
+        return " ".join(html.html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:h1|p|br)>", " ", inner[1]))).split()) if inner else None
+
+    held = [(p, t) for p in rows[400:] if (t := article(p)) is not None]
+    assert len(held) > 400
+    for e in (with_lists, without):
+        for change in (lambda p: p, lambda p: re.sub(r"</?article[^>]*>", "", p), plain_blocks):
+            assert sum(e.text(change(p)) == t for p, t in held) >= 0.98 * len(held)
+    with_lists.region = lambda page: (0, len(page.tokens))
+    assert sum(with_lists.text(plain_blocks(p)) == t for p, t in held) < 0.1 * len(held)
+
+
 def test_page_query(spark, extractor):
     pages = spark.createDataFrame([(1, "u", PAGE.format("<article><p>é x</p></article>"), "c"), (2, None, None, "c"), (None, "u", "", "c")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extracted(pages, extractor).collect()}
