@@ -1,13 +1,15 @@
 """Operator 1, toxicity of text restored by a noisy-channel decoder.
 
-A writer's word is thought to pass a channel that swaps letters for look-alikes, repeats letters
-and sets signs or spaces between them. Tokens that look so are laid out as a lattice of the letters
-each place may stand for, and the Viterbi path under a character trigram model times the channel's
-costs is the restored word. The words of the restored text, and their first letters, are the
-features of a logistic regression.
+A writer's word is thought to pass a channel that swaps letters for look-alikes, repeats letters and
+sets signs or blanks between them. Tokens that look so are laid out as a lattice of the letters each
+place may stand for, and the Viterbi path under a character trigram model times the channel's costs
+is the restored word. Blanks are arcs of a lattice over tokens: where tokens are single signs or no
+known words, a path may end a word at a blank or drop the blank within a word, which must then be a
+known one. The words of the restored text, and their first letters, are the features of a logistic
+regression.
 
 Both models are fitted on the driver to a sample of `SAMPLE` labelled rows at most for each label,
-the smallest by hash, so every label table is treated alike; their size is bounded by parameters.
+the smallest by hash, so every label table is treated alike; their size is bounded by that.
 """
 
 from __future__ import annotations
@@ -21,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, remainder, table, texts_of
+from .common import map_batches, pieces, remainder, table, texts_of
 
-#: Rows a label in the training sample, and features of the classifier, at most.
+#: Rows a label in the training sample at most.
 SAMPLE = 2500
-FEATURES = 1500
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PREFIXES = (4, 5)
@@ -34,8 +35,8 @@ SIGNIFICANT, PENALTY = 2.5, 0.05
 #: Look-alikes: what a sign may stand for besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 SWAP_COST, KEEP_COST, REPEAT_COST, DROP_COST = 0.7, 4.0, 0.7, 0.2
-#: What a word of a spaced-out run costs besides its letters, and one that is not known; letters of such a word at most.
-BREAK_COST, UNKNOWN_COST, SPACED_WORD = 2.0, 6.0, 32
+#: A blank dropped within a word; a word that is not known, and each of its signs; signs of a word with blanks in it at most.
+BLANK_COST, UNKNOWN_COST, SIGN_COST, BLANKED_WORD = 0.3, 6.0, 2.0, 32
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£*._\-]|[0-9@$!|+(<€£].*[^\W\d_]|(.)\1\1|([^\W\d_])\2")
@@ -43,7 +44,14 @@ _ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£*._\-]|[0-9@$!|+(<€£].*[^\W\d_]
 _PLAIN_BEFORE, _PLAIN_BEHIND = "(<", "!"
 _MARKS = "".join(c for c in LOOKALIKES if not c.isalnum())
 _NO_LETTER = re.compile(rf"^(?:(?![{re.escape(_MARKS)}])[\W_])+|(?:(?![{re.escape(_MARKS)}])[\W_])+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
+_SIGN = re.compile(r"[0-9@$!|+(<€£]")
+#: Letters that a sign may stand for, signs and marks go; runs of what is left count once: a word's frame, the same however it is obscured.
+_SOFT = {ord(c): None for c in {*"".join(LOOKALIKES.values()), *LOOKALIKES, *"._*-,;:?#%&'\"~^=/\\)[]{}"}}
+_TWICE = re.compile(r"(.)\1+")
+
+
+def frame(text: str) -> str:
+    return _TWICE.sub(r"\1", text.translate(_SOFT))
 
 
 class CharModel:
@@ -82,12 +90,15 @@ class Restorer:
 
     def __init__(self, model: CharModel, words: Counter):
         self.model, self.known, self.memo = model, dict(words), {}
+        self.total, self.frames = sum(words.values()) or 1, {frame(w) for w in words}
 
     def word(self, token: str) -> str:
         """The restored form of a lower-case token; known and plain tokens stay as they are.
 
         Signs at its ends are kept if they may stand for letters, so the decoder sees them.
         """
+        if token in self.known:
+            return token
         bare, core = _EDGE.sub("", token), _NO_LETTER.sub("", token)
         if core == bare and (bare in self.known or not _ODD.search(bare)):
             return bare
@@ -120,71 +131,131 @@ class Restorer:
         return out
 
     def decoded(self, token: str) -> str:
-        """The whole token, a long one in stretches of 64 characters, as paths carry their text along."""
-        return "".join(self.decode(token[i : i + 64]) for i in range(0, len(token), 64))
-
-    def decode(self, token: str) -> str:
-        paths = {"^^": (0.0, "")}
+        """The likeliest letters of a whole token."""
+        paths = {"^^": (0.0, ())}
         for i in range(len(token)):
             paths = self.extended(paths, token, i)
         return self.ended(paths)[1]
 
     def ended(self, paths: dict) -> tuple[float, str]:
-        return min((cost + self.model.cost(*state, "$"), text) for state, (cost, text) in paths.items())
+        """Cost and letters of the best path; paths hold their letters as cells (earlier letters, last one), which they share."""
+        cost, _, cell = min((cost + self.model.cost(*state, "$"), state, cell) for state, (cost, cell) in paths.items())
+        letters = []
+        while cell:
+            cell, c = cell
+            letters.append(c)
+        return cost, "".join(reversed(letters))
 
     def extended(self, paths: dict, token: str, i: int, start: int = 0) -> dict:
         """The paths behind place i of the token, for a word that begins at start."""
         c = token[i]
-        new: dict[str, tuple[float, str]] = {}
+        new: dict[str, tuple[float, tuple]] = {}
 
-        def offer(state, cost, text):
+        def offer(state, cost, cell):
             if state not in new or cost < new[state][0]:
-                new[state] = (cost, text)
+                new[state] = (cost, cell)
 
         again = i > start and token[i - 1] == c
-        for state, (cost, text) in paths.items():
+        for state, (cost, cell) in paths.items():
             if c.isalpha():
-                offer(state[1] + c, cost + self.model.cost(*state, c), text + c)
+                offer(state[1] + c, cost + self.model.cost(*state, c), (cell, c))
                 if again and state[1] == c:
-                    offer(state, cost + REPEAT_COST, text)
+                    offer(state, cost + REPEAT_COST, cell)
             else:
                 for x in LOOKALIKES.get(c, ""):
-                    offer(state[1] + x, cost + SWAP_COST + self.model.cost(*state, x), text + x)
+                    offer(state[1] + x, cost + SWAP_COST + self.model.cost(*state, x), (cell, x))
                     if again and state[1] == x:
-                        offer(state, cost + REPEAT_COST, text)
+                        offer(state, cost + REPEAT_COST, cell)
                 if c.isdigit():
-                    offer(state[1] + c, cost + KEEP_COST + self.model.cost(*state, c), text + c)
+                    offer(state[1] + c, cost + KEEP_COST + self.model.cost(*state, c), (cell, c))
                 else:
-                    offer(state, cost + (DROP_COST if start < i < len(token) - 1 or c not in LOOKALIKES else KEEP_COST / 2), text)
+                    offer(state, cost + (DROP_COST if start < i < len(token) - 1 or c not in LOOKALIKES else KEEP_COST / 2), cell)
         return new
 
-    def spaced(self, run: str) -> list[str]:
-        """The words of a spaced-out run without its spaces, by the cheapest breaks between them."""
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * len(run)
-        for start in range(len(run)):
-            paths, own = {"^^": (0.0, "")}, best[start][0] + BREAK_COST
-            for i in range(start, min(len(run), start + SPACED_WORD)):
-                paths = self.extended(paths, run, i, start)
-                cost, text = self.ended(paths)
-                cost += own + (0 if text in self.known or i == start else UNKNOWN_COST)
-                if cost < best[i + 1][0]:
-                    best[i + 1] = (cost, start, text)
-        out, at = [], len(run)
+    def own_cost(self, word: str) -> float:
+        """Of a word that stands by itself."""
+        return -math.log(self.known[word] / self.total) if word in self.known else UNKNOWN_COST + SIGN_COST * len(word)
+
+    def joins(self, tokens: list[str], start: int):
+        """(end, word, channel cost) of the known words that tokens[start:end] make, two tokens at least, without their blanks."""
+        text, paths, single = tokens[start], None, _one_sign(tokens[start])
+        for end in range(start + 1, len(tokens)):
+            before, text = text, text + tokens[end]
+            if len(text) > BLANKED_WORD:
+                return
+            cost = BLANK_COST * (end - start)
+            single = single and _one_sign(tokens[end])
+            if text in self.known:
+                yield end + 1, text, cost
+            elif single and end >= start + 2:  # letter by letter: the paths go on from the last sign
+                if paths is None:
+                    paths = {"^^": (0.0, ())}
+                    for i in range(len(before)):
+                        paths = self.extended(paths, before, i)
+                for i in range(len(before), len(text)):
+                    paths = self.extended(paths, text, i)
+                if (word := self.ended(paths)[1]) in self.known:
+                    yield end + 1, word, cost + SWAP_COST
+            elif not single and end < start + 4 and _SIGN.search(text) and frame(text) in self.frames and (word := self.word(text)) in self.known:
+                yield end + 1, word, cost + SWAP_COST
+
+    def unblanked(self, tokens: list[str], words: list[str]) -> list[str]:
+        """The words of the cheapest path over tokens: each by itself as in `words`, or a known word with blanks dropped."""
+        arcs = [list(self.joins(tokens, i)) for i in range(len(tokens))]
+        if not any(arcs):
+            return words
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * len(tokens)
+        for i, word in enumerate(words):
+            here = best[i][0]
+            for end, w, cost in [(i + 1, word, 0.0), *arcs[i]]:
+                if (cost := here + cost + self.own_cost(w)) < best[end][0]:
+                    best[end] = (cost, i, w)
+        out, at = [], len(tokens)
         while at:
-            _, at, text = best[at]
-            out.append(text)
+            _, at, word = best[at]
+            out.append(word)
         return out[::-1]
 
     def words(self, text: str) -> set[str]:
-        """The distinct restored words of a text, spaced-out words put together."""
-        low = text.lower()
-        tokens = set(low.split())
-        out = {self.word(t) for t in tokens}
-        for m in _SPACED.finditer(low):
-            out.update(self.spaced(re.sub(r"[ ._*\-]", "", m[0])))
+        """The distinct restored words of a text."""
+        tokens = text.lower().split()
+        alone = {t: self.word(t) for t in set(tokens)}
+        out, known = set(), self.known
+        core = {t: _NO_LETTER.sub("", t) for t, w in alone.items() if len(w) < 2 or w not in known}
+        weak = [i for i, t in enumerate(tokens) if t in core and core[t]]
+        if not weak:
+            return set(alone.values())
+        used = set()  # places that stand in a word with blanks
+        for run in _runs(weak):
+            lo, hi = max(0, run[0] - 1), min(len(tokens), run[-1] + 2)
+            own = [core.get(t) or alone[t] for t in tokens[lo:hi]]
+            if not all(own):  # a sign without letters parts words
+                lo, hi, own = run[0], run[-1] + 1, [core[t] for t in tokens[run[0] : run[-1] + 1]]
+            single = [alone[t] for t in tokens[lo:hi]]
+            got = self.unblanked(own, single)
+            if len(got) < len(own):
+                out.update(got)
+                used.update(range(lo, hi))
+        if not used:
+            return set(alone.values())
+        out.update(alone[t] for i, t in enumerate(tokens) if i not in used)
         return out
 
 
+def _one_sign(token: str) -> bool:
+    """A single sign, which may be repeated."""
+    return len(token) < 4 and token == token[0] * len(token)
+
+
+def _runs(places: list[int]):
+    """Ascending places cut into runs that follow each other."""
+    at = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            yield places[at:i]
+            at = i
+
+
 def features(words: set[str]) -> set[str]:
     return words | {"^" + w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
@@ -204,7 +275,7 @@ class Toxicity:
             (pos if label else neg).update(features(self.restorer.words(t)))
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
         gain = {f: abs(math.log((pos[f] + 0.5) / (n1 + 1)) - math.log((neg[f] + 0.5) / (n0 + 1))) / math.sqrt(1 / (pos[f] + 0.5) + 1 / (neg[f] + 0.5)) for f in (pos | neg) if pos[f] + neg[f] >= 3}
-        chosen = sorted((f for f in gain if gain[f] >= SIGNIFICANT), key=lambda f: (-gain[f], f))[:FEATURES]
+        chosen = sorted(f for f in gain if gain[f] >= SIGNIFICANT)
         number = {f: i for i, f in enumerate(chosen)}
         x = np.zeros((len(texts), len(chosen) + 1), np.float32)
         x[:, -1] = 1
@@ -269,12 +340,15 @@ def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """The rows of docs that the model does not reject, with all their columns."""
+    """The rows of docs that the model does not reject, with all their columns, whatever their names.
+
+    Null texts are scored as empty; repeated rows share one fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in pieces(batches, "text"):
             yield b.filter(pa.array([own.score(t) < THRESHOLD for t in texts_of(b)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -31,3 +31,55 @@ def test_spaced(restorer, text, words):
     got = restorer.words(text)
     assert words <= got
     assert not got & {"astupid", "adumb", "stupididiot", "astupidmoron"}
+
+
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [("you id iot", {"you", "idiot"}), ("stu pid he is", {"stupid", "he", "is"}), ("st up 1d", {"stupid"}), ("s t u p 1 d i d 1 0 t", {"stupid", "idiot"}), ("s tt uu p i d", {"stupid"})]
+    + [("a great house", {"a", "great", "house"}), ("he is one", {"he", "is", "one"}), ("erb lan house", {"erb", "lan", "house"})],
+)
+def test_blanks(restorer, text, words):
+    got = restorer.words(text)
+    assert words - {"you"} <= got and not got & {"stupididiot", "isone", "erblan"}
+
+
+def letters_of(c, before):
+    """What the channel may have made sign c from: (letters, cost)."""
+    own = [(c, 0.0)] if c.isalpha() else [(x, toxicity.SWAP_COST) for x in toxicity.LOOKALIKES.get(c, "")]
+    return own + ([(c, toxicity.KEEP_COST)] if c.isdigit() else [])
+
+
+def exhaustive(model, token):
+    """The least cost over all readings of a token, by recursion."""
+
+    def go(i, state, last):
+        if i == len(token):
+            return model.cost(*state, "$")
+        c, best = token[i], float("inf")
+        for x, cost in letters_of(c, last):
+            best = min(best, cost + model.cost(*state, x) + go(i + 1, state[1] + x, x))
+            if i and token[i - 1] == c and state[1] == x and not c.isdigit() | (x == c and not c.isalpha()):
+                best = min(best, toxicity.REPEAT_COST + go(i + 1, state, x))
+        if c.isdigit():
+            for x in toxicity.LOOKALIKES.get(c, ""):
+                if i and token[i - 1] == c and state[1] == x:
+                    best = min(best, toxicity.REPEAT_COST + go(i + 1, state, x))
+        elif not c.isalpha():
+            drop = toxicity.DROP_COST if 0 < i < len(token) - 1 or c not in toxicity.LOOKALIKES else toxicity.KEEP_COST / 2
+            best = min(best, drop + go(i + 1, state, last))
+        return best
+
+    return go(0, "^^", "")
+
+
+@pytest.mark.parametrize("token", ["1d10t", "$tup1d", "iiddiioott", "l0$er", "t.r.a.s.h", "m0000r0n", "11", "a$$h0le!", "x1x1x1", "6re@t"])
+def test_decoder_is_exhaustive(restorer, token):
+    paths = {"^^": (0.0, ())}
+    for i in range(len(token)):
+        paths = restorer.extended(paths, token, i)
+    assert restorer.ended(paths)[0] == pytest.approx(exhaustive(restorer.model, token))
+
+
+def test_long_tokens_are_decoded_whole(restorer):
+    assert len({restorer.decoded("1" * n) for n in (63, 64, 65, 640, 5000)}) == 1  # one letter repeated, however often
+    assert restorer.decoded("s1" * 40_000).count("s") == 40_000

@@ -76,7 +76,7 @@ def test_bradley_terry(spark, texts):
     good = [" ".join(rng.choices(PROSE.split(), k=60)) for _ in range(200)]
     bad = [" ".join(w + rng.choice(["%%%", "***"]) for w in t.split()) for t in good]
     x = np.array([quality.statistics(t) for t in [*good[:150], *bad[:150]]])
-    model = quality.BradleyTerry(x, np.array([1] * 150 + [0] * 150), pairs=2000)
+    model = quality.BradleyTerry(x, np.array([1] * 150 + [0] * 150))
     assert (model.score(np.array([quality.statistics(t) for t in good[150:]])) >= 0.5).mean() > 0.95
     assert (model.score(np.array([quality.statistics(t) for t in bad[150:]])) < 0.5).mean() > 0.95
     assert len(quality.scored(frame(spark, texts), model).collect()) == len(texts)
