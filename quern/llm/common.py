@@ -68,6 +68,14 @@ def staged(df: DataFrame, name: str, path: str | None = None, keep: bool = False
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reserved(name: str, df: DataFrame) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -4,12 +4,12 @@ Of every `SPAN - GRAM + 1` consecutive k-gram hashes winnowing keeps those equal
 any `SPAN` shared words share a kept hash (Schleimer et al. 2003). Kept hashes of documents meet
 those of the benchmark in a join, and each meeting is extended word by word to both sides: `SPAN`
 equal words or more are a hit, exactly. Items shorter than SPAN are one window of their own
-length, of which every gram is kept.
+length, of which every gram is kept; grams of all lengths are taken in one pass over a text.
 
-The benchmark index is joined in blocks of `BLOCK_ROWS` rows of at most about 2 * SPAN words, so
-what is broadcast is bounded however large the benchmark is; documents are never shuffled by it.
-A sieve of one bit a hash, made from the block, tells most grams of documents apart from all of the
-block's before they are winnowed, so minima are sought and words gathered for the few that are left.
+A sieve of one bit a hash, made from the benchmark's index, tells most grams of documents apart from
+all of the index's before they are winnowed, so minima are sought and words gathered for the few that
+are left. These meet the index where they lie if it has at most `BROADCAST_ROWS` rows, of about
+2 * SPAN words each, and by a shuffle of both otherwise. Texts are never shuffled by the search.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import reserved, staged, table
 
 SPAN = 10
 GRAM = 5
-BLOCK_ROWS = 250_000
+#: Rows of the index, or keys of documents, that are broadcast at most.
+BROADCAST_ROWS = 250_000
 #: Documents are searched in segments of so many words, which overlap by a window.
 SEGMENT = 4096
-#: Bits of the sieve that grams pass before they are winnowed, a power of two; four a row of a block at least.
+#: Bits of the sieve that grams pass before they are winnowed, a power of two.
 SIEVE_BITS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,38 +55,45 @@ def sieve(index: DataFrame) -> Callable[[Column], Column]:
     return lambda g: F.getbit(F.get(table, F.shiftright(g.bitwiseAND(SIEVE_BITS - 1), 6).cast("int")), g.bitwiseAND(63).cast("int")) == 1
 
 
-def winnowed(df: DataFrame, span: int, gram: int, some: Callable[[Column], Column] | None = None) -> DataFrame:
-    """df with `picks`: array of (at, hash), the kept grams of its column `words`, at from 0.
+def kept_grams(span: int, gram: int, some: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (at, hash, n): the grams of column `words` that winnowing keeps, from their word hashes in
+    column `hashes`; at from 0, n the span.
 
     With `some`, only grams that it lets through are looked at: each kept one of those is picked.
     Array entries are taken one by one: slice() copies the whole array each time.
     """
-    width = span - gram + 1
-    n = F.size("words")
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("grams", F.transform("hashes", lambda h, i: F.when(i <= n - gram, F.xxhash64(h, *(F.get("hashes", i + j) for j in range(1, gram))))))
+    width, n = span - gram + 1, F.size("hashes")
+    salt = F.lit(span)  # grams of several lengths share one index
+    grams = F.transform("hashes", lambda h, i: F.when(i <= n - gram, F.xxhash64(salt, h, *(F.get("hashes", i + j) for j in range(1, gram)))))
+
+    def picked(all_grams: Column) -> Column:
+        def kept(g: Column, i: Column) -> Column:
+            """Whether g is the least of a whole window of grams with place i."""
+            least = lambda s: F.least(*(F.get(all_grams, s + j) for j in range(width))) if width > 1 else F.get(all_grams, s)
+            return reduce(Column.__or__, ((i - j >= 0) & (i - j <= n - span) & (g == least(i - j)) for j in range(width)))
 
-    def kept(g: Column, i: Column) -> Column:
-        """Whether g is the least of a whole window of grams with place i."""
-        least = lambda s: F.least(*(F.get("grams", s + j) for j in range(width))) if width > 1 else F.get("grams", s)
-        return reduce(Column.__or__, ((i - j >= 0) & (i - j <= n - span) & (g == least(i - j)) for j in range(width)))
+        def pick(g: Column, i: Column) -> Column:
+            found = F.when(kept(g, i), F.struct(i.alias("at"), g.alias("hash"), F.lit(span).alias("n")))
+            return F.when(g.isNotNull() & some(g) if some else g.isNotNull(), found)
 
-    def pick(g: Column, i: Column) -> Column:
-        found = F.when(kept(g, i), F.struct(i.alias("at"), g.alias("hash")))
-        return F.when(g.isNotNull() & some(g) if some else g.isNotNull(), found)
+        return F.filter(F.transform(all_grams, pick), lambda p: p.isNotNull())
 
-    return df.withColumn("picks", F.filter(F.transform("grams", pick), lambda p: p.isNotNull())).drop("hashes", "grams")
+    return F.flatten(F.transform(F.array(grams), picked))
 
 
-def grams_around(df: DataFrame, keep: list[str], span: int, gram: int, some: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The columns `keep` and at, hash, ctx of each kept gram of `words`: ctx holds the words around
-    it that a window with it can reach, `span - gram` places on each side, null beyond the ends.
+def grams_around(df: DataFrame, keep: list[str], lengths: dict[int, int], some: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The columns `keep` and at, hash, n, ctx of each kept gram of `words`, for each span with its gram in
+    `lengths`. ctx holds the words around it that a window with it can reach, null beyond the ends.
 
     explode_outer(), as a filter that Spark infers for explode() would evaluate the picks once more,
     inlined down to the text; and no array of a whole document goes along with each gram.
     """
-    around = F.transform("picks", lambda p: F.struct(p.at.alias("at"), p.hash.alias("hash"), F.array(*(F.get("words", p.at + j) for j in range(gram - span, span))).alias("ctx")))
-    return winnowed(df, span, gram, some).select(*keep, F.explode_outer(around).alias("p")).where(F.col("p").isNotNull()).select(*keep, "p.*")
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("picks", F.concat(*(kept_grams(span, gram, some) for span, gram in lengths.items())))
+    reach = max((span - gram for span, gram in lengths.items()), default=0)
+    size = reach + max(lengths.values())
+    around = F.transform("picks", lambda p: F.struct(p.at.alias("at"), p.hash.alias("hash"), p.n.alias("n"), F.array(*(F.get("words", p.at + j) for j in range(-reach, size))).alias("ctx")))
+    return df.select(*keep, F.explode_outer(around).alias("p")).where(F.col("p").isNotNull()).select(*keep, "p.*")
 
 
 def segments(docs: DataFrame, span: int) -> DataFrame:
@@ -95,25 +103,27 @@ def segments(docs: DataFrame, span: int) -> DataFrame:
     return docs.select("key", F.explode_outer(parts).alias("s")).select("key", "s.base", "s.words")
 
 
-def hits_of(docs: DataFrame, index: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, content, start, end) of the spans of docs (key, words) that hold windows of the index."""
-    rows = grams_around(segments(docs, span), ["key", "base"], span, gram, sieve(index))
-    met = rows.join(F.broadcast(index), "hash")
-    reach = span - gram
+def hits_of(docs: DataFrame, index: DataFrame, lengths: dict[int, int], broadcast_rows: int) -> DataFrame:
+    """(key, content, start, end) of the spans of docs (key, words) that hold windows of the index (content, hash, n, item_ctx)."""
+    rows = grams_around(segments(docs, max(lengths)), ["key", "base"], lengths, sieve(index))
+    met = rows.join(F.broadcast(index) if index.count() <= broadcast_rows else index.hint("merge"), ["hash", "n"])
+    reach = max(span - gram for span, gram in lengths.items())
+    gram = reduce(lambda c, x: c.when(F.col("n") == x[0], x[1]), lengths.items(), F).otherwise(0)
+    here = lambda i: F.get("ctx", i) == F.get("item_ctx", i)
 
-    def run(step: int, first: int) -> Column:
-        """How many words agree one after the other, to the left (step -1) or the right."""
+    def run(step: int, first: Column | int) -> Column:
+        """How many words agree one after the other, to the left (step -1) or the right, up to the window's reach."""
         out = F
         for d in range(reach):
-            own, item = (F.get(c, F.lit(first + d * step)) for c in ("ctx", "item_ctx"))
-            out = out.when(~F.coalesce(own == item, F.lit(False)), d)
+            out = out.when((F.lit(d) >= F.col("n") - F.col("gram")) | ~F.coalesce(here(F.lit(first + d * step) if isinstance(first, int) else first + d * step), F.lit(False)), d)
         return out.otherwise(reach) if reach else F.lit(0)
 
+    met = met.withColumn("gram", gram)
     same = F.lit(True)
-    for j in range(reach, reach + gram):
-        same = same & (F.get("ctx", F.lit(j)) == F.get("item_ctx", F.lit(j)))
-    met = met.where(same).select("key", "content", (F.col("base") + F.col("at") + 1).alias("pos"), run(-1, reach - 1).alias("left"), run(1, reach + gram).alias("right"))
-    return met.where(F.col("left") + F.col("right") + gram >= span).select("key", "content", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + gram - 1 + F.col("right")).alias("end")).distinct()
+    for j in range(max(lengths.values())):
+        same = same & ((F.col("gram") <= j) | F.coalesce(here(F.lit(reach + j)), F.lit(False)))
+    met = met.where(same).select("key", "content", "n", "gram", (F.col("base") + F.col("at") + 1).alias("pos"), run(-1, reach - 1).alias("left"), run(1, F.lit(reach) + F.col("gram")).alias("right"))
+    return met.where(F.col("left") + F.col("right") + F.col("gram") >= F.col("n")).select("key", "content", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("gram") - 1 + F.col("right")).alias("end")).distinct()
 
 
 def key_of(text: Column) -> Column:
@@ -121,7 +131,7 @@ def key_of(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Spans (key, content, start, end), and items (content, item): `content` names a distinct item text.
 
     Null or wordless texts have no spans; a null item_id counts as the empty id.
@@ -129,27 +139,21 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = staged(items.withColumn("content", F.md5(F.array_join("words", " ").cast("binary"))), "items")
     texts = staged(items.dropDuplicates(["content"]).select("content", "words"), "contents")
-    lengths = [r[0] for r in texts.where(F.size("words") < span).select(F.size("words")).distinct().collect()]  # below `span` values
+    short = [r[0] for r in texts.where(F.size("words") < span).select(F.size("words")).distinct().collect()]  # below `span` values
+    lengths = {span: gram} | {n: n for n in sorted(short)}
+    own = lambda n: F.size("words") >= span if n == span else F.size("words") == n
+    index = staged(grams_around(texts, ["content", "words"], lengths).where(reduce(Column.__or__, ((F.col("n") == n) & own(n) for n in lengths))).select("content", "hash", "n", F.col("ctx").alias("item_ctx")).distinct(), "index")
     long = docs.select(key_of(F.col("text")).alias("key"), words(F.col("text")).alias("words"))
-    found = []
-    for length, k in [(span, gram), *((n, n) for n in sorted(lengths))]:
-        own = texts.where(F.size("words") >= span if length == span else F.size("words") == length)
-        index = grams_around(own, ["content"], length, k).select("content", "hash", F.col("ctx").alias("item_ctx"))
-        index = staged(index.distinct(), "index")
-        blocks = max(1, -(-index.count() // block_rows))
-        for b in range(blocks):
-            block = index.where(F.pmod(F.xxhash64("hash", "content"), F.lit(blocks)) == b) if blocks > 1 else index
-            found.append(hits_of(long, block, length, k))
-    return staged(reduce(DataFrame.unionByName, found).distinct(), "hits"), items.select("content", "item").distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return staged(hits_of(long, index, lengths, broadcast_rows), "hits"), items.select("content", "item").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null texts have no words; repeated rows each return a row; empty tables give no hits or no
     rows; extra columns are left out, whatever their names.
     """
-    hits, items = find_hits(docs, benchmark, span, gram, block_rows)
+    hits, items = find_hits(docs, benchmark, span, gram, broadcast_rows)
     placed = hits.select("key", F.explode(F.sequence("start", "end")).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     named = hits.select("key", "content").distinct().join(items, "content").select("key", "item").distinct()
     named = named.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("ids"))
@@ -165,12 +169,19 @@ def op9_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns."""
-    hits, _ = find_hits(docs, benchmark)
-    # A list that grows with the corpus: joined by shuffle at every size.
-    keys = hits.select(F.col("key").alias("_q_key")).distinct().hint("merge")
-    return docs.withColumn("_q_key", key_of(F.col("text"))).join(keys, "_q_key", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents that hold no window of the benchmark, with all their columns, whatever their names.
+
+    Null and wordless texts stay; repeated rows share one fate; an empty table stays empty, an empty
+    benchmark drops none. Keys of contaminated texts, 16 bytes each, are broadcast up to
+    `broadcast_rows`, so texts stay where they are; beyond that both sides are shuffled once.
+    """
+    hits, _ = find_hits(docs, benchmark, broadcast_rows=broadcast_rows)
+    key = reserved("key", docs)
+    keys = staged(hits.select(F.unhex("key").alias(key)).distinct(), "keys")
+    keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys.hint("merge")
+    own = docs.withColumn(key, F.unhex(key_of(F.col("text")))).join(keys, key, "left_anti")
+    return own.select(*(own[f"`{c}`"] for c in docs.columns))
 
 
 SQL = r"""

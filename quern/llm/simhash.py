@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged, table, texts_of
+from .common import map_batches, reserved, staged, table, texts_of
 
 SHINGLE = 3
 RADIUS = 3
 BUCKET_ROWS = 1024
+#: Rows of a list of (id, hash) that is broadcast at most.
+BROADCAST_ROWS = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ALL = (1 << 64) - 1
 
@@ -241,18 +243,31 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each near-duplicate group: that of the smallest doc_id, and of these the smallest text hash.
+def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, one of each near-duplicate group: that of the smallest doc_id, and of these the
+    smallest text hash, with all their columns, whatever their names.
 
-    Groups and ties are resolved on ids and hashes; texts move once, in the join that keeps rows.
+    A null text is the empty text, and one of those stays; of repeated rows one stays; a null doc_id
+    is chosen only in a group without others; an empty table stays empty. Groups and ties are
+    resolved on ids and hashes. The list of rows that go, or of repeated rows to be told apart, is
+    broadcast up to `broadcast_rows`, and texts stay where they are; beyond that they move once.
     """
     groups = staged(near_groups(docs), "groups")
-    pick = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("k"))
-    keep = pick.select(F.col("k.doc_id").alias("_q_id"), F.col("k.copy").alias("_q_copy"))
-    times = groups.groupBy("doc_id", "copy").agg(F.count("*").alias("_q_times"))
-    keep = staged(keep.join(times, keep["_q_id"].eqNullSafe(times["doc_id"]) & (keep["_q_copy"] == times["copy"])).select("_q_id", "_q_copy", "_q_times"), "keep")
-    own = docs.withColumn("_q_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_q_id"]) & (own["_q_hash"] == keep["_q_copy"]))
-    once = kept.where("_q_times = 1").select(docs.columns)
-    again = kept.where("_q_times > 1").dropDuplicates(["_q_id", "_q_copy"]).select(docs.columns)
-    return once.unionByName(again)
+    pick = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("k")).select(F.col("root").alias("of"), F.col("k.doc_id").alias("first"), F.col("k.copy").alias("first_copy"))
+    rows = groups.groupBy("root", "doc_id", "copy").agg(F.count("*").alias("times"))
+    id_, hash_, times = (reserved(x, docs) for x in ("id", "hash", "times"))
+    # Rows that go whole (times 0) and those of which one of several stays.
+    listed = rows.join(pick, F.col("root") == F.col("of"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("copy") == F.col("first_copy"))
+    listed = listed.select(F.col("doc_id").alias(id_), F.col("copy").alias(hash_), F.when(stays, F.col("times")).otherwise(0).alias(times)).where(F.col(times) != 1)
+    listed = staged(listed, "listed")
+    near = (lambda df: F.broadcast(df)) if listed.count() <= broadcast_rows else (lambda df: df.hint("merge"))
+    own = docs.withColumn(hash_, F.xxhash64(F.coalesce("text", F.lit(""))))
+    own_id, own_hash = own["doc_id"], own[hash_]
+    listed = listed.withColumnRenamed(hash_, f"{hash_}_listed")
+    several = listed.where(F.col(times) > 1)
+    on = lambda df: own_id.eqNullSafe(df[id_]) & (own_hash == df[f"{hash_}_listed"])
+    once = own.join(near(listed), on(listed), "left_anti")
+    again = own.join(near(several), on(several), "left_semi").dropDuplicates(["doc_id", hash_])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).unionByName(again.select(*columns))

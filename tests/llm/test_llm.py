@@ -279,11 +279,17 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-def test_keep_one(spark, texts):
-    rows = simhash.keep_one(frame(spark, texts))
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_keep_one(spark, texts, broadcast_rows):
+    texts = [*texts, texts[2], texts[2], (None, "no id")]  # rows that repeat whole
+    rows = simhash.keep_one(frame(spark, texts), broadcast_rows)
     codes = [slow_print(t) for _, t in texts]
     groups = len({c if x is None else x for c, x in zip(codes, slow_components(codes, [i for i, _ in texts]), strict=True)})
     assert rows.count() == groups and rows.columns == frame(spark, []).columns
+    least = {}
+    for (i, _), c, x in zip(texts, codes, slow_components(codes, [i for i, _ in texts]), strict=True):
+        least.setdefault(c if x is None else x, x)
+    assert Counter(r.doc_id for r in rows.collect()) == Counter(least.values())
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
@@ -536,8 +542,8 @@ def slow_contamination(docs, items, span=10):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("block_rows", "segment"), [(250_000, 4096), (30, 16)])
-def test_contamination(spark, monkeypatch, block_rows, segment):
+@pytest.mark.parametrize(("broadcast_rows", "segment"), [(250_000, 4096), (0, 16)])
+def test_contamination(spark, monkeypatch, broadcast_rows, segment):
     monkeypatch.setattr(decontaminate, "SEGMENT", segment)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(12)] + ["É", "Über"]
@@ -547,9 +553,10 @@ def test_contamination(spark, monkeypatch, block_rows, segment):
     docs = [(i, some(rng.choice([0, 1, 9, 10, 60, 200]))) for i in range(60)]
     docs += [(70 + i, f"{some(5)} {items[i][1].replace(' ', ', ')}! {some(4)}") for i in range(25)] + [(90, None), (None, items[3][1]), (1, docs[1][1]), (91, "just one here")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, key string")
-    got = decontaminate.contamination(frame(spark, docs), bench, block_rows=block_rows).collect()
+    got = decontaminate.contamination(frame(spark, docs), bench, broadcast_rows=broadcast_rows).collect()
     assert Counter(map(tuple, got)) == slow_contamination(docs, items)
-    kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
+    kept = decontaminate.drop_contaminated(frame(spark, docs), bench, broadcast_rows)
+    assert kept.columns == frame(spark, []).columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({r[0]: n for r, n in Counter((r[0],) for r in slow_contamination(docs, items).elements() if not r[5]).items()})
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
