@@ -10,7 +10,8 @@ hashes of the words; the table is bucketed by batch, so it is never shuffled. A
 distinct n-grams as sorted keys, cut into ranges of the key space and packed in bytes; the reducer of
 a range adds up and answers with counts in the same order. An n-gram comes once from a batch, however
 frequent it is, so none is a hot key; and a few bytes an n-gram are shipped, where a shuffle of rows
-and a join back would ship tens.
+and a join back would ship tens. Answers are bucketed as the batches are. Three words whose first or
+last two occur once in the corpus occur once themselves, so they are counted without being sent.
 
 Batches and ranges both follow the input, so a row for each pair of them would grow as its square.
 Therefore no sender has more than `FAN` ranges: beyond that, batches meet by cells first, where their
@@ -25,6 +26,8 @@ a cell holds the exact means of its events. Its size is bounded by its axes. Sco
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,9 +41,10 @@ from .simhash import LOWER
 MODULUS, HELD_OUT = 5, 1
 #: Of the training documents, those whose crc32 // MODULUS is 0 modulo this are held out for EM.
 FOLDS = 8
-ORDERS = (1, 2, 3)
+#: Counts of an n-gram: in training documents without the fold, in the fold, in held-out documents.
+COUNTS = ("rest", "held", "out")
 #: Bytes of text in a batch, and ranges that one sender has.
-BATCH_TEXT = 16 << 20
+BATCH_TEXT = 10 << 20
 FAN = 1024
 #: Buckets of contexts of two words, then those of one word where the two were not seen; 0 of the latter: neither was.
 TWO, BUCKETS = 64, 64 + 65
@@ -74,6 +78,14 @@ def widened(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def packed_counts(a: np.ndarray) -> bytes:
+    return zlib.compress(narrow(a), 1)
+
+
+def unpacked_counts(b: bytes) -> np.ndarray:
+    return widened(zlib.decompress(b)).astype(np.int64)
+
+
 def packed_keys(keys: np.ndarray, n: int) -> bytes:
     """Ascending keys as the first and the steps between them."""
     return keys[:1].tobytes() + narrow(np.diff(keys >> SHORT[n]))
@@ -106,43 +118,73 @@ class Shape:
 class Batch:
     """Tokens of some documents, each ended by END: `token` numbers words of `hashes`.
 
-    `pair` and `three` number the distinct n-grams that end at each place. At a document's first place
-    `first` is true and there is no three; `before` is the pair that ends a place earlier.
+    `pair` numbers the distinct pairs, by the place where they end. At a document's first place
+    `first` is true; `before` is the pair that ends a place earlier.
     """
 
     def __init__(self, token: np.ndarray, hashes: np.ndarray, lengths: np.ndarray):
-        self.token, self.lengths, n = token, lengths, len(hashes)
+        self.token, self.lengths, n = token.astype(np.int32), lengths, len(hashes)
         self.ends = np.cumsum(lengths)
         starts = self.ends - lengths
-        self.context = np.concatenate([[START], token[:-1]]) if len(token) else token
+        self.context = np.concatenate([[START], self.token[:-1]]).astype(np.int32)
         self.context[starts] = START
-        code, pair = np.unique(self.context * n + token, return_inverse=True)
-        two = mixed(mixed(hashes[code // n]) * np.uint64(3) + hashes[code % n])
-        self.pair = pair.astype(np.int32)
         self.first = np.zeros(len(token), bool)
         self.first[starts] = True
+        code, pair = np.unique(self.context * np.int64(n) + self.token, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.before = np.concatenate([self.pair[:1], self.pair[:-1]])
-        code, three = np.unique(self.before[~self.first].astype(np.int64) * n + token[~self.first], return_inverse=True)
-        self.three = np.zeros(len(token), np.int32)
-        self.three[~self.first] = three
-        keys = {1: mixed(hashes), 2: two, 3: mixed(two[code // n] * np.uint64(5) + hashes[code % n])}
-        self.keys = {o: k >> SHORT[o] << SHORT[o] for o, k in keys.items()}
-        self.order = {o: np.argsort(k, kind="stable") for o, k in self.keys.items()}
+        self.hashes, self.two = hashes, mixed(mixed(hashes[code // n]) * np.uint64(3) + hashes[code % n])
+        self.keys, self.order = {}, {}
+        self._keyed(1, mixed(hashes))
+        self._keyed(2, self.two)
+
+    def _keyed(self, order: int, keys: np.ndarray) -> None:
+        self.keys[order] = keys >> SHORT[order] << SHORT[order]
+        self.order[order] = np.argsort(self.keys[order], kind="stable").astype(np.int32)
+
+    def ask(self, lone: np.ndarray) -> None:
+        """Numbers in `three` the distinct threes at the places `asked`: those of no pair that is `lone`, which occurs once."""
+        self.lone = lone
+        self.asked = ~(self.first | lone[self.before] | lone[self.pair])
+        n = len(self.hashes)
+        code, three = np.unique(self.before[self.asked] * np.int64(n) + self.token[self.asked], return_inverse=True)
+        self.three = three.astype(np.int32)
+        self._keyed(3, mixed(self.two[code // n] * np.uint64(5) + self.hashes[code % n]))
 
     def counts(self, order: int, docs: np.ndarray) -> np.ndarray:
-        """How often each n-gram stands in the documents with docs true; START counts documents."""
+        """How often each n-gram stands in the documents with docs true, by ascending key; START counts documents."""
         weight = np.repeat(docs, self.lengths)
-        if order == 3:
-            weight &= ~self.first
-        n = np.bincount({1: self.token, 2: self.pair, 3: self.three}[order][weight], minlength=len(self.keys[order]))
+        own, weight = {1: (self.token, weight), 2: (self.pair, weight), 3: (getattr(self, "three", None), weight[self.asked] if order == 3 else None)}[order]
+        n = np.bincount(own[weight], minlength=len(self.keys[order]))
         if order == 1:
             n[START] = docs.sum()
-        return n
+        return n[self.order[order]]
 
+    def sorted_keys(self, order: int) -> np.ndarray:
+        return self.keys[order][self.order[order]]
 
-def batched(docs: DataFrame, shape: Shape) -> tuple[DataFrame, str, int]:
-    """Batches of docs as rows, in a table bucketed by batch in the shared folder; its name and number of buckets."""
-    spark = docs.sparkSession
+
+class Store:
+    """Tables in the shared folder, bucketed by batch so that joins on it shuffle nothing; drop() takes them from the catalog."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.names = spark, buckets, []
+
+    def put(self, df: DataFrame, key: str) -> DataFrame:
+        self.names.append(f"quern_lm_{uuid.uuid4().hex}")
+        df.write.format("parquet").option("path", scratch_path(self.spark, "lm")).option("compression", "zstd").bucketBy(self.buckets, key).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def answers(self, df: DataFrame) -> DataFrame:
+        return self.put(df.repartition(self.buckets, "src"), "src")
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """Batches of docs as rows."""
     kind = dict(docs.dtypes)["doc_id"]
     crc = remainder(F.col("doc_id"), 1 << 32)
     only = docs.select("doc_id", F.col("text").alias("text"), (crc % MODULUS == HELD_OUT).alias("held_out"), (F.floor(crc / MODULUS) % FOLDS == 0).alias("fold"))
@@ -169,11 +211,7 @@ def batched(docs: DataFrame, shape: Shape) -> tuple[DataFrame, str, int]:
             ], names=["batch", "doc_id", "held_out", "fold", "lengths", "tokens", "hashes"])
             number += 1
 
-    rows = only.mapInArrow(run, f"batch long, doc_id array<{kind}>, held_out array<boolean>, fold array<boolean>, lengths binary, tokens binary, hashes binary")
-    name = f"quern_lm_{uuid.uuid4().hex}"
-    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * shape.tasks))
-    rows.write.format("parquet").option("path", scratch_path(spark, "lm")).option("compression", "zstd").bucketBy(buckets, "batch").saveAsTable(name)
-    return spark.table(name), name, buckets
+    return only.mapInArrow(run, f"batch long, doc_id array<{kind}>, held_out array<boolean>, fold array<boolean>, lengths binary, tokens binary, hashes binary")
 
 
 def joined(batches, limit: int):
@@ -197,38 +235,37 @@ def rows_of(rb: pa.RecordBatch):
 
 
 def batch_of(row: dict) -> Batch:
-    return Batch(widened(row["tokens"]).astype(np.int64), np.frombuffer(row["hashes"], np.uint64), widened(row["lengths"]).astype(np.int64))
+    return Batch(widened(row["tokens"]), np.frombuffer(row["hashes"], np.uint64), widened(row["lengths"]).astype(np.int64))
 
 
-SENT = "n int, cell long, part long, src long, keys binary, rest binary, held binary"
-ANSWERS = "src long, n int, part long, rest binary, held binary, totals array<long>"
+SENT = "n int, cell long, part long, src long, keys binary, rest binary, held binary, out binary"
+ANSWERS = "src long, n int, part long, rest binary, held binary, out binary, totals array<long>"
+TOKENS = ["batch", "held_out", "fold", "lengths", "tokens", "hashes"]
 
 
-def cut(n: int, cell: int, src: int, keys: np.ndarray, rest: np.ndarray, held: np.ndarray, ranges: int) -> list[tuple]:
+def cut(n: int, cell: int, src: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> pa.RecordBatch:
     """Rows of SENT: a sender's ascending keys with their counts, by the range of the key space they lie in."""
     part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
-    return [(n, cell, int(part[lo]), src, packed_keys(keys[lo:hi], n), narrow(rest[lo:hi]), narrow(held[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def _sent_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["n", "cell", "part", "src", "keys", "rest", "held"])
+    rows = [(n, cell, int(part[lo]), src, packed_keys(keys[lo:hi], n), *(packed_counts(c[lo:hi]) for c in counts)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["n", "cell", "part", "src", "keys", *COUNTS])
 
 
-def sent(batches: DataFrame, shape: Shape) -> DataFrame:
-    """SENT: distinct n-grams of each batch by range, with their training counts without the fold and in it."""
+def sent(batches: DataFrame, shape: Shape, orders: tuple[int, ...]) -> DataFrame:
+    """SENT: distinct n-grams of each batch by range, with their counts. Order 3 needs the answers to 1 and 2 as `answers`."""
 
     def run(rbs):
         for rb in rbs:
             for row in rows_of(rb):
                 b = batch_of(row)
-                train, fold = ~np.array(row["held_out"], bool), np.array(row["fold"], bool)
-                for n in ORDERS:
-                    order = b.order[n]
-                    yield _sent_batch(cut(n, shape.cell(row["batch"]), row["batch"], b.keys[n][order], b.counts(n, train & ~fold)[order], b.counts(n, train & fold)[order], shape.fan))
+                if 3 in orders:
+                    b.ask(Counts(b, row["answers"], COUNTS).pairs == 1)
+                out, fold = np.array(row["held_out"], bool), np.array(row["fold"], bool)
+                for n in orders:
+                    yield cut(n, shape.cell(row["batch"]), row["batch"], b.sorted_keys(n), [b.counts(n, docs) for docs in (~out & ~fold, ~out & fold, out)], shape.fan)
 
-    return batches.select("batch", "held_out", "fold", "lengths", "tokens", "hashes").mapInArrow(run, SENT)
+    return batches.mapInArrow(run, SENT)
 
 
 def _summed(group: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -236,14 +273,14 @@ def _summed(group: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     keys = [unpacked_keys(b, n) for b in group.column("keys").to_pylist()]
     cuts = np.cumsum([0, *map(len, keys)])
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = {c: np.bincount(at, weights=np.concatenate([widened(x) for x in group.column(c).to_pylist()]), minlength=len(found)).astype(np.int64) for c in ("rest", "held")}
+    total = {c: np.bincount(at, weights=np.concatenate([unpacked_counts(x) for x in group.column(c).to_pylist()]), minlength=len(found)).astype(np.int64) for c in COUNTS}
     return cuts, at, found, total
 
 
 def _answer_table(group: pa.Table, n: int, cuts: np.ndarray, at: np.ndarray, total: dict, first: list | None = None) -> pa.Table:
-    own = {c: [narrow(v[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c, v in total.items()}
+    own = {c: pa.array([packed_counts(v[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for c, v in total.items()}
     totals = [first, *[None] * (group.num_rows - 1)]
-    return pa.table({"src": group.column("src"), "n": pa.array([n] * group.num_rows, pa.int32()), "part": group.column("part"), "rest": pa.array(own["rest"], pa.binary()), "held": pa.array(own["held"], pa.binary()), "totals": pa.array(totals, pa.list_(pa.int64()))})
+    return pa.table({"src": group.column("src"), "n": pa.array([n] * group.num_rows, pa.int32()), "part": group.column("part"), **own, "totals": pa.array(totals, pa.list_(pa.int64()))})
 
 
 def answered(blobs: DataFrame) -> DataFrame:
@@ -263,54 +300,71 @@ def answered(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("n", "part").applyInArrow(run, ANSWERS)
 
 
-def exchanged(blobs: DataFrame, shape: Shape, level: int = 1) -> tuple[DataFrame, DataFrame]:
-    """ANSWERS to the rows of SENT, and those of the last level, which hold the totals."""
+def exchanged(blobs: DataFrame, shape: Shape, keep: Callable[[DataFrame], DataFrame], level: int = 1) -> tuple[DataFrame, DataFrame]:
+    """ANSWERS to the rows of SENT, as `keep` stores them, and those of the last level, which hold the totals."""
     if level == shape.levels:
-        out = staged(answered(blobs), "answers")
+        out = keep(answered(blobs))
         return out, out
     blobs = staged(blobs, "sent")
 
     def merge(key, group):
         n, cell, part = (k.as_py() for k in key)
         _, _, found, total = _summed(group, n)
-        return pa.table({"n": pa.array([n], pa.int32()), "cell": [cell], "part": [part], "src": [cell << 32 | part], "keys": pa.array([packed_keys(found, n)], pa.binary()), "rest": pa.array([narrow(total["rest"])], pa.binary()), "held": pa.array([narrow(total["held"])], pa.binary())})
+        own = {"keys": packed_keys(found, n), **{c: packed_counts(v) for c, v in total.items()}}
+        return pa.table({"n": pa.array([n], pa.int32()), "cell": [cell], "part": [part], "src": [cell << 32 | part], **{c: pa.array([v], pa.binary()) for c, v in own.items()}})
 
     def lift(rbs):
         for rb in rbs:
             for r in rows_of(rb):
-                yield _sent_batch(cut(r["n"], r["cell"] // shape.fan, r["src"], unpacked_keys(r["keys"], r["n"]), widened(r["rest"]), widened(r["held"]), shape.fan ** (level + 1)))
+                yield cut(r["n"], r["cell"] // shape.fan, r["src"], unpacked_keys(r["keys"], r["n"]), [unpacked_counts(r[c]) for c in COUNTS], shape.fan ** (level + 1))
 
     def back(key, group, above):
         n = key[0].as_py()
         cuts, at, _, _ = _summed(group, n)
         got = sorted(above.to_pylist(), key=lambda r: r["above"])
-        return _answer_table(group, n, cuts, at, {c: np.concatenate([widened(r[c]) for r in got]).astype(np.int64) for c in ("rest", "held")})
+        return _answer_table(group, n, cuts, at, {c: np.concatenate([unpacked_counts(r[c]) for r in got]) for c in COUNTS})
 
     units = staged(blobs.groupBy("n", "cell", "part").applyInArrow(merge, SENT), "merged")
-    above, last = exchanged(units.mapInArrow(lift, SENT), shape, level + 1)
-    unit = above.select("n", F.shiftright("src", 32).alias("cell"), F.col("src").bitwiseAND((1 << 32) - 1).alias("part"), F.col("part").alias("above"), "rest", "held")
-    answers = blobs.groupBy("n", "cell", "part").cogroup(unit.groupBy("n", "cell", "part")).applyInArrow(back, ANSWERS)
-    return staged(answers, "answers"), last
+    above, last = exchanged(units.mapInArrow(lift, SENT), shape, lambda df: staged(df, "answers"), level + 1)
+    unit = above.select("n", F.shiftright("src", 32).alias("cell"), F.col("src").bitwiseAND((1 << 32) - 1).alias("part"), F.col("part").alias("above"), *COUNTS)
+    return keep(blobs.groupBy("n", "cell", "part").cogroup(unit.groupBy("n", "cell", "part")).applyInArrow(back, ANSWERS)), last
 
 
 class Counts:
-    """For each token of a batch: c(u,v,w), c(u,v), c(v,w), c(v), c(w), from the answers to it."""
-
-    def __init__(self, batch: Batch, answers: list[dict], folds: tuple[str, ...]):
-        got = {}
-        for n in ORDERS:
-            mine = sorted((a for a in answers if a["n"] == n), key=lambda a: a["part"])
-            got[n] = np.zeros(len(batch.keys[n]), np.int64)
-            if mine:
-                got[n][batch.order[n]] = sum(np.concatenate([widened(a[c]) for a in mine]) for c in folds).astype(np.int64)
-        self.pair, self.context, self.word = got[2][batch.pair], got[1][batch.context], got[1][batch.token]
-        self.two = np.where(batch.first, self.context, got[2][batch.before])
-        self.three = self.pair.copy()
-        self.three[~batch.first] = got[3][batch.three[~batch.first]]
-
-    def parts(self, tokens: int) -> list[np.ndarray]:
+    """Corpus counts for a batch from the answers to it, over the documents that `of` names.
+
+    `pairs` of each distinct pair; once asked() for each token c(u,v,w), c(u,v), c(v,w), c(v), c(w)."""
+
+    def __init__(self, batch: Batch, answers: list[dict], of: tuple[str, ...]):
+        self.batch, self.answers, self.of = batch, answers, of
+        self.words, self.pairs = self._got(1), self._got(2)
+
+    def _got(self, n: int) -> np.ndarray:
+        mine = sorted((a for a in self.answers if a["n"] == n), key=lambda a: a["part"])
+        got = np.zeros(len(self.batch.keys[n]), np.int64)
+        if mine:
+            got[self.batch.order[n]] = sum(np.concatenate([unpacked_counts(a[c]) for a in mine]) for c in self.of)
+        return got
+
+    def asked(self, more: list[dict] | None) -> Counts:
+        """Counts of threes from further answers; a three of a pair that occurs once has that pair's count."""
+        b, self.answers = self.batch, more or []
+        self.pair, self.context, self.word = self.pairs[b.pair], self.words[b.context], self.words[b.token]
+        self.two = np.where(b.first, self.context, self.pairs[b.before])
+        self.three = np.where(b.lone[b.before] & ~b.first, self.two, self.pair)
+        self.three[b.asked] = self._got(3)[b.three]
+        return self
+
+    def parts(self, tokens: int, on: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
         """The three maximum-likelihood estimates; 0 for a context not seen."""
-        return [self.three / np.maximum(self.two, 1), self.pair / np.maximum(self.context, 1), self.word / max(1, tokens)]
+        return [self.three[on] / np.maximum(self.two[on], 1), self.pair[on] / np.maximum(self.context[on], 1), self.word[on] / max(1, tokens)]
+
+
+def counted(row: dict, of: tuple[str, ...]) -> tuple[Batch, Counts]:
+    """A row's batch, with counts over the documents that `of` names."""
+    b = batch_of(row)
+    b.ask(Counts(b, row["answers"], COUNTS).pairs == 1)
+    return b, Counts(b, row["answers"], of).asked(row["more"])
 
 
 def bucket_of(two: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -358,35 +412,38 @@ def scores(docs: DataFrame, fan: int = FAN, resolution: int = RESOLUTION) -> Dat
     spark = docs.sparkSession
     with scratch(spark):
         shape = Shape.of(max(1, docs._jdf.rdd().getNumPartitions()), fan)
-        batches, name, buckets = batched(docs, shape)
+        store = Store(spark, min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * shape.tasks)))
         try:
-            return staged(_scored(batches, shape, buckets, dict(docs.dtypes)["doc_id"], resolution), "lm_scores", keep=True)
+            return staged(_scored(store.put(batched(docs), "batch"), shape, store, dict(docs.dtypes)["doc_id"], resolution), "lm_scores", keep=True)
         finally:
-            spark.sql(f"DROP TABLE {name}")
+            store.drop()
+
 
+def _scored(batches: DataFrame, shape: Shape, store: Store, kind: str, resolution: int) -> DataFrame:
+    def gathered(answers: DataFrame, name: str) -> DataFrame:
+        """A row a batch: `fan` answers an order at most."""
+        return answers.groupBy("src").agg(F.collect_list(F.struct("n", "part", *COUNTS)).alias(name)).withColumnRenamed("src", f"{name}_of")
 
-def _scored(batches: DataFrame, shape: Shape, buckets: int, kind: str, resolution: int) -> DataFrame:
-    answers, last = exchanged(sent(batches, shape), shape)
+    answers, last = exchanged(sent(batches.select(TOKENS), shape, (1, 2)), shape, store.answers)
     sums = last.where(F.col("totals").isNotNull()).agg(*(F.sum(F.col("totals")[i]) for i in range(4))).first()
     rest_tokens, rest_kinds, tokens, kinds = (int(x or 0) for x in sums)
-    # Dealt as the batches are bucketed: a batch has `fan` answers an order at most, and stays where it is.
-    mine = answers.repartition(buckets, "src").groupBy("src").agg(F.collect_list(F.struct("n", "part", "rest", "held")).alias("answers"))
-    met = batches.join(mine, F.col("batch") == F.col("src")).drop("src")
+    met = batches.join(gathered(answers, "answers"), F.col("batch") == F.col("answers_of")).drop("answers_of")
+    more, _ = exchanged(sent(met.select(*TOKENS, "answers"), shape, (3,)), shape, store.answers)
+    met = met.join(gathered(more, "more"), F.col("batch") == F.col("more_of"), "left").drop("more_of")
     axis = 64 * resolution + 1
 
     def events(rbs):
         for rb in rbs:
             for row in rows_of(rb):
-                b = batch_of(row)
-                c = Counts(b, row["answers"], ("rest",))
+                b, c = counted(row, ("rest",))
                 on = np.repeat(~np.array(row["held_out"], bool) & np.array(row["fold"], bool), b.lengths)
-                code, parts = bucket_of(c.two[on], c.context[on]), [p[on] for p in c.parts(rest_tokens)]
+                code, parts = bucket_of(c.two[on], c.context[on]), c.parts(rest_tokens, on)
                 for p in parts:
                     code = code * axis + ratio_cell(p, resolution)
                 found, at, n = np.unique(code, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.bincount(at, p, len(found))) for p in parts)], names=["code", "n", "s3", "s2", "s1"])
 
-    wanted = met.where(F.exists(F.zip_with("held_out", "fold", lambda h, f: f & ~h), lambda x: x)).select("batch", "held_out", "fold", "lengths", "tokens", "hashes", "answers")
+    wanted = met.where(F.exists(F.zip_with("held_out", "fold", lambda h, f: f & ~h), lambda x: x)).select(*TOKENS, "answers", "more")
     cells = wanted.mapInArrow(events, "code long, n long, s3 double, s2 double, s1 double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "s3", "s2", "s1"))).toArrow()
     n = cells.column("n").to_numpy()
     parts = np.stack([cells.column(c).to_numpy() / np.maximum(n, 1) for c in ("s3", "s2", "s1")], 1)
@@ -395,8 +452,7 @@ def _scored(batches: DataFrame, shape: Shape, buckets: int, kind: str, resolutio
     def run(rbs):
         for rb in rbs:
             for row in rows_of(rb):
-                b = batch_of(row)
-                c = Counts(b, row["answers"], ("rest", "held"))
+                b, c = counted(row, ("rest", "held"))
                 bucket = bucket_of(c.two, c.context)
                 p = weights[bucket, 3] / (kinds + 1)
                 for j, part in enumerate(c.parts(tokens)):
