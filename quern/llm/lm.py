@@ -44,7 +44,7 @@ FOLDS = 8
 #: Counts of an n-gram: in training documents without the fold, in the fold, in held-out documents.
 COUNTS = ("rest", "held", "out")
 #: Bytes of text in a batch, and ranges that one sender has.
-BATCH_TEXT = 10 << 20
+BATCH_TEXT = 8 << 20
 FAN = 1024
 #: Buckets of contexts of two words, then those of one word where the two were not seen; 0 of the latter: neither was.
 TWO, BUCKETS = 64, 64 + 65
