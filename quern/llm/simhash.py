@@ -254,7 +254,8 @@ def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
     """
     groups = staged(near_groups(docs), "groups")
     pick = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("k")).select(F.col("root").alias("of"), F.col("k.doc_id").alias("first"), F.col("k.copy").alias("first_copy"))
-    rows = groups.groupBy("root", "doc_id", "copy").agg(F.count("*").alias("times"))
+    # By row, not by root, which may be one for a third of all rows; the root follows from the text.
+    rows = groups.groupBy("doc_id", "copy").agg(F.count("*").alias("times"), F.min("root").alias("root"))
     id_, hash_, times = (reserved(x, docs) for x in ("id", "hash", "times"))
     # Rows that go whole (times 0) and those of which one of several stays.
     listed = rows.join(pick, F.col("root") == F.col("of"))
