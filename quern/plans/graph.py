@@ -2,7 +2,9 @@
 
 A pattern such as `(a)<-[r]-(e:EVENT)-[s:PART]->(b), (e)<-[x]-(d:DOCUMENT)` becomes one inner join
 with the edges a hop, started from the vertices bound beforehand, so a match grows from its anchor.
-Edges of one match are distinct. Labels become semi-joins; names are looked up after DISTINCT.
+Edges of one match are distinct. Labels become semi-joins; names are looked up after DISTINCT, all
+in one join. A stored graph has its edges twice, in order of either end: the ids of an anchor reach
+the scan as a filter, and the files' statistics leave out what lies elsewhere.
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
+#: Bound vertices that a hop hands to the scan of edges as a filter at most; more meet the edges in a join alone.
+PUSHED = 1000
+
 _NODE = re.compile(r"\(\s*(\w*)\s*(?::(\w+))?\s*\)")
 _EDGE = re.compile(r"(<?)-\[\s*(\w*)\s*(?::(\w+))?\s*\]-(>?)")
 
@@ -59,10 +66,18 @@ def parse(pattern: str) -> tuple[list[Hop], dict[str, str]]:
 
 @dataclass(frozen=True)
 class Graph:
-    """vertices(id, labels, names, primary_name), edges(edge_id, src, dst, type)."""
+    """vertices(id, labels, names, primary_name), edges(edge_id, src, dst, type); by_dst holds the edges in another order."""
 
     vertices: DataFrame
     edges: DataFrame
+    by_dst: DataFrame | None = None
+
+    @classmethod
+    def kept(cls, vertices: DataFrame, edges: DataFrame) -> Graph:
+        """The graph written once, for many queries: vertices by id, edges by either end."""
+        edges = stored(edges.repartitionByRange("src").sortWithinPartitions("src"), "edges")
+        by_dst = stored(edges.repartitionByRange("dst").sortWithinPartitions("dst"), "edges")
+        return cls(stored(vertices.repartitionByRange("id").sortWithinPartitions("id"), "vertices"), edges, by_dst)
 
     def labelled(self, label: str) -> DataFrame:
         return self.vertices.where(F.array_contains("labels", label))
@@ -77,6 +92,14 @@ class Graph:
         Each hop adds its edge id and `<edge>_type`; a node variable is a column of ids. With
         `optional`, rows without a match stay, and `where` belongs to the match.
         """
+        return self._match(pattern, frame, optional, where, {})
+
+    def anchored(self, variable: str, pattern: str, ids: DataFrame, where: Column | None = None) -> DataFrame:
+        """match() from `ids` (id) bound to a variable; PUSHED of them or fewer also filter the scan of the first hop."""
+        got = [r[0] for r in ids.limit(PUSHED + 1).collect()]
+        return self._match(pattern, ids.select(F.col("id").alias(variable)), False, where, {variable: got} if len(got) <= PUSHED else {})
+
+    def _match(self, pattern: str, frame: DataFrame, optional: bool, where: Column | None, pushed: dict[str, list]) -> DataFrame:
         if optional:
             bound = [c for c in frame.columns if c in {v for h in parse(pattern)[0] for v in (h.src, h.dst)}]
             own = self.match(pattern, frame.select(*bound).distinct())
@@ -92,7 +115,10 @@ class Graph:
                 raise ValueError("bind a variable of each part of the pattern")
             todo.remove(hop)
             known = set(frame.columns)
-            e = self.edges if hop.kind is None else self.edges.where(F.col("type") == hop.kind)
+            e = self.by_dst if self.by_dst is not None and hop.src not in known else self.edges
+            for v, c in ((hop.src, "src"), (hop.dst, "dst")):
+                e = e.where(F.col(c).isin(pushed[v])) if v in pushed else e
+            e = e if hop.kind is None else e.where(F.col("type") == hop.kind)
             e = e.select(F.col("edge_id").alias(hop.edge), F.col("type").alias(f"{hop.edge}_type"), F.col("src").alias("_s"), F.col("dst").alias("_d"))
             on = [F.col(v) == F.col(c) for v, c in ((hop.src, "_s"), (hop.dst, "_d")) if v in known]
             on += [F.col(hop.edge) != F.col(x) for x in used]
@@ -105,37 +131,43 @@ class Graph:
         return frame.where(where) if where is not None else frame
 
     def with_names(self, frame: DataFrame, *nodes: str) -> DataFrame:
-        """frame with `<node>_name` and `<node>_label` of each node; labels are put together as text."""
-        for v in nodes:
-            own = self.vertices.select(F.col("id").alias(v), F.col("primary_name").alias(f"{v}_name"), F.array_join("labels", "").alias(f"{v}_label"))
-            frame = frame.join(own, v, "left")
-        return frame
+        """frame, of distinct rows, with `<node>_name` and `<node>_label` of each node; labels are put together
+        as text. One join for all nodes, in which a node that is no vertex has nulls."""
+        rows = frame.select("*", F.posexplode(F.array(*nodes)).alias("_at", "_id"))
+        own = self.vertices.select(F.col("id").alias("_id"), F.struct(F.col("primary_name").alias("name"), F.array_join("labels", "").alias("label")).alias("_v"))
+        found = rows.join(own, "_id", "left").groupBy(*frame.columns).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_vs"))
+        return found.select(*frame.columns, *(F.col("_vs")[i][c].alias(f"{v}_{c}") for i, v in enumerate(nodes) for c in ("name", "label")))
 
 
 TWO_HOPS = "(entity1)<-[role1]-(event)-[role2]->(entity2)<-[role3]-(event2)-[role4]->(entity3)"
 
 
+def two_hops(graph: Graph, entity: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """Matches of TWO_HOPS from the entity (id) over two events, with `other` (id) only those that meet it as entity2 or entity3."""
+    m = graph.anchored("entity1", TWO_HOPS, entity, (F.col("entity1") != F.col("entity3")) & (F.col("event") != F.col("event2")))
+    if other is None:
+        return m
+    second, third = (other.select(F.col("id").alias(f"entity{i}"), F.lit(True).alias(f"_{i}")).distinct() for i in (2, 3))
+    return m.join(second, "entity2", "left").join(third, "entity3", "left").where(F.coalesce("_2", "_3", F.lit(False))).drop("_2", "_3")
+
+
 def facts(graph: Graph, entity: DataFrame, other: DataFrame | None = None, limit: int = 20) -> DataFrame:
     """(statements, doc): facts up to two events from the entity, in Connections form only those that meet `other`.
 
-    The match is made once and serves both branches of the union. The limit holds for the second
-    branch alone, in order of (statements, doc), and the branches end statements differently.
+    The match is made once: each row of it gives its fact to either branch, and documents and names
+    are looked up for both together. The limit holds for the second branch alone, in order of
+    (statements, doc), and the branches end statements differently.
     """
-    m = graph.match(TWO_HOPS, entity.select(F.col("id").alias("entity1")), where=(F.col("entity1") != F.col("entity3")) & (F.col("event") != F.col("event2")))
-    if other is not None:
-        second, third = other.select(F.col("id").alias("entity2"), F.lit(True).alias("_2")), other.select(F.col("id").alias("entity3"), F.lit(True).alias("_3"))
-        m = m.join(second, "entity2", "left").join(third, "entity3", "left").where(F.coalesce("_2", "_3", F.lit(False)))
-
-    def said(event: str, a: str, r: str, b: str, s: str, end: str) -> DataFrame:
-        rows = m.select(event, a, f"{r}_type", b, f"{s}_type").distinct()
-        rows = graph.match(f"({event})<-[_r]-(doc:DOCUMENT)", rows)
-        rows = graph.with_names(rows, event, a, b, "doc")
-        text = F.concat(F.lit("Event Type was "), f"{event}_label", F.lit(" involving "), f"{a}_name", F.lit(" in the role of "), f"{r}_type", F.lit(" and "), f"{b}_name", F.lit(" in the role of "), f"{s}_type", F.lit(end))
-        return rows.select(text.alias("statements"), F.col("doc_name").alias("doc")).distinct()
-
-    first = said("event", "entity1", "role1", "entity2", "role2", ". ")
-    second = said("event2", "entity2", "role3", "entity3", "role4", ".").orderBy("statements", "doc").limit(limit)
-    return first.unionByName(second).distinct()
+    m = two_hops(graph, entity, other)
+    part = lambda end, *c: F.struct(F.lit(end).alias("end"), *(F.col(x).alias(n) for x, n in zip(c, ("event", "a", "r", "b", "s"), strict=True)))
+    both = F.array(part(". ", "event", "entity1", "role1_type", "entity2", "role2_type"), part(".", "event2", "entity2", "role3_type", "entity3", "role4_type"))
+    rows = m.select(F.explode(both).alias("f")).select("f.*").distinct()
+    rows = graph.match("(event)<-[_r]-(doc:DOCUMENT)", rows).select("end", "event", "a", "r", "b", "s", "doc").distinct()
+    rows = graph.with_names(rows, "event", "a", "b", "doc")
+    text = F.concat(F.lit("Event Type was "), "event_label", F.lit(" involving "), "a_name", F.lit(" in the role of "), "r", F.lit(" and "), "b_name", F.lit(" in the role of "), "s", "end")
+    said = stored(rows.select("end", text.alias("statements"), F.col("doc_name").alias("doc")).distinct(), "facts")
+    first, second = (said.where(F.col("end") == end).select("statements", "doc") for end in (". ", "."))
+    return first.unionByName(second.orderBy("statements", "doc").limit(limit)).distinct()
 
 
 def provenance(found: DataFrame, lines: DataFrame, strict: bool = False) -> DataFrame:

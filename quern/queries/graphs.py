@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..plans import gremlin
-from ..plans.graph import TWO_HOPS, Graph, facts, provenance
+from ..plans.graph import Graph, facts, provenance, two_hops
+from ..sources.scratch import files_of, stored
 from . import query, table
 
 EV = """ev AS (SELECT 'ev_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id, 'doc_' || l_orderkey AS doc, 'p' || l_partkey AS part, 's' || l_suppkey AS supp, min(l_returnflag) AS flag
@@ -29,22 +30,56 @@ def _facts_sql(where=""):
 OTHER = "WHERE (SELECT min(CAST(substr(supp, 2) AS BIGINT)) FROM ev WHERE part = 'p7') IN (TRY_CAST(substr(m.entity2, 2) AS BIGINT), TRY_CAST(substr(m.entity3, 2) AS BIGINT)) AND ((m.entity2 LIKE 's%' AND substr(m.entity2, 2) = (SELECT CAST(min(CAST(substr(supp, 2) AS BIGINT)) AS VARCHAR) FROM ev WHERE part = 'p7')) OR (m.entity3 LIKE 's%' AND substr(m.entity3, 2) = (SELECT CAST(min(CAST(substr(supp, 2) AS BIGINT)) AS VARCHAR) FROM ev WHERE part = 'p7')))"
 
 
+#: Kinds of vertices, in an id's bits from 60 on; an event's other bits number it, the others' are keys.
+DOC, PART, SUPP, EVENT = 1, 2, 3, 4
+_KEPT: dict[tuple, Graph] = {}
+
+
 def star_graph(spark, d) -> Graph:
-    """The event id is made of four columns, as lineitem has no key; of repeated rows one event stays."""
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    say = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    ev = table(spark, d, "lineitem").groupBy(*key).agg(F.min("l_returnflag").alias("flag"))
-    ev = ev.select(F.concat(F.lit("ev_"), F.concat_ws("_", *(F.col(c).cast("string") for c in key))).alias("id"), say("doc_", "l_orderkey").alias("doc"), say("p", "l_partkey").alias("part"), say("s", "l_suppkey").alias("supp"), "flag")
-    ends = F.array(*(F.struct(F.concat(F.lit(p), F.col("id")).alias("edge_id"), F.col(s).alias("src"), F.col(t).alias("dst"), F.lit(k).alias("type")) for p, s, t, k in (("E:", "doc", "id", "EVENT"), ("P:", "id", "part", "PART"), ("S:", "id", "supp", "SUPPLIER"))))
-    edges = ev.select(F.inline(ends))
+    """The graph in integers, written once for a session's queries and anew when its tables have changed.
+
+    lineitem has no key: of rows that repeat in four columns one event stays, which gets a number.
+    """
+    key = (spark.sparkContext.applicationId, files_of(spark, *(f"{d}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier"))))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = _load_star(spark, d)
+    return _KEPT[key]
+
+
+def _id(kind, number):
+    return F.col(number).cast("long").bitwiseOR(F.lit(kind << 60))
+
+
+def _load_star(spark, d) -> Graph:
+    four = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    ev = table(spark, d, "lineitem").groupBy(*four).agg(F.min("l_returnflag").alias("flag")).withColumn("n", F.monotonically_increasing_id())
+    ev = stored(ev, "events")  # once numbered they must not be numbered again
+    ends = F.array(*(
+        F.struct(_id(k, "n").alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(t).alias("type"))
+        for k, src, dst, t in ((DOC, _id(DOC, "l_orderkey"), _id(EVENT, "n"), "EVENT"), (PART, _id(EVENT, "n"), _id(PART, "l_partkey"), "PART"), (SUPP, _id(EVENT, "n"), _id(SUPP, "l_suppkey"), "SUPPLIER"))
+    ))
 
     def vertices(df, i, label, name):
         return df.select(i.alias("id"), F.array(label).alias("labels"), F.array(name).alias("names"), name.alias("primary_name"))
 
-    doc, part = say("doc_", "o_orderkey"), say("p", "p_partkey")
-    v = vertices(table(spark, d, "orders"), doc, F.lit("DOCUMENT"), doc).unionByName(vertices(ev, F.col("id"), F.col("flag"), F.col("id")))
-    v = v.unionByName(vertices(table(spark, d, "part"), part, F.lit("PART"), part)).unionByName(vertices(table(spark, d, "supplier"), say("s", "s_suppkey"), F.lit("SUPPLIER"), F.col("s_name")))
-    return Graph(v, edges)
+    say = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    v = vertices(table(spark, d, "orders"), _id(DOC, "o_orderkey"), F.lit("DOCUMENT"), say("doc_", "o_orderkey"))
+    v = v.unionByName(vertices(ev, _id(EVENT, "n"), F.col("flag"), F.concat(F.lit("ev_"), F.concat_ws("_", *(F.col(c).cast("string") for c in four)))))
+    v = v.unionByName(vertices(table(spark, d, "part"), _id(PART, "p_partkey"), F.lit("PART"), say("p", "p_partkey")))
+    v = v.unionByName(vertices(table(spark, d, "supplier"), _id(SUPP, "s_suppkey"), F.lit("SUPPLIER"), F.col("s_name")))
+    return Graph.kept(v, ev.select(F.inline(ends)))
+
+
+def _shown(v):
+    """A vertex's id as text: suppliers are known by key, others by name. Needs with_names()."""
+    supplier = F.shiftright(v, 60) == SUPP
+    return F.when(supplier, F.concat(F.lit("s"), F.col(v).bitwiseAND(F.lit((1 << 60) - 1)).cast("string"))).otherwise(F.col(f"{v}_name"))
+
+
+def _shown_edge(role, event):
+    """An edge's id as text: the first letter of its type and its event."""
+    return F.concat(F.substring(f"{role}_type", 1, 1), F.lit(":"), f"{event}_name")
 
 
 def _second(spark, d, g):
@@ -79,16 +114,19 @@ SELECT DISTINCT event, entity2, a.doc1, event3, entity4 FROM a LEFT JOIN o ON o.
 def oc_optional(spark, d):
     """WHERE behind OPTIONAL MATCH belongs to the optional part: documents without such an event stay."""
     g = star_graph(spark, d)
-    m = g.match("(entity1)<-[role1]-(event)-[role2]->(entity2), (event)<-[r1]-(doc1:DOCUMENT)", g.named("p7", "PART").select(F.col("id").alias("entity1")))
-    m = g.match("(doc1)-[r2]->(event3)-[role5:PART]->(entity4)", m, optional=True, where=F.col("entity4") != "p7")
-    return m.select("event", "entity2", "doc1", "event3", "entity4").distinct()
+    m = stored(g.anchored("entity1", "(entity1)<-[role1]-(event)-[role2]->(entity2), (event)<-[r1]-(doc1:DOCUMENT)", g.named("p7", "PART")).select("event", "entity2", "doc1").distinct(), "matches")
+    m = g.match("(doc1)-[r2]->(event3)-[role5:PART]->(entity4)", m, optional=True, where=F.col("entity4") != (PART << 60 | 7))
+    nodes = ("event", "entity2", "doc1", "event3", "entity4")
+    return g.with_names(m.select(*nodes).distinct(), *nodes).select(*(_shown(v).alias(v) for v in nodes))
 
 
 @query(f"WITH {EV} SELECT src AS doc, dst AS event FROM edges WHERE type = 'EVENT' ORDER BY doc, event LIMIT 10")
 def oc_doc_events(spark, d):
     g = star_graph(spark, d)
-    m = g.match("(e)<-[r:EVENT]-(doc)", g.labelled("DOCUMENT").select(F.col("id").alias("doc")))
-    return m.select("doc", F.col("e").alias("event")).orderBy("doc", "event").limit(10)
+    m = g.match("(doc)-[r:EVENT]->(e)", g.labelled("DOCUMENT").select(F.col("id").alias("doc"), F.col("primary_name").alias("doc_name")))
+    least = m.orderBy("doc_name").limit(10).agg(F.max("doc_name").alias("last"))  # documents have an event at least: ten rows reach no further
+    m = m.join(F.broadcast(least), F.col("doc_name") <= F.col("last")).select("doc", "e").distinct()
+    return g.with_names(m, "doc", "e").select(F.col("doc_name").alias("doc"), F.col("e_name").alias("event")).orderBy("doc", "event").limit(10)
 
 
 @query("""WITH e AS (SELECT l_orderkey AS src, l_suppkey AS dst, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS n FROM lineitem)
@@ -99,22 +137,33 @@ def oc_parallel_edges(spark, d):
     return e.where("n > 1").select("src", "dst", (F.col("n") * (F.col("n") - 1)).alias("pairs"))
 
 
-@query(f"WITH {EV} SELECT p.src AS event, x.src AS doc, s.dst AS org FROM edges p JOIN edges x ON x.dst = p.src JOIN edges s ON s.src = p.src AND s.type = 'SUPPLIER' WHERE p.dst = 'p7' AND x.type = 'EVENT'")
+@query(f"""WITH {EV}, e AS (SELECT id, doc, supp FROM ev WHERE part = 'p7'),
+x AS (SELECT 'E:' || id AS r1, doc AS src, id AS dst FROM e), s AS (SELECT 'S:' || id AS r2, id AS src, supp AS dst FROM e)
+SELECT x.dst AS event, x.src AS doc, s.dst AS org FROM x JOIN s ON s.src = x.dst""")
 def oc_label_hop(spark, d):
     g = star_graph(spark, d)
-    m = g.match("(entity1)<-[role1]-(event)<-[r1:EVENT]-(doc:DOCUMENT), (event)-[]->(org:SUPPLIER)", g.named("p7", "PART").select(F.col("id").alias("entity1")))
-    return m.select("event", "doc", "org")
+    m = g.anchored("entity1", "(entity1)<-[role1]-(event)<-[r1:EVENT]-(doc:DOCUMENT), (event)-[]->(org:SUPPLIER)", g.named("p7", "PART"))
+    return g.with_names(m.select("event", "doc", "org").distinct(), "event", "doc", "org").select(*(_shown(v).alias(v) for v in ("event", "doc", "org")))
+
+
+def _paths_sql(event):
+    return f"""SELECT m.entity1 || '>' || m.r1 || '>' || m.event || '>' || m.r2 || '>' || m.entity2 || '>' || m.r3 || '>' || m.event2 || '>' || m.r4 || '>' || m.entity3 AS path, x.src || '>' || x.edge_id || '>' || x.dst AS doc_path
+FROM m JOIN edges x ON x.dst = m.{event} AND x.type = 'EVENT' {OTHER}"""
 
 
-@query(f"WITH {EV}, {MATCH} SELECT entity1 || '>' || r1 || '>' || event || '>' || r2 || '>' || entity2 || '>' || r3 || '>' || event2 || '>' || r4 || '>' || entity3 AS path FROM m WHERE entity2 = (SELECT min(entity2) FROM m)")
+@query(f"WITH {EV}, {MATCH} {_paths_sql('event')} UNION {_paths_sql('event2')}")
 def oc_paths(spark, d):
+    """The whole paths between two named entities, where the other is the second or the third, with the path from the document of either event."""
     g = star_graph(spark, d)
-    one = g.match("(entity1)<-[role1]-(event)-[role2]->(entity2)", g.named("p7", "PART").select(F.col("id").alias("entity1")))
-    least = one.agg(F.min("entity2").alias("entity2"))
-    m = g.match(TWO_HOPS, g.named("p7", "PART").select(F.col("id").alias("entity1")).join(F.broadcast(least), how="cross"), where=(F.col("entity1") != F.col("entity3")) & (F.col("event") != F.col("event2")))
-    step = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
-    path = F.array(*(step(k, c) for k, c in zip(("node", "edge") * 5, ("entity1", "role1", "event", "role2", "entity2", "role3", "event2", "role4", "entity3"), strict=False)))
-    return m.select(F.array_join(F.transform(path, lambda x: x.id), ">").alias("path"))
+    m = two_hops(g, g.named("p7", "PART"), _second(spark, d, g))
+    events = F.array(F.col("event").alias("at"), F.col("event2"))
+    nodes = ("entity1", "event", "entity2", "event2", "entity3")
+    roles = [f"role{i}_type" for i in (1, 2, 3, 4)]
+    rows = m.select(*nodes, *roles, F.explode(events).alias("at")).distinct()
+    rows = g.match("(at)<-[r1]-(doc:DOCUMENT)", rows).select(*nodes, *roles, "at", "doc").distinct()
+    named = g.with_names(rows, *nodes, "at", "doc")
+    steps = [_shown("entity1"), _shown_edge("role1", "event"), _shown("event"), _shown_edge("role2", "event"), _shown("entity2"), _shown_edge("role3", "event2"), _shown("event2"), _shown_edge("role4", "event2"), _shown("entity3")]
+    return named.select(F.concat_ws(">", *steps).alias("path"), F.concat_ws(">", _shown("doc"), F.concat(F.lit("E:"), "at_name"), _shown("at")).alias("doc_path")).distinct()
 
 
 def trade_graph(spark, d) -> Graph:
