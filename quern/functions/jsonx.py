@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITY_MAP = "map<string,array<string>>"
@@ -42,3 +42,10 @@ def typed_verdict(text: Column, fields: dict[str, str], strict: bool = False) ->
 def contains_any(entities: Column, kind: str, names: list[str]) -> Column:
     """Whether the list of `kind` shares a name with `names`; without the kind, or for null, false."""
     return F.coalesce(F.arrays_overlap(F.filter(entities[kind], lambda x: x.isNotNull()), F.array(*map(F.lit, names))), F.lit(False))
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """rows (kind, entities as JSON) with status, used (the first two entities as kind:name) and warned, if there are more than two."""
+    pairs = F.flatten(F.transform(F.map_entries(F.from_json("entities", ENTITY_MAP)), lambda e: F.transform(e.value, lambda v: F.concat_ws(":", e.key, v))))
+    status = F.when(F.size("pairs") == 0, "no entities").when((F.col("kind") == "Connections") & (F.size("pairs") == 1), "connections need two entities").otherwise("ok")
+    return rows.withColumn("pairs", pairs).select("*", status.alias("status"), F.array_join(F.slice("pairs", 1, 2), ",").alias("used"), (F.size("pairs") > 2).alias("warned"))

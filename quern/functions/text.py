@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +76,16 @@ def sentence_chunks(text: Column, limit: int = 128) -> Column:
         )
 
     return F.aggregate(sentences(text), start, step, lambda a: F.when(a.n > 0, F.concat(a.done, F.array(a.now))).otherwise(a.done))
+
+
+def bpe_tokens(text: Column, path: str) -> Column:
+    """The tokens of a text by a tokenizers file, each decoded; null gives null. The path is the caller's."""
+    @F.pandas_udf("array<string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(path)
+        for texts in parts:
+            yield pd.Series([None if t is None else [coder.decode([i]) for i in coder.encode(t, add_special_tokens=False).ids] for t in texts])
+
+    return run(text)

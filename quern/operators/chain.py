@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +67,27 @@ class Configurable:
         if key not in self.alternatives:
             raise KeyError(f"{self.name} has no alternative {key!r}")
         return self.alternatives[key](c)
+
+
+def lifted(f: Callable, returns: str) -> Callable[..., Column]:
+    """A Python function of values as a step on columns, by Arrow batches; where built-in functions do, use those."""
+    @F.pandas_udf(returns)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*values) for values in zip(*columns, strict=True)], dtype=object)
+
+    return run
+
+
+def configured(f: Callable[..., Step], **config) -> Step:
+    """A step made by a function that takes its configuration at run time."""
+    return lambda df: f(df, config)
+
+
+def logged(prompt: Column, path: str, step: str) -> Step:
+    """Keeps the input, after its prompts were appended to the log at path as rows (step, prompt)."""
+
+    def run(df: DataFrame) -> DataFrame:
+        df.select(F.lit(step).alias("step"), prompt.alias("prompt")).write.mode("append").parquet(path)
+        return df
+
+    return run

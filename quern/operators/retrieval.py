@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import text as T
+from ..functions.models import TextModel
+
 #: Query vectors that one pass scores against a corpus, and rows of it scored at once.
 QUERY_ROWS = 1000
 SLICE = 4096
@@ -83,3 +88,23 @@ def stuffed(rows: DataFrame, by: list[str], order: str, text: Column, sep: str =
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", by: list[str] | None = None) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+
+
+def keyword_score(text: Column, query: str) -> Column:
+    """How many of a text's words are words of the query; 0 for null."""
+    asked = sorted(set(query.lower().split()))
+    return F.coalesce(F.size(F.filter(T.words(F.lower(text)), lambda w: w.isin(*asked))), F.lit(0)) if asked else F.lit(0)
+
+
+def answered(rows: DataFrame, by: str, order: str, key: str, text: str, shown: Column, prompt: Callable[[Column], Column], model: TextModel, sep: str = " ") -> DataFrame:
+    """(by, prompt, answer, sources) for each group of retrieved rows: sources are the rows as (id, text), in order."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("id"), F.col(text).alias("text"), shown.alias("shown"))))
+    found = rows.groupBy(by).agg(parts.alias("parts"))
+    found = found.select(by, prompt(F.array_join(F.transform("parts", lambda p: p.shown), sep)).alias("prompt"), F.transform("parts", lambda p: F.struct(p.id.alias("id"), p.text.alias("text"))).alias("sources"))
+    return found.withColumn("answer", model(F.col("prompt")))
+
+
+def checked_dimension(df: DataFrame, vec: str, dim: int) -> DataFrame:
+    """df, in which a vector of another dimension, or null, is an error when it is read."""
+    wrong = F.raise_error(F.concat(F.lit(f"a vector without {dim} entries: "), F.coalesce(F.size(vec), F.lit(-1)).cast("string")))
+    return df.withColumn(vec, F.when(F.size(vec) == dim, F.col(vec)).otherwise(wrong))

@@ -1,31 +1,35 @@
 """A small set of traversal steps, parsed and compiled to DataFrame operations; text is never evaluated.
 
 g.V(), g.E(), hasLabel('x'), has('key','value'), out('t'), in('t'), values('key'), dedup(), limit(n),
-count(), groupCount().by('key'), valueMap(true).
+count(), groupCount().by('key'), valueMap(true). Values from outside are bound by name, as in
+has('name', who), so that no quote or bracket in them is read as a step.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph
 
-_STEP = re.compile(r"\.\s*(\w+)\(([^()]*)\)")
+_ARG = r"'[^']*'|\"[^\"]*\"|\w+"
+_STEP = re.compile(rf"\.\s*(\w+)\(\s*((?:{_ARG})(?:\s*,\s*(?:{_ARG}))*)?\s*\)")
 
 
-def steps(text: str) -> list[tuple[str, list[str]]]:
+def steps(text: str, bindings: Mapping[str, str] = {}) -> list[tuple[str, list[str]]]:
     text = text.strip()
     if not text.startswith("g") or _STEP.sub("", text[1:]).strip():
         raise ValueError(f"not a traversal of known form: {text!r}")
-    return [(m[1], [a.strip().strip("'\"") for a in m[2].split(",") if a.strip()]) for m in _STEP.finditer(text)]
+    value = lambda a: a[1:-1] if a[0] in "'\"" else bindings.get(a, a)
+    return [(m[1], [value(a) for a in re.findall(_ARG, m[2] or "")]) for m in _STEP.finditer(text)]
 
 
-def run(graph: Graph, text: str) -> DataFrame:
+def run(graph: Graph, text: str, bindings: Mapping[str, str] = {}) -> DataFrame:
     """Results of a traversal; vertices need a `props` map for has, values and groupCount."""
-    todo, df, kind = steps(text), None, None
+    todo, df, kind = steps(text, bindings), None, None
     i = 0
     while i < len(todo):
         name, args = todo[i]
@@ -61,26 +65,26 @@ def run(graph: Graph, text: str) -> DataFrame:
     return df
 
 
-#: Questions in words and the traversal that a rule model gives for each; values come from the question.
+#: Questions in words and the traversal that a rule model gives for each; a, b are the question's values.
 QUESTIONS = (
-    (r"how many (\w+) does (\S+) have", "g.V().has('name','{1}').out('{0}').count()"),
-    (r"list the distinct (\w+) of (\w+)", "g.V().hasLabel('{1}').values('{0}').dedup()"),
-    (r"count (\w+) by (\w+)", "g.V().hasLabel('{0}').groupCount().by('{1}')"),
-    (r"who does (\S+) (\w+)", "g.V().has('name','{0}').out('{1}').values('name')"),
+    (r"how many (?P<a>\w+) does (?P<b>.+?) have", "g.V().has('name', b).out(a).count()"),
+    (r"list the distinct (?P<a>\w+) of (?P<b>\w+)", "g.V().hasLabel(b).values(a).dedup()"),
+    (r"count (?P<a>\w+) by (?P<b>\w+)", "g.V().hasLabel(a).groupCount().by(b)"),
+    (r"who does (?P<a>.+?) (?P<b>\w+)\W*$", "g.V().has('name', a).out(b).values('name')"),
 )
 
 
-def traversal_of(question: str) -> str | None:
-    """The traversal text for a question, or None if no rule takes it."""
-    for pattern, template in QUESTIONS:
+def traversal_of(question: str) -> tuple[str, dict[str, str]] | None:
+    """The traversal for a question with its values, or None if no rule takes it."""
+    for pattern, text in QUESTIONS:
         if m := re.search(pattern, question, re.I):
-            return template.format(*m.groups())
+            return text, m.groupdict()
     return None
 
 
 def answer(graph: Graph, question: str) -> DataFrame | None:
     """The question's result; None where it, or its traversal, isn't understood."""
     try:
-        return run(graph, text) if (text := traversal_of(question)) else None
+        return run(graph, *found) if (found := traversal_of(question)) else None
     except ValueError:
         return None

@@ -1,15 +1,20 @@
 """Scans, metadata, chunking and ingestion."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.models import HashEmbedder
 from ..operators.filters import compile_filter
 from ..sources.files import metadata_docs as docs_with_sidecars
+from ..plans import knowledge
 from ..sources.files import with_line_index
+from ..sources.scratch import shared_dir
 from . import query, table
 
 W = r"list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '')"
+KB = knowledge.Config("prose", dimension=16, max_tokens=128)
 FILTER = {"andAll": [{"greaterThan": {"key": "size", "value": 2}}, {"lessThan": {"key": "size", "value": 30}}]}
 
 
@@ -48,20 +53,43 @@ def token_count(spark, d):
 
 
 @query(f"""WITH w AS (SELECT doc_id, source, {W} AS ws FROM documents), n AS (SELECT *, greatest(0, CAST(ceil((len(ws) - 128) / 103.0) AS BIGINT)) + 1 AS k FROM w WHERE len(ws) > 0),
-c AS (SELECT doc_id, source, i, ws[(i * 103 + 1):(i * 103 + 128)] AS c FROM (SELECT *, unnest(range(k)) AS i FROM n))
-SELECT doc_id, i AS chunk_no, source, CAST(len(c) AS BIGINT) AS n_tokens,
-CAST(len(list_filter(c, lambda x: CAST(concat('0x', substr(md5(x), 1, 8)) AS BIGINT) % 16 = 0)) AS DOUBLE) AS first_dim FROM c""")
+c AS (SELECT doc_id, source, i, ws[(i * 103 + 1):(i * 103 + 128)] AS c FROM (SELECT *, unnest(range(k)) AS i FROM n)),
+b AS (SELECT *, list_transform(c, lambda x: CAST(concat('0x', substr(md5(x), 1, 8)) AS BIGINT) % 16) AS bs FROM c)
+SELECT doc_id, i AS chunk_no, '{{"source":' || coalesce('"' || source || '"', 'null') || '}}' AS metadata, CAST(len(c) AS BIGINT) AS n_tokens,
+array_to_string(list_transform(range(16), lambda d: len(list_filter(bs, lambda x: x = d))), ',') AS vector FROM b""")
 def kb_ingest(spark, d):
-    """Chunk, embed and keep metadata, in one plan that a job writes."""
-    chunks = table(spark, d, "documents").select("doc_id", "source", F.posexplode(T.fixed_chunks(F.col("text"), 128)).alias("chunk_no", "chunk"))
-    rows = chunks.withColumn("embedding", HashEmbedder(16)(F.col("chunk")))
-    return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "source", F.size(T.words(F.col("chunk"))).cast("long").alias("n_tokens"), F.col("embedding")[0].alias("first_dim"))
+    """The rows that an ingestion job writes: chunks with metadata and whole vectors."""
+    rows = knowledge.index(table(spark, d, "documents"), HashEmbedder(16), KB, "doc_id", "text", ["source"])
+    vector = F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), ",")
+    return rows.select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("long").alias("chunk_no"), F.col("text_metadata").alias("metadata"), F.size(T.words(F.col("text"))).cast("long").alias("n_tokens"), vector.alias("vector"))
+
+
+@query(f"""WITH w AS (SELECT len({W}) AS n FROM documents)
+SELECT 'prose' AS name, 16 AS dimension, CAST(1 AS BIGINT) AS jobs, CAST(sum(greatest(0, ceil((n - 128) / 103.0)) + 1) AS BIGINT) AS chunks, 'COMPLETE' AS status FROM w WHERE n > 0""")
+def kb_job(spark, d):
+    """A base made, filled by a job, waited for and described."""
+    kb = knowledge.KnowledgeBase.create(spark, f"{shared_dir(spark)}/quern-kb-{uuid.uuid4().hex}", KB)
+    job = kb.ingest(table(spark, d, "documents"), HashEmbedder(16), "doc_id", "text", ["source"])
+    return kb.describe().select("name", "dimension", "jobs", "chunks").withColumn("status", F.lit(kb.wait(job)))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, e' \n\r\t')), lambda x: x <> '') AS ss FROM documents),
+e AS (SELECT doc_id, list_transform(ss, lambda x: {'done': CAST([] AS VARCHAR[]), 'now': x, 'n': len(list_filter(regexp_split_to_array(x, '[ \n\t\r]+'), lambda y: y <> ''))}) AS es FROM s WHERE len(ss) > 0),
+f AS (SELECT doc_id, list_reduce(es, lambda a, b: CASE WHEN a.n + b.n <= 128 THEN {'done': a.done, 'now': a.now || ' ' || b.now, 'n': a.n + b.n} ELSE {'done': list_append(a.done, a.now), 'now': b.now, 'n': b.n} END) AS r FROM e),
+c AS (SELECT doc_id, list_append(r.done, r.now) AS cs FROM f)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, cs[i + 1] AS chunk FROM (SELECT doc_id, cs, unnest(range(len(cs))) AS i FROM c)""")
+def chunk_sentences(spark, d):
+    """Greedy packing, in a state that goes from sentence to sentence."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @query()
-def chunk_sentences(spark, d):
-    """Greedy packing carries a state from sentence to sentence; tests hold it against a loop."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk"))
+def token_count_bpe(spark, d):
+    """Tokens by a public byte-pair vocabulary, whose file is a parameter; a test holds them against the library."""
+    import public_tokenizers
+
+    own = T.bpe_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return table(spark, d, "documents").select("doc_id", F.size(own).cast("long").alias("n_tokens"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \n\t\r]+', ' ', 'g')) AS text FROM pages""")

@@ -202,13 +202,13 @@ def g_value_map(spark, d):
 @query("SELECT n_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name = (SELECT min(s_name) FROM supplier)")
 def g_out(spark, d):
     first = table(spark, d, "supplier").agg(F.min("s_name")).first()[0]
-    return gremlin.run(trade_graph(spark, d), f"g.V().has('name','{first}').out('route').values('name')")
+    return gremlin.run(trade_graph(spark, d), "g.V().has('name', first).out('route').values('name')", {"first": first})
 
 
 @query("SELECT count(*) AS count FROM supplier WHERE s_name = (SELECT min(s_name) FROM supplier)")
 def g_out_count(spark, d):
     first = table(spark, d, "supplier").agg(F.min("s_name")).first()[0]
-    return gremlin.run(trade_graph(spark, d), f"g.V().has('name','{first}').out('route').count()")
+    return gremlin.run(trade_graph(spark, d), "g.V().has('name', first).out('route').count()", {"first": first})
 
 
 @query("SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS value FROM nation")

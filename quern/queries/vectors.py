@@ -12,7 +12,7 @@ from . import query, table
 COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
 IP = "round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
 RANKED = f"""SELECT q.vec_id AS qid, e.vec_id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank
-FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q"""
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q"""
 
 
 def vector_of(spark, d, vec_id):
@@ -46,32 +46,23 @@ def filtered_topk(spark, d):
     return retrieval.top_k(corpus, F.round(V.cosine(vector_of(spark, d, 0), F.col("embedding")), 6), "vec_id", 5).select("vec_id", "score")
 
 
-#: The queries of the whole forms; those with SQL ask for the five vectors that it asks for, and cut texts as it does.
-ASKED = "vec_id % 20 = 0"
-
-
-def _best(spark, d, k=3, asked="vec_id < 5"):
+def _best(spark, d, k=3):
+    """The k nearest rows of every vector whose id is divisible by 20, against all rows."""
     e = table(spark, d, "embeddings")
-    return retrieval.top_k_each(e.where(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e, "qid", "q", "vec_id", "embedding", k)
-
+    return retrieval.top_k_each(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e, "qid", "q", "vec_id", "embedding", k)
 
-def _first(text, chars):
-    """The first chars characters of a text, or all of it for None."""
-    return text if chars is None else F.substring(text, 1, chars)
 
-
-@query(f"""WITH r AS ({RANKED}) SELECT r.qid, string_agg(substr(t.text, 1, 60), e'\\n' ORDER BY r.rank) AS context, CAST(count(*) AS BIGINT) AS n
+@query(f"""WITH r AS ({RANKED}) SELECT r.qid, string_agg(t.text, chr(10) ORDER BY r.rank) AS context, CAST(count(*) AS BIGINT) AS n
 FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3 GROUP BY r.qid""")
-def retrieval_chain(spark, d, asked="vec_id < 5", chars=60):
-    rows = _best(spark, d, 3, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    text = _first(F.col("text"), chars)
-    return retrieval.stuffed(rows, ["qid"], "rank", text).join(rows.groupBy("qid").agg(F.count("*").alias("n")), "qid").select("qid", "context", "n")
+def retrieval_chain(spark, d):
+    rows = _best(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    return retrieval.stuffed(rows, ["qid"], "rank", F.col("text")).join(rows.groupBy("qid").agg(F.count("*").alias("n")), "qid").select("qid", "context", "n")
 
 
-@query(f"WITH r AS ({RANKED}) SELECT r.qid, r.rank, substr(t.text, 1, 40) AS context FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 5")
-def contexts(spark, d, asked="vec_id < 5", chars=40):
-    rows = _best(spark, d, 5, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    results = rows.select("qid", "rank", F.array(F.struct(F.struct(_first(F.col("text"), chars).alias("text")).alias("content"))).alias("results"))
+@query(f"WITH r AS ({RANKED}) SELECT r.qid, r.rank, t.text AS context FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 5")
+def contexts(spark, d):
+    rows = _best(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    results = rows.select("qid", "rank", F.array(F.struct(F.struct("text").alias("content"))).alias("results"))
     return results.select("qid", F.col("rank").cast("long").alias("rank"), F.explode(F.transform("results", lambda r: r.content.text)).alias("context"))
 
 
@@ -84,15 +75,18 @@ def citations_flatten(spark, d):
     return rows.select("conv_id", F.array_join(texts, " | ").alias("contexts"))
 
 
+ASKED = "the ein los"
+
+
 @query(f"""WITH v AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0),
-k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, len(string_split(lower(text), ' the ')) - 1 AS n FROM documents) WHERE n > 0),
+k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda x: x IN ('the', 'ein', 'los'))) AS n FROM documents) WHERE n > 0),
 a AS (SELECT * FROM v WHERE rank <= 20 UNION ALL SELECT * FROM k WHERE rank <= 20)
 SELECT id, round(sum(1.0 / (rank + 60)), 6) AS rrf FROM a GROUP BY id ORDER BY rrf DESC, id LIMIT 10""")
 def hybrid_search(spark, d):
-    """Both lists are top 20 first, so ranks are numbered on bounded rows."""
+    """A vector and a query text; both lists are top 20 first, so ranks are numbered on bounded rows."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     by_vec = retrieval.top_k(e, F.round(V.cosine(vector_of(spark, d, 0), F.col("embedding")), 6), "id", 20)
-    hits = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.size(F.split(F.lower("text"), " the ")) - 1).alias("n")).where("n > 0")
+    hits = table(spark, d, "documents").select(F.col("doc_id").alias("id"), retrieval.keyword_score(F.col("text"), ASKED).alias("n")).where("n > 0")
     by_word = retrieval.top_k(hits, F.col("n"), "id", 20)
     ranks = [retrieval.ranked(x, [F.desc("score"), F.col("id")]) for x in (by_vec, by_word)]
     return retrieval.fused(ranks, "id").orderBy(F.desc("rrf"), "id").limit(10)
@@ -106,39 +100,35 @@ def hash_embed(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(v).alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
 
 
-@query(f"""WITH r AS ({RANKED}), t AS (SELECT r.qid, r.rank, '<fact>' || substr(regexp_replace(t.text, '[ \\n\\t\\r]+', ' ', 'g'), 1, 50) || '</fact>' AS f FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3)
-SELECT qid, '<facts>' || string_agg(f, '' ORDER BY rank) || '</facts>' AS prompt FROM t GROUP BY qid""")
-def stuff_prompt(spark, d, asked="vec_id < 5", chars=50):
-    rows = _best(spark, d, 3, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    fact = F.concat(F.lit("<fact>"), _first(F.regexp_replace("text", T.SPACE, " "), chars), F.lit("</fact>"))
-    return retrieval.stuffed(rows, ["qid"], "rank", fact, "").select("qid", F.concat(F.lit("<facts>"), "context", F.lit("</facts>")).alias("prompt"))
+_FLAT = "regexp_replace(t.text, '[ \\n\\t\\r]+', ' ', 'g')"
 
 
-@query(f"""WITH r AS ({RANKED}), t AS (SELECT r.qid, r.rank, substr(regexp_replace(t.text, '[ \\n\\t\\r]+', ' ', 'g'), 1, 50) AS f FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3),
-p AS (SELECT qid, 'Results: ' || string_agg(f, ' ' ORDER BY rank) AS prompt FROM t GROUP BY qid)
-SELECT qid, prompt, array_to_string(list_filter(regexp_split_to_array(prompt, '[ \\n\\t\\r]+'), lambda x: x <> '')[1:256], ' ') AS answer FROM p""")
-def rag_end_to_end(spark, d, asked="vec_id < 5", chars=50):
-    """Retrieve, put the texts in a prompt, generate; the contexts stay with the answer."""
-    rows = _best(spark, d, 3, asked).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    joined = retrieval.stuffed(rows, ["qid"], "rank", _first(F.regexp_replace("text", T.SPACE, " "), chars), " ")
-    return joined.select("qid", template.with_results("Results: $search_results$", F.col("context")).alias("prompt")).withColumn("answer", RuleModel()(F.col("prompt")))
+@query(f"""WITH r AS ({RANKED}), t AS (SELECT r.qid, r.rank, '<fact>' || {_FLAT} || '</fact>' AS f FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3)
+SELECT qid, '<facts>' || string_agg(f, '' ORDER BY rank) || '</facts>' AS prompt FROM t GROUP BY qid""")
+def stuff_prompt(spark, d):
+    rows = _best(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    fact = F.concat(F.lit("<fact>"), F.regexp_replace("text", T.SPACE, " "), F.lit("</fact>"))
+    return retrieval.stuffed(rows, ["qid"], "rank", fact, "").select("qid", F.concat(F.lit("<facts>"), "context", F.lit("</facts>")).alias("prompt"))
 
 
-@query()
-def retrieval_chain_whole(spark, d):
-    return retrieval_chain(spark, d, ASKED, None)
+_RAG = f"""WITH r AS ({RANKED}), t AS (SELECT r.qid, r.rank, r.vec_id, t.text, {_FLAT} AS f FROM r JOIN documents t ON t.doc_id = r.vec_id WHERE r.rank <= 3),
+p AS (SELECT qid, 'Results: ' || string_agg(f, ' ' ORDER BY rank) AS prompt, string_agg(vec_id, ',' ORDER BY rank) AS source_ids, string_agg(text, chr(10) ORDER BY rank) AS sources FROM t GROUP BY qid),
+q AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(prompt, '[ \\n\\t\\r]+'), lambda x: x <> '')[1:256], ' ') AS answer FROM p)"""
 
 
-@query()
-def contexts_whole(spark, d):
-    return contexts(spark, d, ASKED, None)
+@query(f"{_RAG} SELECT qid, prompt, answer FROM q")
+def rag_end_to_end(spark, d):
+    """Retrieve, put the texts in a prompt, generate."""
+    return _answered(spark, d).select("qid", "prompt", "answer")
 
 
-@query()
-def stuff_prompt_whole(spark, d):
-    return stuff_prompt(spark, d, ASKED, None)
+@query(f"{_RAG} SELECT qid, answer, source_ids, sources FROM q")
+def qa_with_sources(spark, d):
+    """The answer with the rows that it was made from, in their order."""
+    return _answered(spark, d).select("qid", "answer", F.array_join(F.transform("sources", lambda s: s.id.cast("string")), ",").alias("source_ids"), F.array_join(F.transform("sources", lambda s: s.text), "\n").alias("sources"))
 
 
-@query()
-def rag_end_to_end_whole(spark, d):
-    return rag_end_to_end(spark, d, ASKED, None)
+def _answered(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    prompt = lambda context: template.with_results("Results: $search_results$", context)
+    return retrieval.answered(_best(spark, d).join(docs, "vec_id"), "qid", "rank", "vec_id", "text", F.regexp_replace("text", T.SPACE, " "), prompt, RuleModel())

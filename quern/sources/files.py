@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Free text may hold quotes and line ends."""
@@ -24,16 +26,21 @@ def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 def with_line_index(df: DataFrame, name: str = "line_index") -> DataFrame:
     """df with the 0-based place of each row in the order of its partitions, without a sort or a single task.
 
-    Only one count a partition goes to the driver.
+    Rows are written with their places in their partitions and read again, so the two agree however
+    often a task runs; a number a partition is joined to them.
     """
-    placed = df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i"))
-    counts = sorted(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
-    base, pairs = 0, []
-    for p, n in counts:
-        pairs += [F.lit(p), F.lit(base)]
-        base += n
-    start = F.element_at(F.create_map(*pairs), F.col("_p")) if pairs else F.lit(0)
-    return placed.withColumn(name, start + F.col("_i")).drop("_p", "_i")
+    part, place = (_free(x, df) for x in ("part", "place"))
+    placed = stored(df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(place)), "lines")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    starts = placed.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col("start") + F.col(place)).select(*(F.col(f"`{c}`") for c in df.columns), name)
+
+
+def _free(name: str, df: DataFrame) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def metadata_docs(df: DataFrame, text: str, attributes: list[str], order: str, limit: int) -> DataFrame:
