@@ -199,6 +199,18 @@ class Restorer:
             elif not single and end < start + 4 and _SIGN.search(text) and frame(text) in self.frames and (word := self.word(text)) in self.known:
                 yield end + 1, word, cost + SWAP_COST
 
+    def joinable(self, tokens: list[str]) -> bool:
+        """Whether joins() of plain tokens finds any."""
+        known = self.known
+        for i, text in enumerate(tokens):
+            for t in tokens[i + 1 :]:
+                text += t
+                if len(text) > BLANKED_WORD:
+                    break
+                if text in known:
+                    return True
+        return False
+
     def unblanked(self, tokens: list[str], words: list[str]) -> list[str]:
         """The words of the cheapest path over tokens: each by itself as in `words`, or a known word with blanks dropped."""
         arcs = [list(self.joins(tokens, i)) for i in range(len(tokens))]
@@ -225,12 +237,15 @@ class Restorer:
         weak = [i for i, t in enumerate(tokens) if t in core and core[t]]
         if not weak:
             return set(alone.values())
+        odd = {t for t, c in core.items() if c and (_one_sign(c) or _SIGN.search(c))}
         used = set()  # places that stand in a word with blanks
         for run in _runs(weak):
             lo, hi = max(0, run[0] - 1), min(len(tokens), run[-1] + 2)
             own = [core.get(t) or alone[t] for t in tokens[lo:hi]]
             if not all(own):  # a sign without letters parts words
                 lo, hi, own = run[0], run[-1] + 1, [core[t] for t in tokens[run[0] : run[-1] + 1]]
+            if not any(tokens[i] in odd for i in run) and not self.joinable(own):
+                continue
             single = [alone[t] for t in tokens[lo:hi]]
             got = self.unblanked(own, single)
             if len(got) < len(own):
@@ -270,17 +285,21 @@ class Toxicity:
             raw.update({_EDGE.sub("", w) for w in set(t.lower().split())})
         plain = Counter({w: n for w, n in raw.items() if n >= 3 and w and all(c.isalpha() for c in w)})
         self.restorer = Restorer(CharModel(plain), plain)
-        pos, neg = Counter(), Counter()
-        for t, label in zip(texts, labels, strict=True):
-            (pos if label else neg).update(features(self.restorer.words(t)))
+        number: dict[str, int] = {}
+        rows = [np.array([number.setdefault(f, len(number)) for f in features(self.restorer.words(t))], np.int32) for t in texts]
+        count = lambda of: np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, label in zip(rows, labels, strict=True) if bool(label) == of)]), minlength=len(number))
+        pos, neg = count(True), count(False)
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-        gain = {f: abs(math.log((pos[f] + 0.5) / (n1 + 1)) - math.log((neg[f] + 0.5) / (n0 + 1))) / math.sqrt(1 / (pos[f] + 0.5) + 1 / (neg[f] + 0.5)) for f in (pos | neg) if pos[f] + neg[f] >= 3}
-        chosen = sorted(f for f in gain if gain[f] >= SIGNIFICANT)
-        number = {f: i for i, f in enumerate(chosen)}
+        gain = np.abs(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        names, good = list(number), (pos + neg >= 3) & (gain >= SIGNIFICANT)
+        chosen = sorted(np.flatnonzero(good).tolist(), key=names.__getitem__)
+        column = np.full(len(names), -1)
+        column[chosen] = np.arange(len(chosen))
         x = np.zeros((len(texts), len(chosen) + 1), np.float32)
         x[:, -1] = 1
-        for i, t in enumerate(texts):
-            x[i, [number[f] for f in features(self.restorer.words(t)) if f in number]] = 1
+        for i, r in enumerate(rows):
+            at = column[r]
+            x[i, at[at >= 0]] = 1
         w = np.zeros(x.shape[1], np.float32)
         # Both labels weigh as they do in the sample; proximal gradient steps with momentum, and L2.
         v, rate = w.copy(), np.float32(4.0 / max(1.0, float(x.sum(1).mean()) if len(x) else 1))
@@ -290,7 +309,7 @@ class Toxicity:
             new = (v - rate * (x.T @ (p - y).astype(np.float32) / len(y))) / shrink
             v = (new + k / (k + 3) * (new - w)).astype(np.float32)
             w = new
-        self.weights = {f: float(w[i]) for f, i in number.items() if w[i]}
+        self.weights = {names[f]: float(w[i]) for i, f in enumerate(chosen) if w[i]}
         self.bias = float(w[-1])
 
     def score(self, text: str) -> float:
