@@ -586,3 +586,21 @@ def test_pipeline(spark, tmp_path):
     assert sizes[2] == sizes[3] == sizes[1] - {110}
     assert "[ASSIGN]" in at.where(F.col("doc_id") == 111).first().text
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == sizes[3]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Extra columns, also those named as operators name their own, travel through every stage; nulls and empty tables do too."""
+    names = ["_q", "_q_hash", "_q_key", "_q_id", "key", "hash", "times", "id", "copy", "fp", "root", "n", "words", "listed", "hash_listed"]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)
+    rows = [(1, "a b c d e f", *names), (1, "a b c d e f", *names), (None, None, *[None] * len(names)), (2, "", *names), (3, "x y z password = abcdefgh", *names)]
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
+    model = toxicity.Toxicity([], [])
+    for stage in (lambda d: toxicity.drop_toxic(d, model), simhash.keep_one, lambda d: simhash.keep_one(d, 0), lambda d: decontaminate.drop_contaminated(d, bench), lambda d: decontaminate.drop_contaminated(d, bench, 0), secrets.redact):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert all(r.key in ("key", None) and r.hash in ("hash", None) for r in out.collect())
+        assert stage(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id or 0 for r in decontaminate.drop_contaminated(docs, bench).collect()) == [0, 2, 3]
+    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 5
