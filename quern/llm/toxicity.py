@@ -103,7 +103,7 @@ class Restorer:
         if core == bare and (bare in self.known or not _ODD.search(bare)):
             return bare
         if (got := self.memo.get(token)) is None:
-            if len(self.memo) > 100_000:
+            if len(self.memo) > 400_000:
                 self.memo.clear()
             got = self.memo[token] = self.edged(bare, core) if core != bare else self.decoded(token.rstrip(".,;:?\"')"))
         return got
