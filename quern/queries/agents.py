@@ -96,7 +96,8 @@ def crew_run(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
     values = {"stock": F.col("s_name"), "risk": "Medium", "preference": "day trading", "capital": "100000"}
     done = crew(rows, CREW, WORK, values, M.RuleModel(), manager=M.RuleModel())
-    return done.select("id", F.explode("outputs").alias("o")).select("id", "o.*")
+    # The array is never empty, and the outer form infers no filter on it, which would nest all models in one expression.
+    return done.select("id", F.explode_outer("outputs").alias("o")).select("id", "o.*")
 
 
 @query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

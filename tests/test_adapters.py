@@ -131,3 +131,11 @@ def test_history_of_a_stream(spark, tmp_path):
     q.stop()
     want = with_history(first.unionByName(then)).select("conv_id", "turn", "history")
     assert sorted(map(tuple, spark.table("history_test").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_crew_models_once(spark):
+    """The plan grows with the tasks, not with the ways an output may be handed over."""
+    from quern.queries import QUERIES
+
+    plan = QUERIES["crew_run"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 8
