@@ -229,7 +229,7 @@ def joined(batches, limit: int):
 
 
 def rows_of(rb: pa.RecordBatch):
-    """Rows as dicts, one in memory at a time."""
+    """Rows as dicts, one in memory at a time if the caller lets go of each before the next."""
     for i in range(rb.num_rows):
         yield rb.slice(i, 1).to_pylist()[0]
 
@@ -264,6 +264,7 @@ def sent(batches: DataFrame, shape: Shape, orders: tuple[int, ...]) -> DataFrame
                 out, fold = np.array(row["held_out"], bool), np.array(row["fold"], bool)
                 for n in orders:
                     yield cut(n, shape.cell(row["batch"]), row["batch"], b.sorted_keys(n), [b.counts(n, docs) for docs in (~out & ~fold, ~out & fold, out)], shape.fan)
+                del row, b  # before the next row is read and numbered
 
     return batches.mapInArrow(run, SENT)
 
@@ -442,6 +443,7 @@ def _scored(batches: DataFrame, shape: Shape, store: Store, kind: str, resolutio
                     code = code * axis + ratio_cell(p, resolution)
                 found, at, n = np.unique(code, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.bincount(at, p, len(found))) for p in parts)], names=["code", "n", "s3", "s2", "s1"])
+                del row, b, c, on, code, parts, p, at
 
     wanted = met.where(F.exists(F.zip_with("held_out", "fold", lambda h, f: f & ~h), lambda x: x)).select(*TOKENS, "answers", "more")
     cells = wanted.mapInArrow(events, "code long, n long, s3 double, s2 double, s1 double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "s3", "s2", "s1"))).toArrow()
@@ -463,5 +465,6 @@ def _scored(batches: DataFrame, shape: Shape, store: Store, kind: str, resolutio
                     pa.array(row["doc_id"], rb.schema.field("doc_id").type.value_type), pa.array(row["held_out"], pa.bool_()), pa.array(b.lengths, pa.int64()), pa.array(add((c.word > 0).astype(np.int64))), pa.array(np.full(len(starts), tokens), pa.int64()),
                     pa.array(add(np.log10((c.word + 0.5) / (tokens + 0.5 * (kinds + 1))))), pa.array(add(np.log10(p))),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del row, b, c, bucket, p, part, starts
 
     return met.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
