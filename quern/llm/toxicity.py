@@ -8,8 +8,10 @@ known words, a path may end a word at a blank or drop the blank within a word, w
 known one. The words of the restored text, and their first letters, are the features of a logistic
 regression.
 
-Both models are fitted on the driver to a sample of `SAMPLE` labelled rows at most for each label,
-the smallest by hash, so every label table is treated alike; their size is bounded by that.
+All labelled training rows count. Executors count their words, restore them and count the features;
+the driver gets the words of at least `KNOWN_SHARE` of the rows of a label, which bounds the character
+model, and the features whose log-odds stand out. The regression is fitted by L-BFGS, whose loss and
+gradient executors sum over the rows. `Toxicity(texts, labels)` does the same within one process.
 """
 
 from __future__ import annotations
@@ -17,16 +19,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, remainder, table, texts_of
+from .common import map_batches, pieces, remainder, scratch, staged, table, texts_of
 
-#: Rows a label in the training sample at most.
-SAMPLE = 2500
+#: A known word stands in that share of the training rows of either label, and in 3 rows.
+KNOWN_SHARE = 3 / 5000
+#: Labels are broadcast up to so many rows; beyond, the texts of documents pass one shuffle.
+BROADCAST_LABELS = 1 << 20
+#: Names a task counts before it hands them on.
+COUNTED = 200_000
+#: Steps of L-BFGS, the pairs it remembers, and the largest part of a gradient at which it ends.
+STEPS, PAIRS, FLAT = 60, 8, 1e-6
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PREFIXES = (4, 5)
@@ -48,6 +57,14 @@ _SIGN = re.compile(r"[0-9@$!|+(<€£]")
 #: Letters that a sign may stand for, signs and marks go; runs of what is left count once: a word's frame, the same however it is obscured.
 _SOFT = {ord(c): None for c in {*"".join(LOOKALIKES.values()), *LOOKALIKES, *"._*-,;:?#%&'\"~^=/\\)[]{}"}}
 _TWICE = re.compile(r"(.)\1+")
+_DOUBLE = re.compile(r"(.)\1+", re.S)
+#: Marks that a word's ends may have and that stand for no letter.
+_PLAIN = ".,;:?\"'#%&*-"
+#: Letters in a row or another sign, and what a look-alike may stand for in a word of letters.
+_PARTS = re.compile(r"[^\W\d_]+|.", re.S)
+_READINGS = {c: (*x,) if c.isdigit() else (*x, "") for c, x in LOOKALIKES.items()}
+#: Between restored words, which hold no white space.
+_SEPARATOR = "\n"
 
 
 def frame(text: str) -> str:
@@ -91,21 +108,31 @@ class Restorer:
     def __init__(self, model: CharModel, words: Counter):
         self.model, self.known, self.memo = model, dict(words), {}
         self.total, self.frames = sum(words.values()) or 1, {frame(w) for w in words}
+        self.squeezed = {_TWICE.sub(r"\1", w) for w in words}
 
     def word(self, token: str) -> str:
         """The restored form of a lower-case token; known and plain tokens stay as they are.
 
         Signs at its ends are kept if they may stand for letters, so the decoder sees them.
         """
-        if token in self.known:
-            return token
-        bare, core = _EDGE.sub("", token), _NO_LETTER.sub("", token)
-        if core == bare and (bare in self.known or not _ODD.search(bare)):
-            return bare
+        return token if token in self.known else self.form(token)[0]
+
+    def form(self, token: str) -> tuple[str, str]:
+        """The restored form of a token that is not known, and if that is a single sign or no known word the token without plain marks at its ends."""
         if (got := self.memo.get(token)) is None:
-            if len(self.memo) > 400_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
-            got = self.memo[token] = self.edged(bare, core) if core != bare else self.decoded(token.rstrip(".,;:?\"')"))
+            bare = core = token.strip(_PLAIN)
+            letters = bare.isalpha()
+            if not letters:
+                bare, core = _EDGE.sub("", token), _NO_LETTER.sub("", token)
+            if core == bare and (bare in self.known or not (_DOUBLE if letters else _ODD).search(bare)):
+                word = bare
+            elif letters:
+                word = self.unrepeated(bare)
+            else:
+                word = self.edged(bare, core) if core != bare else self.decoded(token.rstrip(".,;:?\"')"))
+            got = self.memo[token] = (word, core if len(word) < 2 or word not in self.known else "")
         return got
 
     def edged(self, bare: str, core: str) -> str:
@@ -132,11 +159,27 @@ class Restorer:
 
     def decoded(self, token: str) -> str:
         """The likeliest letters of a whole token."""
+        if token.isalpha():
+            return self.unrepeated(token)
         paths = {"^^": (0.0, ())}
         for i in range(len(token)):
             paths = self.extended(paths, token, i)
         return self.ended(paths)[1]
 
+    def unrepeated(self, token: str) -> str:
+        """decoded() of letters alone. Paths part where a letter is repeated and meet behind the next one, so each repetition is settled by itself."""
+        cost, out, at = self.model.cost, [], 0
+        for m in _DOUBLE.finditer(token):
+            start, end = m.span()
+            c, n = token[start], end - start
+            before, behind = token[start - 1] if start else "^", token[end] if end < len(token) else "$"
+            again = cost(c, c, c) if n > 2 else REPEAT_COST
+            once = (n - 1) * REPEAT_COST + cost(before, c, behind)
+            more = cost(before, c, c) + (n - 2) * min(again, REPEAT_COST) + cost(c, c, behind)
+            out += token[at:start], c if once < more else c * (n if again <= REPEAT_COST else 2)
+            at = end
+        return "".join(out) + token[at:]
+
     def ended(self, paths: dict) -> tuple[float, str]:
         """Cost and letters of the best path; paths hold their letters as cells (earlier letters, last one), which they share."""
         cost, _, cell = min((cost + self.model.cost(*state, "$"), state, cell) for state, (cost, cell) in paths.items())
@@ -150,26 +193,29 @@ class Restorer:
         """The paths behind place i of the token, for a word that begins at start."""
         c = token[i]
         new: dict[str, tuple[float, tuple]] = {}
-
-        def offer(state, cost, cell):
-            if state not in new or cost < new[state][0]:
-                new[state] = (cost, cell)
-
+        known, fresh = self.model.memo.get, self.model.cost
         again = i > start and token[i - 1] == c
+        letter = c.isalpha()
+        readings = c if letter else LOOKALIKES.get(c, "")
+        swap = 0.0 if letter else SWAP_COST
+        keep = None if letter or not c.isdigit() else KEEP_COST
+        drop = None if letter or c.isdigit() else DROP_COST if start < i < len(token) - 1 or c not in LOOKALIKES else KEEP_COST / 2
         for state, (cost, cell) in paths.items():
-            if c.isalpha():
-                offer(state[1] + c, cost + self.model.cost(*state, c), (cell, c))
-                if again and state[1] == c:
-                    offer(state, cost + REPEAT_COST, cell)
-            else:
-                for x in LOOKALIKES.get(c, ""):
-                    offer(state[1] + x, cost + SWAP_COST + self.model.cost(*state, x), (cell, x))
-                    if again and state[1] == x:
-                        offer(state, cost + REPEAT_COST, cell)
-                if c.isdigit():
-                    offer(state[1] + c, cost + KEEP_COST + self.model.cost(*state, c), (cell, c))
-                else:
-                    offer(state, cost + (DROP_COST if start < i < len(token) - 1 or c not in LOOKALIKES else KEEP_COST / 2), cell)
+            last = state[1]
+            for x in readings:
+                if (own := known(state + x)) is None:
+                    own = fresh(state[0], last, x)
+                own += cost + swap
+                if (old := new.get(last + x)) is None or own < old[0]:
+                    new[last + x] = (own, (cell, x))
+                if again and last == x and ((old := new.get(state)) is None or cost + REPEAT_COST < old[0]):
+                    new[state] = (cost + REPEAT_COST, cell)
+            if keep is not None:
+                own = cost + keep + fresh(state[0], last, c)
+                if (old := new.get(last + c)) is None or own < old[0]:
+                    new[last + c] = (own, (cell, c))
+            elif drop is not None and ((old := new.get(state)) is None or cost + drop < old[0]):
+                new[state] = (cost + drop, cell)
         return new
 
     def own_cost(self, word: str) -> float:
@@ -196,9 +242,19 @@ class Restorer:
                     paths = self.extended(paths, text, i)
                 if (word := self.ended(paths)[1]) in self.known:
                     yield end + 1, word, cost + SWAP_COST
-            elif not single and end < start + 4 and _SIGN.search(text) and frame(text) in self.frames and (word := self.word(text)) in self.known:
+            elif not single and end < start + 4 and _SIGN.search(text) and frame(text) in self.frames and self.possible(text) and (word := self.word(text)) in self.known:
                 yield end + 1, word, cost + SWAP_COST
 
+    def possible(self, text: str) -> bool:
+        """Whether some reading of the signs makes a known word, but for repeated letters; also true where there are too many readings to try."""
+        out = [""]
+        for part in _PARTS.findall(text):
+            if len(out) > 64:
+                return True
+            own = (part,) if part.isalpha() else _READINGS.get(part, ("",))
+            out = [x + y for x in out for y in own]
+        return any(_TWICE.sub(r"\1", x) in self.squeezed for x in out)
+
     def joinable(self, tokens: list[str]) -> bool:
         """Whether joins() of plain tokens finds any."""
         known = self.known
@@ -231,30 +287,41 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         tokens = text.lower().split()
-        alone = {t: self.word(t) for t in set(tokens)}
-        out, known = set(), self.known
-        core = {t: _NO_LETTER.sub("", t) for t, w in alone.items() if len(w) < 2 or w not in known}
-        weak = [i for i, t in enumerate(tokens) if t in core and core[t]]
+        distinct = set(tokens)
+        alone, core = {}, {t: t for t in distinct if len(t) < 2}
+        seen = self.memo.get
+        unknown = distinct.difference(self.known)
+        for t in unknown:
+            alone[t], weak = seen(t) or self.form(t)
+            if weak:
+                core[t] = weak
+            elif len(t) < 2:
+                del core[t]
+        whole = distinct.difference(unknown).union(alone.values())
+        weak = [i for i, t in enumerate(tokens) if t in core]
         if not weak:
-            return set(alone.values())
-        odd = {t for t, c in core.items() if c and (_one_sign(c) or _SIGN.search(c))}
-        used = set()  # places that stand in a word with blanks
+            return whole
+        single, signed = {t for t, c in core.items() if _one_sign(c)}, {t for t, c in core.items() if _SIGN.search(c)}
+        out, used = set(), set()  # words with blanks, and the places they stand in
         for run in _runs(weak):
             lo, hi = max(0, run[0] - 1), min(len(tokens), run[-1] + 2)
-            own = [core.get(t) or alone[t] for t in tokens[lo:hi]]
+            own = [core.get(t) or alone.get(t, t) for t in tokens[lo:hi]]
             if not all(own):  # a sign without letters parts words
                 lo, hi, own = run[0], run[-1] + 1, [core[t] for t in tokens[run[0] : run[-1] + 1]]
-            if not any(tokens[i] in odd for i in run) and not self.joinable(own):
+            # joins() needs a sign, three single ones in a row or a known word of plain tokens
+            if signed.isdisjoint(tokens[lo:hi]) and (single.isdisjoint(tokens[lo:hi]) or not _three(own)) and not self.joinable(own):
                 continue
-            single = [alone[t] for t in tokens[lo:hi]]
-            got = self.unblanked(own, single)
+            got = self.unblanked(own, [alone.get(t, t) for t in tokens[lo:hi]])
             if len(got) < len(own):
                 out.update(got)
                 used.update(range(lo, hi))
         if not used:
-            return set(alone.values())
-        out.update(alone[t] for i, t in enumerate(tokens) if i not in used)
-        return out
+            return whole
+        for i in used:
+            tokens[i] = ""
+        rest = set(tokens)
+        rest.discard("")
+        return out.union(rest.difference(unknown), [alone[t] for t in rest.intersection(unknown)])
 
 
 def _one_sign(token: str) -> bool:
@@ -262,6 +329,16 @@ def _one_sign(token: str) -> bool:
     return len(token) < 4 and token == token[0] * len(token)
 
 
+def _three(tokens: list[str]) -> bool:
+    """Whether three single signs follow each other."""
+    n = 0
+    for t in tokens:
+        n = n + 1 if _one_sign(t) else 0
+        if n == 3:
+            return True
+    return False
+
+
 def _runs(places: list[int]):
     """Ascending places cut into runs that follow each other."""
     at = 0
@@ -275,48 +352,113 @@ def features(words: set[str]) -> set[str]:
     return words | {"^" + w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
+def plain_words(text: str) -> set[str]:
+    """The distinct lower-case words of a text without marks at their ends."""
+    return {w if w.isalpha() else _EDGE.sub("", w) for w in set(text.lower().split())}
+
+
+def is_known(clean, toxic, n_clean, n_toxic):
+    """Whether a word in so many rows of either label is known; of numbers or of columns."""
+    return (clean + toxic >= 3) & ((clean >= KNOWN_SHARE * n_clean) | (toxic >= KNOWN_SHARE * n_toxic))
+
+
+def stands_out(clean, toxic, n_clean, n_toxic, log=np.log, sqrt=np.sqrt):
+    """Whether a feature of so many rows of either label is one of the regression's; of numbers or of columns."""
+    odds = log((toxic + 0.5) / (max(1, n_toxic) + 1)) - log((clean + 0.5) / (max(1, n_clean) + 1))
+    spread = sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return (clean + toxic >= 3) & ((odds >= SIGNIFICANT * spread) | (odds <= -SIGNIFICANT * spread))
+
+
+def restorer_of(counts: dict[str, int]) -> Restorer:
+    """The decoder of known words with their numbers of rows; only words of letters count."""
+    plain = Counter({w: counts[w] for w in sorted(counts) if w.isalpha()})
+    return Restorer(CharModel(plain), plain)
+
+
+def loss(w: np.ndarray, ids: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The logistic loss of rows, given by the columns of their features one after the other, and its gradient. The last weight is the bias."""
+    row = np.repeat(np.arange(len(y)), lengths)
+    z = w[-1] + np.bincount(row, weights=w[ids], minlength=len(y))
+    off = 0.5 * (1 + np.tanh(z / 2)) - y
+    return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum()), np.append(np.bincount(ids, weights=off[row], minlength=len(w) - 1), off.sum())
+
+
+def least(total: Callable, n: int, columns: int) -> np.ndarray:
+    """The weights of least mean loss with L2, by L-BFGS; total(w) is the loss of all n rows and its gradient."""
+
+    def penalized(w):
+        value, slope = total(w)
+        return (value + PENALTY / 2 * float(w[:-1] @ w[:-1])) / n, (slope + PENALTY * np.append(w[:-1], 0)) / n
+
+    w, pairs = np.zeros(columns + 1), []
+    if not n:
+        return w
+    value, slope = penalized(w)
+    for _ in range(STEPS):
+        if np.abs(slope).max() < FLAT:
+            break
+        way, kept = -slope, []
+        for s, d in reversed(pairs):
+            kept.append((s @ way) / (s @ d))
+            way = way - kept[-1] * d
+        if pairs:
+            way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for s, d in pairs:
+            way = way + s * (kept.pop() - (d @ way) / (s @ d))
+        step = 1.0 if pairs else 1 / max(1.0, float(np.abs(slope).sum()))
+        for _ in range(20):
+            new, (own, turn) = w + step * way, penalized(w + step * way)
+            if own <= value + 1e-4 * step * float(slope @ way):
+                break
+            step /= 2
+        else:
+            break
+        if (turn - slope) @ (new - w) > 1e-12:
+            pairs = [*pairs, (new - w, turn - slope)][-PAIRS:]
+        w, value, slope = new, own, turn
+    return w
+
+
 class Toxicity:
     """Fitted models; score(text) is the probability of label 1."""
 
     def __init__(self, texts: list[str], labels: list[int]):
-        y = np.array(labels, np.float64)
-        raw = Counter()
-        for t in texts:
-            raw.update({_EDGE.sub("", w) for w in set(t.lower().split())})
-        plain = Counter({w: n for w, n in raw.items() if n >= 3 and w and all(c.isalpha() for c in w)})
-        self.restorer = Restorer(CharModel(plain), plain)
-        number: dict[str, int] = {}
-        rows = [np.array([number.setdefault(f, len(number)) for f in features(self.restorer.words(t))], np.int32) for t in texts]
-        count = lambda of: np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, label in zip(rows, labels, strict=True) if bool(label) == of)]), minlength=len(number))
-        pos, neg = count(True), count(False)
-        n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-        gain = np.abs(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        names, good = list(number), (pos + neg >= 3) & (gain >= SIGNIFICANT)
-        chosen = sorted(np.flatnonzero(good).tolist(), key=names.__getitem__)
-        column = np.full(len(names), -1)
-        column[chosen] = np.arange(len(chosen))
-        x = np.zeros((len(texts), len(chosen) + 1), np.float32)
-        x[:, -1] = 1
-        for i, r in enumerate(rows):
-            at = column[r]
-            x[i, at[at >= 0]] = 1
-        w = np.zeros(x.shape[1], np.float32)
-        # Both labels weigh as they do in the sample; proximal gradient steps with momentum, and L2.
-        v, rate = w.copy(), np.float32(4.0 / max(1.0, float(x.sum(1).mean()) if len(x) else 1))
-        shrink = np.append(np.full(len(chosen), 1 + PENALTY * rate / max(1, len(y))), 1).astype(np.float32)
-        for k in range(400 if len(x) else 0):
-            p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-            new = (v - rate * (x.T @ (p - y).astype(np.float32) / len(y))) / shrink
-            v = (new + k / (k + 3) * (new - w)).astype(np.float32)
-            w = new
-        self.weights = {names[f]: float(w[i]) for i, f in enumerate(chosen) if w[i]}
-        self.bias = float(w[-1])
+        y = np.array([int(bool(label)) for label in labels], np.int64)
+        n = len(y) - int(y.sum()), int(y.sum())
+
+        def of_labels(rows: list[set[str]]) -> dict[str, tuple[int, int]]:
+            counts = Counter(), Counter()
+            for row, label in zip(rows, y, strict=True):
+                counts[label].update(row)
+            return {name: (counts[0][name], counts[1][name]) for name in {*counts[0], *counts[1]}}
+
+        self.restorer = restorer_of({w: sum(c) for w, c in of_labels([plain_words(t) for t in texts]).items() if is_known(*c, *n)})
+        rows = [features(self.restorer.words(t)) for t in texts]
+        names = sorted(f for f, c in of_labels(rows).items() if stands_out(*c, *n))
+        number = {f: i for i, f in enumerate(names)}
+        ids = [[number[f] for f in row if f in number] for row in rows]
+        flat, lengths = np.array([i for row in ids for i in row], np.int64), np.array([len(row) for row in ids], np.int64)
+        self.weigh(names, least(lambda w: loss(w, flat, lengths, y), len(y), len(names)))
+
+    @classmethod
+    def of(cls, restorer: Restorer, names: list[str], weights: np.ndarray) -> Toxicity:
+        self = cls.__new__(cls)
+        self.restorer = restorer
+        self.weigh(names, weights)
+        return self
+
+    def weigh(self, names: list[str], weights: np.ndarray) -> None:
+        self.weights = {f: float(w) for f, w in zip(names, weights, strict=False) if w}
+        self.bias = float(weights[-1])
+        #: Weights of beginnings by their length; shorter words have none of it.
+        self.prefixes = {n: {f[1:]: w for f, w in self.weights.items() if f[0:1] == "^" and len(f) == n + 1} for n in PREFIXES}
 
     def score(self, text: str) -> float:
-        z = self.bias
-        get = self.weights.get
-        for f in features(self.restorer.words(text)):
-            z += get(f, 0.0)
+        words, own = self.restorer.words(text), self.weights
+        found = [own[w] for w in words if w in own]
+        for n, weights in self.prefixes.items():
+            found += [weights[f] for f in {w[:n] for w in words} if f in weights]
+        z = math.fsum([self.bias, *found])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -333,9 +475,84 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     return [(r[0], int(r[1])) for r in found.collect()]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Toxicity:
-    got = sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows, each=True)
-    return Toxicity([t for t, _ in got], [y for _, y in got])
+def training(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS) -> DataFrame:
+    """text and label (0 or 1) of all labelled training rows that have a text; a doc_id with differing labels counts with its largest."""
+    train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), MODULUS) != HELD_OUT))
+    known = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_q_y")).where("_q_y in (0, 1)")
+    own = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    few = known.limit(broadcast + 1).count() <= broadcast
+    rows = own.join(F.broadcast(known) if few else known.hint("merge"), "doc_id").select("text", "_q_y")
+    return rows if few else staged(rows, "toxic-rows")
+
+
+def counted(rows: DataFrame, names_of: Callable[[], Callable[[str | None], Iterable[str]]]) -> DataFrame:
+    """name, clean, toxic: in how many rows of either label a name stands; the null name counts the rows."""
+
+    def run(batches):
+        names, counts = names_of(), (Counter(), Counter())
+
+        def out():
+            for label, seen in enumerate(counts):
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([label] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["name", "label", "n"])
+                seen.clear()
+
+        for b in pieces(batches, "text"):
+            for text, label in zip(b.column("text").to_pylist(), b.column("_q_y").to_pylist(), strict=True):
+                counts[label].update(names(text))
+                counts[label][None] += 1
+                if len(counts[label]) > COUNTED:
+                    yield from out()
+        yield from out()
+
+    number = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return rows.mapInArrow(run, "name string, label int, n long").groupBy("name").agg(number(0).alias("clean"), number(1).alias("toxic"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS) -> Toxicity:
+    """The models of all labelled training rows. Null texts are left out; repeated rows each count."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        rows = training(docs, labels, broadcast)
+        words = staged(counted(rows, lambda: lambda text: plain_words(text)), "toxic-words")
+        n = next(((r.clean, r.toxic) for r in words.where("name is null").collect()), (0, 0))
+        of = F.col("clean"), F.col("toxic")
+        restorer = restorer_of({r.name: r.clean + r.toxic for r in words.where(F.col("name").isNotNull() & is_known(*of, *n)).collect()})
+        shared = spark.sparkContext.broadcast(restorer)
+
+        def restored():
+            words_of = shared.value.words
+            return lambda b: {"text": [_SEPARATOR.join(words) if (words := words_of(t)) else None for t in texts_of(b)], "_q_y": b.column("_q_y")}
+
+        rows = staged(map_batches(rows, "text string, _q_y int", "text", restored), "toxic-restored")
+        listed = lambda text: set() if text is None else set(text.split(_SEPARATOR))
+        seen = counted(rows, lambda: lambda text: features(listed(text)))
+        good = seen.where(F.col("name").isNotNull() & stands_out(*of, *n, log=F.log, sqrt=F.sqrt)).select("name")
+        names = sorted(r.name for r in good.collect())
+        chosen = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+        def numbered():
+            number = chosen.value
+            return lambda b: {"ids": pa.array([[number[f] for f in features(listed(text)) if f in number] for text in b.column("text").to_pylist()], pa.list_(pa.int32())), "_q_y": b.column("_q_y")}
+
+        rows = staged(map_batches(rows, "ids array<int>, _q_y int", "text", numbered), "toxic-ids")
+
+        def total(w: np.ndarray) -> tuple[float, np.ndarray]:
+            weights = spark.sparkContext.broadcast(w)
+
+            def run(batches):
+                value, slope = 0.0, np.zeros(len(weights.value))
+                for b in batches:
+                    ids = b.column("ids")
+                    got = loss(weights.value, ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), b.column("_q_y").to_numpy())
+                    value, slope = value + got[0], slope + got[1]
+                yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([slope.tobytes()], pa.binary())], ["value", "slope"])
+
+            got = rows.mapInArrow(run, "value double, slope binary").collect()
+            weights.destroy()
+            return math.fsum(r.value for r in got), sum((np.frombuffer(r.slope) for r in got), np.zeros(len(w)))
+
+        return Toxicity.of(restorer, names, least(total, sum(n), len(names)))
 
 
 def scored(docs: DataFrame, model: Toxicity) -> DataFrame:
