@@ -34,6 +34,8 @@ KNOWN_SHARE = 3 / 5000
 BROADCAST_LABELS = 1 << 20
 #: Names a task counts before it hands them on.
 COUNTED = 200_000
+#: Rows of which a task sums loss and gradient.
+TASK_ROWS = 50_000
 #: Steps of L-BFGS, the pairs it remembers, and the largest part of a gradient at which it ends.
 STEPS, PAIRS, FLAT = 60, 8, 1e-6
 MODULUS, HELD_OUT = 4, 2
@@ -454,7 +456,11 @@ class Toxicity:
         self.prefixes = {n: {f[1:]: w for f, w in self.weights.items() if f[0:1] == "^" and len(f) == n + 1} for n in PREFIXES}
 
     def score(self, text: str) -> float:
-        words, own = self.restorer.words(text), self.weights
+        return self.of_words(self.restorer.words(text))
+
+    def of_words(self, words: set[str]) -> float:
+        """The score of a text with these restored words."""
+        own = self.weights
         found = [own[w] for w in words if w in own]
         for n, weights in self.prefixes.items():
             found += [weights[f] for f in {w[:n] for w in words} if f in weights]
@@ -475,14 +481,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     return [(r[0], int(r[1])) for r in found.collect()]
 
 
-def training(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS) -> DataFrame:
-    """text and label (0 or 1) of all labelled training rows that have a text; a doc_id with differing labels counts with its largest."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """_q_id and label (0 or 1) of all training rows; a doc_id with differing labels counts with its largest."""
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), MODULUS) != HELD_OUT))
-    known = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_q_y")).where("_q_y in (0, 1)")
-    own = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    few = known.limit(broadcast + 1).count() <= broadcast
-    rows = own.join(F.broadcast(known) if few else known.hint("merge"), "doc_id").select("text", "_q_y")
-    return rows if few else staged(rows, "toxic-rows")
+    return train.groupBy(F.col("doc_id").alias("_q_id")).agg(F.max("toxic").cast("int").alias("_q_y")).where("_q_y in (0, 1)")
+
+
+def listed(text: str | None) -> set[str]:
+    """Restored words as learned() writes them."""
+    return set() if text is None else set(text.split(_SEPARATOR))
 
 
 def counted(rows: DataFrame, names_of: Callable[[], Callable[[str | None], Iterable[str]]]) -> DataFrame:
@@ -511,9 +518,17 @@ def counted(rows: DataFrame, names_of: Callable[[], Callable[[str | None], Itera
 
 def fitted(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS) -> Toxicity:
     """The models of all labelled training rows. Null texts are left out; repeated rows each count."""
+    return learned(docs, labelled(labels), broadcast)[0]
+
+
+def learned(docs: DataFrame, known: DataFrame, broadcast: int, keep: bool = False) -> tuple[Toxicity, DataFrame | None]:
+    """The models, and doc_id with restored words of the training rows if `keep` and there are no more than `broadcast` labels."""
     spark = docs.sparkSession
     with scratch(spark):
-        rows = training(docs, labels, broadcast)
+        few = known.limit(broadcast + 1).count() <= broadcast
+        own = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+        rows = own.join(F.broadcast(known) if few else known.hint("merge"), F.col("doc_id") == F.col("_q_id")).drop("_q_id")
+        rows = rows if few else staged(rows, "toxic-rows")
         words = staged(counted(rows, lambda: lambda text: plain_words(text)), "toxic-words")
         n = next(((r.clean, r.toxic) for r in words.where("name is null").collect()), (0, 0))
         of = F.col("clean"), F.col("toxic")
@@ -522,10 +537,9 @@ def fitted(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS
 
         def restored():
             words_of = shared.value.words
-            return lambda b: {"text": [_SEPARATOR.join(words) if (words := words_of(t)) else None for t in texts_of(b)], "_q_y": b.column("_q_y")}
+            return lambda b: {"doc_id": b.column("doc_id"), "text": [_SEPARATOR.join(words) if (words := words_of(t)) else None for t in texts_of(b)], "_q_y": b.column("_q_y")}
 
-        rows = staged(map_batches(rows, "text string, _q_y int", "text", restored), "toxic-restored")
-        listed = lambda text: set() if text is None else set(text.split(_SEPARATOR))
+        rows = done = staged(map_batches(rows, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, _q_y int", "text", restored), "toxic-restored", keep=keep and few)
         seen = counted(rows, lambda: lambda text: features(listed(text)))
         good = seen.where(F.col("name").isNotNull() & stands_out(*of, *n, log=F.log, sqrt=F.sqrt)).select("name")
         names = sorted(r.name for r in good.collect())
@@ -535,7 +549,7 @@ def fitted(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS
             number = chosen.value
             return lambda b: {"ids": pa.array([[number[f] for f in features(listed(text)) if f in number] for text in b.column("text").to_pylist()], pa.list_(pa.int32())), "_q_y": b.column("_q_y")}
 
-        rows = staged(map_batches(rows, "ids array<int>, _q_y int", "text", numbered), "toxic-ids")
+        rows = staged(map_batches(rows, "ids array<int>, _q_y int", "text", numbered), "toxic-ids").coalesce(1 + sum(n) // TASK_ROWS)
 
         def total(w: np.ndarray) -> tuple[float, np.ndarray]:
             weights = spark.sparkContext.broadcast(w)
@@ -552,11 +566,11 @@ def fitted(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_LABELS
             weights.destroy()
             return math.fsum(r.value for r in got), sum((np.frombuffer(r.slope) for r in got), np.zeros(len(w)))
 
-        return Toxicity.of(restorer, names, least(total, sum(n), len(names)))
+        return Toxicity.of(restorer, names, least(total, sum(n), len(names))), done if keep and few else None
 
 
-def scored(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """doc_id, held_out, score, predicted. Null texts are scored as empty; repeated rows each return
+def scored(docs: DataFrame, model: Toxicity, restored: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted; with `restored` the texts are words as learned() writes them. Null texts are scored as empty; repeated rows each return
     a row; an empty table returns none; extra columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
@@ -564,15 +578,20 @@ def scored(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def make():
         own = shared.value
-        return lambda b: {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": [own.score(t) for t in texts_of(b)]}
+        score = (lambda t: own.of_words(listed(t))) if restored else lambda t: own.score(t or "")
+        return lambda b: {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": [score(t) for t in b.column("text").to_pylist()]}
 
     rows = map_batches(only, f"doc_id {kind}, held_out boolean, score double", "text", make)
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    docs, known = table(spark, sf_dir, "documents").select("doc_id", "text"), labelled(table(spark, sf_dir, "labels"))
+    model, done = learned(docs, known, BROADCAST_LABELS, keep=True)
+    if done is None:
+        return scored(docs, model)
+    rest = docs.join(F.broadcast(known), (F.col("doc_id") == F.col("_q_id")) & F.col("text").isNotNull(), "left_anti")
+    return scored(rest, model).unionByName(scored(done, model, restored=True))
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity) -> DataFrame:

@@ -46,6 +46,23 @@ def test_every_labelled_row_counts(spark, tables, broadcast):
     assert sum(a == bool(y) for a, y in out) == len(out)
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_rows_restored_while_learning_score_alike(spark, tables, tmp_path, monkeypatch, broadcast):
+    """Training rows are restored once; nulls, repeated rows and rows without label are scored with the others."""
+    docs, labels, _, _ = tables
+    more = spark.createDataFrame([(None, None), (5, "m0ronk the house"), (5, "m0ronk the house"), (7, "..."), (8001, None)], docs.schema)
+    docs = docs.where("doc_id % 8 = 0 or doc_id is null or doc_id % 8 = 3 or doc_id > 8000").union(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", broadcast)
+    got = toxicity.op1_noisy_channel_toxicity(spark, str(tmp_path)).collect()
+    want = toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    got, want = sorted(got, key=order), sorted(want, key=order)
+    assert [(r.doc_id, r.held_out, r.predicted) for r in got] == [(r.doc_id, r.held_out, r.predicted) for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want], abs=1e-4)
+
+
 def test_labels_of_few_or_no_rows(spark, tables):
     docs, labels, _, _ = tables
     for some in (labels.limit(0), labels.where("toxic = 1"), labels.where("doc_id = 8001")):
