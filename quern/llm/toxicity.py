@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,9 @@ _ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£*._\-]|[0-9@$!|+(<€£].*[^\W\d_]
 #: Look-alikes that are plain marks before a word and behind it, and a token's signs at its ends.
 _PLAIN_BEFORE, _PLAIN_BEHIND = "(<", "!"
 _MARKS = "".join(c for c in LOOKALIKES if not c.isalnum())
+_MARKED = frozenset(_MARKS)
+_ENDS = string.punctuation + _MARKS
+_ENDS_PLAIN = "".join(c for c in _ENDS if c not in _MARKED)
 _NO_LETTER = re.compile(rf"^(?:(?![{re.escape(_MARKS)}])[\W_])+|(?:(?![{re.escape(_MARKS)}])[\W_])+$")
 _SIGN = re.compile(r"[0-9@$!|+(<€£]")
 #: Letters that a sign may stand for, signs and marks go; runs of what is left count once: a word's frame, the same however it is obscured.
@@ -73,6 +78,12 @@ def frame(text: str) -> str:
     return _TWICE.sub(r"\1", text.translate(_SOFT))
 
 
+def edgeless(token: str) -> str:
+    """The token without marks at its ends; the pattern is only needed for rare ones."""
+    bare = token.strip(_ENDS)
+    return bare if bare[:1].isalnum() and bare[-1:].isalnum() else _EDGE.sub("", token)
+
+
 class CharModel:
     """Interpolated character trigrams of lower-case words, ^ and $ at their ends."""
 
@@ -111,6 +122,12 @@ class Restorer:
         self.model, self.known, self.memo = model, dict(words), {}
         self.total, self.frames = sum(words.values()) or 1, {frame(w) for w in words}
         self.squeezed = {_TWICE.sub(r"\1", w) for w in words}
+        self.settled: dict[str, str] = {}
+
+    @cached_property
+    def starts(self) -> set[str]:
+        """Beginnings of known words, two signs at least; made where it is used, so it is not sent along."""
+        return {w[:n] for w in self.known for n in range(2, len(w))}
 
     def word(self, token: str) -> str:
         """The restored form of a lower-case token; known and plain tokens stay as they are.
@@ -127,7 +144,9 @@ class Restorer:
             bare = core = token.strip(_PLAIN)
             letters = bare.isalpha()
             if not letters:
-                bare, core = _EDGE.sub("", token), _NO_LETTER.sub("", token)
+                bare, core = edgeless(token), token.strip(_ENDS_PLAIN)
+                if not ((core[:1].isalnum() or core[:1] in _MARKED) and (core[-1:].isalnum() or core[-1:] in _MARKED)):
+                    core = _NO_LETTER.sub("", token)
             if core == bare and (bare in self.known or not (_DOUBLE if letters else _ODD).search(bare)):
                 word = bare
             elif letters:
@@ -142,23 +161,12 @@ class Restorer:
         if not bare:  # signs alone, such as @$$
             return word if len(set(core)) > 1 and (word := self.decoded(core)) in self.known else ""
         at = core.index(bare)
-        before, behind = self.readings(core[:at][::-1], _PLAIN_BEFORE), self.readings(core[at + len(bare) :], _PLAIN_BEHIND)
+        before, behind = _end_readings(core[:at][::-1], _PLAIN_BEFORE), _end_readings(core[at + len(bare) :], _PLAIN_BEHIND)
         found = [(c + d - math.log(self.known[w]), w) for x, c in before for y, d in behind if (w := x[::-1] + bare + y) in self.known]
         if found:
             return min(found)[1]
         return self.decoded(core) if _ODD.search(core.lstrip(_PLAIN_BEFORE).rstrip(_PLAIN_BEHIND)) else bare
 
-    def readings(self, signs: str, plain: str) -> list[tuple[str, float]]:
-        """What signs at an end, from the word outwards, may stand for, with costs: the first few for letters, the others for nothing."""
-        drop = [DROP_COST if c in plain or c not in LOOKALIKES else KEEP_COST / 2 for c in signs]
-        out, own = [("", sum(drop))], [("", 0.0)]
-        for i, c in enumerate(signs[:4]):
-            if c not in LOOKALIKES:
-                break
-            own = [(t + x, cost + SWAP_COST) for t, cost in own for x in LOOKALIKES[c]]
-            out += [(t, cost + sum(drop[i + 1 :])) for t, cost in own]
-        return out
-
     def decoded(self, token: str) -> str:
         """The likeliest letters of a whole token."""
         if token.isalpha():
@@ -170,18 +178,26 @@ class Restorer:
 
     def unrepeated(self, token: str) -> str:
         """decoded() of letters alone. Paths part where a letter is repeated and meet behind the next one, so each repetition is settled by itself."""
-        cost, out, at = self.model.cost, [], 0
+        out, at, seen = [], 0, self.settled
         for m in _DOUBLE.finditer(token):
             start, end = m.span()
-            c, n = token[start], end - start
-            before, behind = token[start - 1] if start else "^", token[end] if end < len(token) else "$"
-            again = cost(c, c, c) if n > 2 else REPEAT_COST
-            once = (n - 1) * REPEAT_COST + cost(before, c, behind)
-            more = cost(before, c, c) + (n - 2) * min(again, REPEAT_COST) + cost(c, c, behind)
-            out += token[at:start], c if once < more else c * (n if again <= REPEAT_COST else 2)
+            around = (token[start - 1] if start else "^") + token[start:end] + (token[end] if end < len(token) else "$")
+            if (got := seen.get(around)) is None:
+                if len(seen) > 50_000:
+                    seen.clear()
+                got = seen[around] = self.repetition(around)
+            out += token[at:start], got
             at = end
         return "".join(out) + token[at:]
 
+    def repetition(self, around: str) -> str:
+        """What a repeated letter stands for, given with the letters before and behind it."""
+        cost, before, c, behind, n = self.model.cost, around[0], around[1], around[-1], len(around) - 2
+        again = cost(c, c, c) if n > 2 else REPEAT_COST
+        once = (n - 1) * REPEAT_COST + cost(before, c, behind)
+        more = cost(before, c, c) + (n - 2) * min(again, REPEAT_COST) + cost(c, c, behind)
+        return c if once < more else c * (n if again <= REPEAT_COST else 2)
+
     def ended(self, paths: dict) -> tuple[float, str]:
         """Cost and letters of the best path; paths hold their letters as cells (earlier letters, last one), which they share."""
         cost, _, cell = min((cost + self.model.cost(*state, "$"), state, cell) for state, (cost, cell) in paths.items())
@@ -224,17 +240,21 @@ class Restorer:
         """Of a word that stands by itself."""
         return -math.log(self.known[word] / self.total) if word in self.known else UNKNOWN_COST + SIGN_COST * len(word)
 
-    def joins(self, tokens: list[str], start: int):
-        """(end, word, channel cost) of the known words that tokens[start:end] make, two tokens at least, without their blanks."""
+    def joins(self, tokens: list[str], signs: list[bool], start: int):
+        """(end, word, channel cost) of the known words that tokens[start:end] make, two tokens at least, without their blanks; `signs` says which hold signs."""
         text, paths, single = tokens[start], None, _one_sign(tokens[start])
+        known, starts = self.known, self.starts
+        last, signed = start + 3 if any(signs[start : start + 4]) else start, signs[start]  # signs are read up to there
         for end in range(start + 1, len(tokens)):
             before, text = text, text + tokens[end]
             if len(text) > BLANKED_WORD:
                 return
             cost = BLANK_COST * (end - start)
-            single = single and _one_sign(tokens[end])
-            if text in self.known:
+            single, signed = single and _one_sign(tokens[end]), signed or signs[end]
+            if text in known:
                 yield end + 1, text, cost
+            elif not single and end > last and text not in starts:
+                return
             elif single and end >= start + 2:  # letter by letter: the paths go on from the last sign
                 if paths is None:
                     paths = {"^^": (0.0, ())}
@@ -244,7 +264,7 @@ class Restorer:
                     paths = self.extended(paths, text, i)
                 if (word := self.ended(paths)[1]) in self.known:
                     yield end + 1, word, cost + SWAP_COST
-            elif not single and end < start + 4 and _SIGN.search(text) and frame(text) in self.frames and self.possible(text) and (word := self.word(text)) in self.known:
+            elif not single and signed and end <= last and (text.strip(_MARKS) in known or (frame(text) in self.frames and self.possible(text))) and (word := self.word(text)) in self.known:
                 yield end + 1, word, cost + SWAP_COST
 
     def possible(self, text: str) -> bool:
@@ -253,25 +273,37 @@ class Restorer:
         for part in _PARTS.findall(text):
             if len(out) > 64:
                 return True
-            own = (part,) if part.isalpha() else _READINGS.get(part, ("",))
-            out = [x + y for x in out for y in own]
-        return any(_TWICE.sub(r"\1", x) in self.squeezed for x in out)
+            own = (_TWICE.sub(r"\1", part),) if part.isalpha() else _READINGS.get(part, ("",))
+            out = [x + (y[1:] if x[-1:] == y[:1] else y) for x in out for y in own]
+        return not self.squeezed.isdisjoint(out)
 
     def joinable(self, tokens: list[str]) -> bool:
         """Whether joins() of plain tokens finds any."""
-        known = self.known
+        known, starts = self.known, self.starts
         for i, text in enumerate(tokens):
             for t in tokens[i + 1 :]:
                 text += t
-                if len(text) > BLANKED_WORD:
-                    break
                 if text in known:
-                    return True
+                    if len(text) <= BLANKED_WORD:
+                        return True
+                elif text not in starts:
+                    break
         return False
 
     def unblanked(self, tokens: list[str], words: list[str]) -> list[str]:
         """The words of the cheapest path over tokens: each by itself as in `words`, or a known word with blanks dropped."""
-        arcs = [list(self.joins(tokens, i)) for i in range(len(tokens))]
+        signs = [not t.isalpha() and _SIGN.search(t) is not None for t in tokens]
+        arcs, seen = [], {}
+        for i in range(len(tokens)):
+            if len(tokens) <= BLANKED_WORD:
+                arcs.append(list(self.joins(tokens, signs, i)))
+                continue
+            around = (*tokens[i : i + BLANKED_WORD + 1],)  # a long run may repeat itself
+            if (got := seen.get(around)) is None:
+                if len(seen) > 2000:
+                    seen.clear()
+                got = seen[around] = list(self.joins(around, signs[i : i + BLANKED_WORD + 1], 0))
+            arcs.append([(i + end, word, cost) for end, word, cost in got])
         if not any(arcs):
             return words
         best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * len(tokens)
@@ -288,30 +320,42 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
-        tokens = text.lower().split()
+        tokens, known = text.lower().split(), self.known
         distinct = set(tokens)
         alone, core = {}, {t: t for t in distinct if len(t) < 2}
-        seen = self.memo.get
-        unknown = distinct.difference(self.known)
+        seen, double = self.memo.get, _DOUBLE.search
+        unknown = distinct.difference(known)
         for t in unknown:
+            if (bare := t.strip(_PLAIN)).isalpha() and len(bare) > 1:  # as form() has it, most tokens by far
+                if bare in known:
+                    alone[t] = bare
+                    continue
+                if not double(bare):
+                    alone[t] = core[t] = bare
+                    continue
             alone[t], weak = seen(t) or self.form(t)
             if weak:
                 core[t] = weak
             elif len(t) < 2:
                 del core[t]
-        whole = distinct.difference(unknown).union(alone.values())
+        whole = distinct
+        whole -= unknown
+        whole.update(alone.values())
         weak = [i for i, t in enumerate(tokens) if t in core]
         if not weak:
             return whole
-        single, signed = {t for t, c in core.items() if _one_sign(c)}, {t for t, c in core.items() if _SIGN.search(c)}
+        single, signed = {t for t, c in core.items() if len(c) < 4 and _one_sign(c)}, {t for t, c in core.items() if not c.isalpha() and _SIGN.search(c)}
+        odd = single | signed
         out, used = set(), set()  # words with blanks, and the places they stand in
-        for run in _runs(weak):
-            lo, hi = max(0, run[0] - 1), min(len(tokens), run[-1] + 2)
-            own = [core.get(t) or alone.get(t, t) for t in tokens[lo:hi]]
+        for first, last in _runs(weak):
+            lo, hi = max(0, first - 1), min(len(tokens), last + 2)
+            here = tokens[lo:hi]
+            own = [core.get(t) or alone.get(t, t) for t in here]
             if not all(own):  # a sign without letters parts words
-                lo, hi, own = run[0], run[-1] + 1, [core[t] for t in tokens[run[0] : run[-1] + 1]]
+                lo, hi, here = first, last + 1, tokens[first : last + 1]
+                own = [core[t] for t in here]
             # joins() needs a sign, three single ones in a row or a known word of plain tokens
-            if signed.isdisjoint(tokens[lo:hi]) and (single.isdisjoint(tokens[lo:hi]) or not _three(own)) and not self.joinable(own):
+            if (odd.isdisjoint(here) or (signed.isdisjoint(here) and not _three(own))) and not self.joinable(own):
                 continue
             got = self.unblanked(own, [alone.get(t, t) for t in tokens[lo:hi]])
             if len(got) < len(own):
@@ -326,6 +370,19 @@ class Restorer:
         return out.union(rest.difference(unknown), [alone[t] for t in rest.intersection(unknown)])
 
 
+@lru_cache(maxsize=1 << 12)
+def _end_readings(signs: str, plain: str) -> list[tuple[str, float]]:
+    """What signs at an end, from the word outwards, may stand for, with costs: the first few for letters, the others for nothing."""
+    drop = [DROP_COST if c in plain or c not in LOOKALIKES else KEEP_COST / 2 for c in signs]
+    out, own = [("", sum(drop))], [("", 0.0)]
+    for i, c in enumerate(signs[:4]):
+        if c not in LOOKALIKES:
+            break
+        own = [(t + x, cost + SWAP_COST) for t, cost in own for x in LOOKALIKES[c]]
+        out += [(t, cost + sum(drop[i + 1 :])) for t, cost in own]
+    return out
+
+
 def _one_sign(token: str) -> bool:
     """A single sign, which may be repeated."""
     return len(token) < 4 and token == token[0] * len(token)
@@ -342,12 +399,14 @@ def _three(tokens: list[str]) -> bool:
 
 
 def _runs(places: list[int]):
-    """Ascending places cut into runs that follow each other."""
-    at = 0
-    for i in range(1, len(places) + 1):
-        if i == len(places) or places[i] != places[i - 1] + 1:
-            yield places[at:i]
-            at = i
+    """First and last of the runs that follow each other in ascending places, one at least."""
+    first = last = places[0]
+    for i in places:
+        if i > last + 1:
+            yield first, last
+            first = i
+        last = i
+    yield first, last
 
 
 def features(words: set[str]) -> set[str]:
@@ -356,7 +415,7 @@ def features(words: set[str]) -> set[str]:
 
 def plain_words(text: str) -> set[str]:
     """The distinct lower-case words of a text without marks at their ends."""
-    return {w if w.isalpha() else _EDGE.sub("", w) for w in set(text.lower().split())}
+    return {w if w.isalpha() else edgeless(w) for w in set(text.lower().split())}
 
 
 def is_known(clean, toxic, n_clean, n_toxic):
@@ -421,6 +480,27 @@ def least(total: Callable, n: int, columns: int) -> np.ndarray:
     return w
 
 
+class Found:
+    """Values of features by name, such as weights, and those that sets of words have."""
+
+    def __init__(self, values: dict, known: Iterable[str]):
+        self.values, self.known = values, known
+        #: Of beginnings by their length; shorter words have none of it.
+        self.prefixes = {n: {f[1:]: v for f, v in values.items() if f[0:1] == "^" and len(f) == n + 1} for n in PREFIXES}
+
+    @cached_property
+    def silent(self) -> set[str]:
+        """Known words without a value of their own or of a beginning; made where it is used, so it is not sent along."""
+        return {w for w in self.known if w not in self.values and not any(w[:n] in own for n, own in self.prefixes.items())}
+
+    def of(self, words: set[str]) -> list:
+        words, own = words - self.silent, self.values
+        found = [own[w] for w in words if w in own]
+        for n, own in self.prefixes.items():
+            found += [own[f] for f in {w[:n] for w in words} if f in own]
+        return found
+
+
 class Toxicity:
     """Fitted models; score(text) is the probability of label 1."""
 
@@ -452,19 +532,14 @@ class Toxicity:
     def weigh(self, names: list[str], weights: np.ndarray) -> None:
         self.weights = {f: float(w) for f, w in zip(names, weights, strict=False) if w}
         self.bias = float(weights[-1])
-        #: Weights of beginnings by their length; shorter words have none of it.
-        self.prefixes = {n: {f[1:]: w for f, w in self.weights.items() if f[0:1] == "^" and len(f) == n + 1} for n in PREFIXES}
+        self.found = Found(self.weights, self.restorer.known)
 
     def score(self, text: str) -> float:
         return self.of_words(self.restorer.words(text))
 
     def of_words(self, words: set[str]) -> float:
         """The score of a text with these restored words."""
-        own = self.weights
-        found = [own[w] for w in words if w in own]
-        for n, weights in self.prefixes.items():
-            found += [weights[f] for f in {w[:n] for w in words} if f in weights]
-        z = math.fsum([self.bias, *found])
+        z = math.fsum([self.bias, *self.found.of(words)])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -546,8 +621,8 @@ def learned(docs: DataFrame, known: DataFrame, broadcast: int, keep: bool = Fals
         chosen = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
         def numbered():
-            number = chosen.value
-            return lambda b: {"ids": pa.array([[number[f] for f in features(listed(text)) if f in number] for text in b.column("text").to_pylist()], pa.list_(pa.int32())), "_q_y": b.column("_q_y")}
+            number = Found(chosen.value, shared.value.known)
+            return lambda b: {"ids": pa.array([number.of(listed(text)) for text in b.column("text").to_pylist()], pa.list_(pa.int32())), "_q_y": b.column("_q_y")}
 
         rows = staged(map_batches(rows, "ids array<int>, _q_y int", "text", numbered), "toxic-ids").coalesce(1 + sum(n) // TASK_ROWS)
 
