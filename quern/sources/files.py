@@ -24,16 +24,28 @@ def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def with_line_index(df: DataFrame, name: str = "line_index") -> DataFrame:
-    """df with the 0-based place of each row in the order of its partitions, without a sort or a single task.
+    """df with the 0-based place of each row, without a sort or a single task: of rows as files hold them in the
+    order of the files' paths and of lines in each, else in the order of its partitions.
 
-    Rows are written with their places in their partitions and read again, so the two agree however
-    often a task runs; a number a partition is joined to them.
+    Spark deals the files to partitions by size, so partitions do not tell the files' order. Rows are
+    written with their places in their partitions and read again, so the two agree however often a
+    task runs; a number a stretch of a file, or a partition, is joined to them.
     """
-    part, place = (_free(x, df) for x in ("part", "place"))
-    placed = stored(df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(place)), "lines")
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
-    starts = placed.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), part).withColumn(name, F.col("start") + F.col(place)).select(*(F.col(f"`{c}`") for c in df.columns), name)
+    part, place, path, block, start = (_free(x, df) for x in ("part", "place", "path", "block", "start"))
+    at = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start")) if _as_in_files(df) else (F.lit(""), F.lit(0).cast("long"))
+    placed = stored(df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(place), at[0].alias(path), at[1].alias(block)), "lines")
+    stretch = [path, block, part]
+    before = Window.orderBy(*stretch).rowsBetween(Window.unboundedPreceding, -1)  # over a row a stretch
+    starts = placed.groupBy(*stretch).agg(F.count("*").alias("n"), F.min(place).alias("first")).select(*stretch, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias(start))
+    return placed.join(F.broadcast(starts), stretch).withColumn(name, F.col(start) + F.col(place)).select(*(F.col(f"`{c}`") for c in df.columns), name)
+
+
+def _as_in_files(df: DataFrame) -> bool:
+    """Whether the rows of df come from one scan of files, with nothing but projections and filters behind it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in (c.lower() for c in df.columns) and plan.metadataOutput().nonEmpty()
 
 
 def _free(name: str, df: DataFrame) -> str:
