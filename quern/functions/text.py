@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,12 +80,34 @@ def sentence_chunks(text: Column, limit: int = 128) -> Column:
 
 def bpe_tokens(text: Column, path: str) -> Column:
     """The tokens of a text by a tokenizers file, each decoded; null gives null. The path is the caller's."""
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+    @F.arrow_udf("array<string>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tokenizers import Tokenizer
+
+        coder, known, kind = Tokenizer.from_file(path), {}, pa.list_(pa.string())
+
+        def token(i):
+            if i not in known:
+                known[i] = coder.decode([i])
+            return known[i]
+
+        for texts in parts:  # a row's tokens become Arrow data at once: as Python objects a batch of them takes gigabytes
+            own = (pa.array([[token(i) for i in coder.encode(t.as_py(), add_special_tokens=False).ids] if t.is_valid else None], kind) for t in texts)
+            yield pa.concat_arrays([pa.array([], kind), *own])
+
+    return run(text)
+
+
+def bpe_count(text: Column, path: str) -> Column:
+    """The number of bpe_tokens() of a text, without the tokens; null gives null."""
+
+    @F.arrow_udf("bigint")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_file(path)
         for texts in parts:
-            yield pd.Series([None if t is None else [coder.decode([i]) for i in coder.encode(t, add_special_tokens=False).ids] for t in texts])
+            yield pa.array((len(coder.encode(t.as_py(), add_special_tokens=False).ids) if t.is_valid else None for t in texts), pa.int64())
 
     return run(text)
