@@ -4,7 +4,8 @@ A pattern such as `(a)<-[r]-(e:EVENT)-[s:PART]->(b), (e)<-[x]-(d:DOCUMENT)` beco
 with the edges a hop, started from the vertices bound beforehand, so a match grows from its anchor.
 Edges of one match are distinct. Labels become semi-joins; names are looked up after DISTINCT, all
 in one join. A stored graph has its edges twice, in order of either end: the ids of an anchor reach
-the scan as a filter, and the files' statistics leave out what lies elsewhere.
+the scan as a filter, and the files' statistics leave out what lies elsewhere. A graph may also leave
+its edges in the tables they come from, and give a hop those of its bound vertices alone (edges_at).
 """
 
 from __future__ import annotations
@@ -86,6 +87,17 @@ class Graph:
         """Ids of the vertices with that name and label; values are bound as literals, never spliced."""
         return self.labelled(label).where(F.array_contains("names", text)).select("id")
 
+    def edges_at(self, frame: DataFrame, hop: Hop, pushed: dict[str, list]) -> tuple[DataFrame, DataFrame]:
+        """The frame, and the edges among which the hop's are: here all, in the order of the bound end, with `pushed` ids as a filter."""
+        e = self.by_dst if self.by_dst is not None and hop.src not in frame.columns else self.edges
+        for v, c in ((hop.src, "src"), (hop.dst, "dst")):
+            e = e.where(F.col(c).isin(pushed[v])) if v in pushed else e
+        return frame, e
+
+    def vertices_at(self, frame: DataFrame, *nodes: str) -> tuple[DataFrame, DataFrame]:
+        """The frame, and the vertices among which those of its columns `nodes` are: here all."""
+        return frame, self.vertices
+
     def match(self, pattern: str, frame: DataFrame, optional: bool = False, where: Column | None = None) -> DataFrame:
         """frame, which binds at least one variable, joined along the pattern.
 
@@ -115,9 +127,7 @@ class Graph:
                 raise ValueError("bind a variable of each part of the pattern")
             todo.remove(hop)
             known = set(frame.columns)
-            e = self.by_dst if self.by_dst is not None and hop.src not in known else self.edges
-            for v, c in ((hop.src, "src"), (hop.dst, "dst")):
-                e = e.where(F.col(c).isin(pushed[v])) if v in pushed else e
+            frame, e = self.edges_at(frame, hop, pushed)
             e = e if hop.kind is None else e.where(F.col("type") == hop.kind)
             e = e.select(F.col("edge_id").alias(hop.edge), F.col("type").alias(f"{hop.edge}_type"), F.col("src").alias("_s"), F.col("dst").alias("_d"))
             on = [F.col(v) == F.col(c) for v, c in ((hop.src, "_s"), (hop.dst, "_d")) if v in known]
@@ -127,14 +137,16 @@ class Graph:
             for v in (hop.src, hop.dst):
                 if v in labels and v not in checked:
                     checked.add(v)
-                    frame = frame.join(self.labelled(labels[v]).select(F.col("id").alias(v)), v, "left_semi")
+                    frame, own = self.vertices_at(frame, v)
+                    frame = frame.join(own.where(F.array_contains("labels", labels[v])).select(F.col("id").alias(v)), v, "left_semi")
         return frame.where(where) if where is not None else frame
 
     def with_names(self, frame: DataFrame, *nodes: str) -> DataFrame:
         """frame, of distinct rows, with `<node>_name` and `<node>_label` of each node; labels are put together
         as text. One join for all nodes, in which a node that is no vertex has nulls."""
+        frame, own = self.vertices_at(frame, *nodes)
         rows = frame.select("*", F.posexplode(F.array(*nodes)).alias("_at", "_id"))
-        own = self.vertices.select(F.col("id").alias("_id"), F.struct(F.col("primary_name").alias("name"), F.array_join("labels", "").alias("label")).alias("_v"))
+        own = own.select(F.col("id").alias("_id"), F.struct(F.col("primary_name").alias("name"), F.array_join("labels", "").alias("label")).alias("_v"))
         found = rows.join(own, "_id", "left").groupBy(*frame.columns).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_vs"))
         return found.select(*frame.columns, *(F.col("_vs")[i][c].alias(f"{v}_{c}") for i, v in enumerate(nodes) for c in ("name", "label")))
 

@@ -27,15 +27,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def files_of(spark: SparkSession, *paths: str) -> tuple:
-    """(path, bytes, time) of the files under paths: what tells whether tables have changed."""
-    conf, jvm, out = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm, []
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        found = where.getFileSystem(conf).listFiles(where, True)
-        while found.hasNext():
-            f = found.next()
-            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(out))
